@@ -22,7 +22,7 @@ def local_date(ts: Column, zone: str) -> Column:
 
 def day_key(ts: Column, zone: str = "UTC") -> Column:
     """`yyyy-MM-dd` of an instant in a zone."""
-    return F.date_format(ts if zone == "UTC" else to_zone(ts, zone), "yyyy-MM-dd")
+    return (ts.cast("date") if zone == "UTC" else local_date(ts, zone)).cast("string")
 
 
 def midnight(day: Column, zone: str) -> Column:
@@ -48,16 +48,12 @@ def month_start(ts: Column, zone: str) -> Column:
 
 
 def format_instant(ts: Column, zone: str) -> Column:
-    return F.date_format(to_zone(ts, zone), "yyyy-MM-dd HH:mm:ss")
+    return F.substring(to_zone(ts, zone).cast("string"), 1, 19)
 
 
-def millis(ts: Column) -> Column:
-    return F.floor(micros(ts) / 1000).cast("bigint")
-
-
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ read as UTC."""
-    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
+def minute_of(ts: Column) -> Column:
+    """`yyyy-MM-dd HH:mm`: grows with the instant, so it can serve as a block of an ordered operator."""
+    return F.substring(ts.cast("string"), 1, 16)
 
 
 ISO_INSTANT = (
