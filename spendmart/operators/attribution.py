@@ -18,11 +18,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendmart.functions.paths import last_two_segments, parent_folder
 from spendmart.operators.repos import resolve_folders
+from spendmart.session import materialize
 
 
 class Unchanged:
@@ -135,28 +137,32 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 current, carried = (stream, block), start
             carried = next_root(carried, here, tied, first)
             roots.append(carried)
-        kept = [n for n in batch.schema.names if n not in ("start_root", "here_root", "tied_roots", "first_root")]
+        kept = [n for n in batch.schema.names if n not in ("start_root", "here_root", "tied_roots", "first_root", "_nth")]
         yield batch.select(kept).append_column("root", pa.array(roots, pa.string()))
 
 
+def _in_order(rows: DataFrame, groups: list[str], order: str) -> DataFrame:
+    """Whole groups in one partition each, sorted, ready for a streaming fold.
+
+    A window is used rather than repartition + sortWithinPartitions: a fold over partitions states no
+    distribution of its own, so adaptive execution may drop that repartition as redundant after a join
+    and then read the join locally. The window's requirement cannot be dropped.
+    """
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(*groups).orderBy(order)))
+
+
 def carry_roots(turns: DataFrame) -> DataFrame:
     """Adds `root` to turns with stream, block (bigint), ord, here_root, tied_roots, first_root; drops the three inputs."""
     blocks = turns.select("stream", "block").distinct()
     long_streams = blocks.groupBy("stream").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("stream")
     narrow = turns.select("stream", "block", "ord", "here_root", "tied_roots", "first_root").join(long_streams, "stream", "left_semi")
-    summaries = (
-        narrow.repartition("stream", "block")
-        .sortWithinPartitions("stream", "block", "ord")
-        .mapInArrow(_summaries, "stream string, block bigint, summary string")
-    )
-    starts = (
-        summaries.repartition("stream").sortWithinPartitions("stream", "block").mapInArrow(_chain, "stream string, block bigint, start_root string")
-    )
+    summaries = _in_order(narrow, ["stream", "block"], "ord").mapInArrow(_summaries, "stream string, block bigint, summary string")
+    starts = _in_order(summaries, ["stream"], "block").mapInArrow(_chain, "stream string, block bigint, start_root string")
     started = turns.join(starts, ["stream", "block"], "left")
     kept = [c for c in turns.columns if c not in ("here_root", "tied_roots", "first_root")]
     out = T.StructType([turns.schema[c] for c in kept] + [T.StructField("root", T.StringType())])
-    ordered = started.select(*kept, "start_root", "here_root", "tied_roots", "first_root").repartition("stream", "block")
-    return ordered.sortWithinPartitions("stream", "block", "ord").mapInArrow(_fold, out)
+    ordered = _in_order(started.select(*kept, "start_root", "here_root", "tied_roots", "first_root"), ["stream", "block"], "ord")
+    return ordered.mapInArrow(_fold, out)
 
 
 def turn_candidates(turns: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -193,10 +199,12 @@ def attribute_turns(turns: DataFrame, repos: DataFrame, fallback: DataFrame) ->
 
     `turns`: stream, block, ord, machine_id, project_dir, cwd, file_paths, ...; `fallback`: one row per
     project_dir with project_slug, repo_key, repo_name, used until a stream has any evidence of its own.
-    Turns of projects without a fallback are left out.
+    Turns of projects without a fallback are left out. The turns and their candidates are each read
+    several times, so both are written out once instead of being computed again.
     """
-    resolved = resolve_folders(turn_folders(turns), repos)
-    folded = carry_roots(turn_candidates(turns, resolved))
+    turns = materialize(turns, "turns")
+    resolved = materialize(resolve_folders(turn_folders(turns), repos), "folders")
+    folded = carry_roots(materialize(turn_candidates(turns, resolved), "candidates"))
     roots = repos.filter(F.col("repo_key").isNotNull()).select(
         F.col("machine_id").alias("_m"), F.col("root").alias("_r"), F.col("repo_key").alias("_key"), "main_root"
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "spendmart") -> SparkSession:
@@ -16,6 +17,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -23,10 +25,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder used to cut lineage: the cluster's own setting, a temp folder only where unset."""
-    configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="spendmart-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spendmart-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def materialize(rows: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes the rows to a table in the checkpoint folder and reads them back.
+
+    For intermediates used several times. Unlike a cache it survives lost executors, and unlike a row
+    checkpoint its readers still prune columns and know its size.
+    """
+    spark = rows.sparkSession
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

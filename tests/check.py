@@ -44,8 +44,9 @@ def compare(spark, con, sf_dir, name, build, sql):
         return "COLUMNS", [sorted(got_cols), sorted(want_cols)]
     a, b = canonical(got_cols, got), canonical(want_cols, want)
     if a != b:
-        only_a = [x for x in a if x not in set(b)][:3]
-        only_b = [x for x in b if x not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a = [x for x in a if x not in in_b][:3]
+        only_b = [x for x in b if x not in in_a][:3]
         return f"DIFFERENT {len(a)} vs {len(b)}", [sorted(got_cols), *only_a, "--", *only_b]
     return f"ok {len(a)}", []
 
