@@ -44,22 +44,44 @@ def keep_fullest(copies: DataFrame, keys: list[str], tokens: str, order: str, pa
     return kept.select(*keys, *[F.col(f"_kept.{c}").alias(c) for c in payload], "first_seen")
 
 
-def dedupe_turns(records: DataFrame) -> DataFrame:
-    """Assistant records with usage, one row per stream, request and message."""
-    usage = F.col("message.usage")
-    copies = records.filter((F.col("type") == "assistant") & usage.isNotNull()).select(
+def digest(records: DataFrame) -> DataFrame:
+    """Records without their text: message content is read once, here, for the files it names.
+
+    Everything after this works on narrow rows, so the raw JSON is parsed in a single pass.
+    """
+    files = F.transform(evidence_files(F.col("message.content")), lambda path: parent_folder(resolve(F.col("cwd"), path)))
+    folders = F.array_distinct(F.concat(F.coalesce(files, F.array().cast("array<string>")), F.array("cwd")))
+    return records.select(
         "stream",
         "machine_id",
         "project_dir",
         "session_file",
         "is_subagent_file",
+        "is_nested_file",
         "ord",
+        "type",
         F.col("requestId").alias("request_id"),
         F.col("message.id").alias("message_id"),
         F.col("sessionId").alias("session_id"),
         F.col("isSidechain").alias("is_subagent"),
         F.col("message.model").alias("model"),
         F.col("timestamp").alias("ts_text"),
+        F.col("message.usage").alias("usage"),
+        "cwd",
+        touched_files(F.col("message.content")).alias("file_paths"),
+        F.filter(folders, lambda folder: folder.isNotNull()).alias("folders"),
+        F.col("aiTitle").alias("generated_title"),
+        F.col("customTitle").alias("custom_title"),
+        "_corrupt",
+    )
+
+
+def dedupe_turns(digested: DataFrame) -> DataFrame:
+    """Assistant records with usage, one row per stream, request and message."""
+    usage = F.col("usage")
+    copies = digested.filter((F.col("type") == "assistant") & usage.isNotNull()).select(
+        "stream", "machine_id", "project_dir", "session_file", "is_subagent_file", "ord", "request_id", "message_id", "session_id",
+        "is_subagent", "model", "ts_text",
         usage["input_tokens"].alias("input_tokens"),
         usage["cache_read_input_tokens"].alias("cache_read_tokens"),
         usage["cache_creation_input_tokens"].alias("cache_creation_tokens"),
@@ -67,32 +89,26 @@ def dedupe_turns(records: DataFrame) -> DataFrame:
         F.coalesce(usage["cache_creation"]["ephemeral_1h_input_tokens"], F.lit(0).cast("bigint")).alias("cache_write_1h_tokens"),
         usage["output_tokens"].alias("output_tokens"),
         "cwd",
-        touched_files(F.col("message.content")).alias("file_paths"),
+        "file_paths",
     )
     keys = ["stream", "request_id", "message_id"]
     payload = [c for c in copies.columns if c not in (*keys, "ord")]
     return keep_fullest(copies, keys, "output_tokens", "ord", payload).withColumnRenamed("first_seen", "ord")
 
 
-def session_titles(records: DataFrame) -> DataFrame:
+def session_titles(digested: DataFrame) -> DataFrame:
     """(session_file, session_title): the last non-empty custom title, else the last non-empty generated one."""
     place = F.struct("stream", "ord")
-    custom = (F.col("type") == "custom-title") & (F.col("customTitle") != "")
-    generated = (F.col("type") == "ai-title") & (F.col("aiTitle") != "")
+    custom = (F.col("type") == "custom-title") & (F.col("custom_title") != "")
+    generated = (F.col("type") == "ai-title") & (F.col("generated_title") != "")
     return (
-        records.filter(custom | generated)
+        digested.filter(custom | generated)
         .groupBy("session_file")
-        .agg(F.max_by("customTitle", F.when(custom, place)).alias("_c"), F.max_by("aiTitle", F.when(generated, place)).alias("_a"))
-        .select("session_file", F.coalesce("_c", "_a").alias("session_title"))
+        .agg(F.max_by("custom_title", F.when(custom, place)).alias("_c"), F.max_by("generated_title", F.when(generated, place)).alias("_g"))
+        .select("session_file", F.coalesce("_c", "_g").alias("session_title"))
     )
 
 
-def evidence_folders(records: DataFrame) -> DataFrame:
+def evidence_folders(digested: DataFrame) -> DataFrame:
     """Distinct (machine_id, stream, folder) a stream shows work in: every recorded folder and every touched file's folder."""
-    files = F.transform(
-        evidence_files(F.col("message.content")), lambda path: parent_folder(resolve(F.col("cwd"), path))
-    )
-    folders = F.array_distinct(F.concat(F.coalesce(files, F.array().cast("array<string>")), F.array("cwd")))
-    return (
-        records.select("machine_id", "stream", F.explode(F.filter(folders, lambda f: f.isNotNull())).alias("folder")).distinct()
-    )
+    return digested.select("machine_id", "stream", F.explode("folders").alias("folder")).distinct()

@@ -13,7 +13,7 @@ from spendmart.operators.attribution import attribute_turns, project_fallback
 from spendmart.operators.pricing import is_priced, price_asof, turn_cost
 from spendmart.operators.report import SYNTHETIC
 from spendmart.operators.repos import session_repo_tags
-from spendmart.operators.turns import dedupe_turns, evidence_folders, session_titles
+from spendmart.operators.turns import dedupe_turns, digest, evidence_folders, session_titles
 from spendmart.schemas import EVENT_COLUMNS
 from spendmart.session import materialize
 from spendmart.sources.transcripts import split_torn
@@ -40,7 +40,7 @@ def map_events(turns: DataFrame, prices: DataFrame) -> DataFrame:
 
 def ingest(records: DataFrame, repos: DataFrame, ledger: DataFrame, prices: DataFrame) -> Ingested:
     """All of a batch of transcript records. `records` come from `read_transcripts`."""
-    readable, torn = split_torn(records)
+    readable, torn = split_torn(materialize(digest(records), "records"))
     fallback = materialize(project_fallback(readable, repos), "fallback")
     titles = session_titles(readable)
     turns = dedupe_turns(readable).withColumn("block", F.col("ord.block"))

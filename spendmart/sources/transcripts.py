@@ -68,6 +68,9 @@ def stream_transcripts(spark: SparkSession, root: str, machine_id: str, files_pe
 
 
 def split_torn(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(readable records, torn lines): torn lines are kept for inspection, not silently lost."""
+    """(readable records, torn lines): torn lines are kept for inspection, not silently lost.
+
+    `type` is read along with the torn text because Spark refuses to parse for the corrupt column alone.
+    """
     torn = F.col("_corrupt").isNotNull()
-    return records.filter(~torn), records.filter(torn).select("stream", "_corrupt")
+    return records.filter(~torn), records.filter(torn).select("stream", "type", "_corrupt")
