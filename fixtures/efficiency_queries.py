@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from fixtures import adapter as A
@@ -11,8 +13,7 @@ from spendmart.operators import efficiency as E
 from spendmart.operators import splits, windows
 from spendmart.schemas import Dimension
 
-def _date(text):
-    return F.lit(text).cast("date")
+_date = dt.date.fromisoformat
 
 
 def _by_model(spark, sf):

@@ -58,7 +58,7 @@ def _wire(spark, sf):
     raw = A.raw_events(spark, sf)
     eid = F.col("event_id")
     kind = eid % 17
-    q = lambda column: F.to_json(F.struct(column.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(column.alias("v")))) - 6)
+    q = lambda column: F.concat(F.lit('"'), column, F.lit('"'))
     field = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     parts = [
         field("requestId", F.when(kind == 6, F.lit('{"$gt":""}')).when(kind == 9, F.lit('""')).otherwise(q(F.col("request_id")))),

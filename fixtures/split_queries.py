@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def series_slots(spark, sf):
 
 def cost_series_top5(spark, sf):
     rows = _day_rows(spark, sf, Dimension.PROJECT)
-    bars = splits.bucket_rows(rows, F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))
+    bars = splits.bucket_rows(rows, dt.date(2024, 1, 1), dt.date(2024, 1, 31))
     return _out(splits.series_per_bar(bars, splits.top_labels(rows)), "day", "series", "is_other")
 
 

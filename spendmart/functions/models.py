@@ -11,5 +11,6 @@ RELEASE_SUFFIX = r"-[0-9]{8}\z"
 
 
 def normalize_model(model: Column) -> Column:
-    """The name prices are keyed by; NULL stays NULL."""
-    return F.regexp_replace(F.regexp_replace(model, VARIANT_SUFFIX, ""), RELEASE_SUFFIX, "")
+    """The name prices are keyed by; NULL stays NULL. The cheap guards keep most rows away from the regular expressions."""
+    plain = F.when(model.endswith("]"), F.regexp_replace(model, VARIANT_SUFFIX, "")).otherwise(model)
+    return F.when(F.substring(plain, -9, 1) == "-", F.regexp_replace(plain, RELEASE_SUFFIX, "")).otherwise(plain)

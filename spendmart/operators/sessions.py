@@ -226,7 +226,9 @@ def turn_timeline(turns: DataFrame) -> DataFrame:
             F.sum(F.when(mine, money.unpriced(F.col("priced"))).otherwise(0)).alias("unpriced_events"),
         ]
 
-    per_bar = barred.groupBy("session_id", "turn_count", "bar").agg(
+    per_bar = barred.groupBy("session_id", "bar").agg(
+        F.min("position").alias("_low"),
+        F.max("position").alias("_high"),
         *[c.alias(f"main_{n}") for c, n in zip(series(False), ("carry", "new", "unpriced"))],
         *[c.alias(f"sub_{n}") for c, n in zip(series(True), ("carry", "new", "unpriced"))],
     )
@@ -241,10 +243,7 @@ def turn_timeline(turns: DataFrame) -> DataFrame:
             for name, prefix in (("main", "main"), ("subagent", "sub"))
         ]
     )
-    label = bars.turn_label(
-        bars.bar_first(F.col("bar"), F.col("turn_count")),
-        F.least(bars.bar_last(F.col("bar"), F.col("turn_count")), F.col("turn_count") - 1),
-    )
+    label = bars.turn_label(F.col("_low"), F.col("_high"))
     return per_bar.select("session_id", "bar", label.alias("label"), F.inline(both))
 
 

@@ -6,6 +6,8 @@ size of the answer, so labels and totals come from windows over those rows, not
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -235,7 +237,7 @@ def label_series(rows: DataFrame, top: DataFrame) -> DataFrame:
     ).drop("_top")
 
 
-def bucket_rows(rows: DataFrame, first_day: Column, last_day: Column) -> DataFrame:
+def bucket_rows(rows: DataFrame, first_day: Column | dt.date, last_day: Column | dt.date) -> DataFrame:
     """Re-keys `day` to the label of its bar; done before any roll-up so ratios come from sums."""
     return rows.withColumn("day", bars.day_bar_label(F.col("day").cast("date"), first_day, last_day))
 

@@ -35,50 +35,64 @@ TAG_KEY = r"^[0-9a-f]{64}\z"
 IDENTITY = ["requestId", "messageId"]
 
 
-def _kind(field: str) -> Column:
-    """Type of a field inside the parsed entry, NULL when it is absent."""
-    return F.schema_of_variant(F.try_variant_get("_entry", f"$.{field}", "variant"))
+def _once(value: Column, name: str) -> Column:
+    """A computed column that later filters and projections read instead of computing it again.
+
+    A one-row `inline` is a boundary the optimiser does not push expressions through.
+    """
+    return F.inline(F.array(F.struct(value.alias(name))))
 
 
 def _get(field: str, kind: str) -> Column:
     return F.try_variant_get("_entry", f"$.{field}", kind)
 
 
-def _is(field: str, pattern: str) -> Column:
-    return F.coalesce(_kind(field).rlike(pattern), F.lit(False))
+def _kinds() -> Column:
+    """The JSON type of every field that is looked at, NULL where it is absent."""
+    fields = [*REQUIRED_TEXT, *OPTIONAL_TEXT, *COUNTERS, "costUsd", *FLAGS, "timestamp"]
+    return F.struct(*[F.schema_of_variant(_get(f, "variant")).alias(f) for f in fields], F.schema_of_variant("_entry").alias("entry"))
+
+
+def _is(field: str, *kinds: str) -> Column:
+    column = F.col(f"_kind.{field}")
+    met = F.lit(False)
+    for kind in kinds:
+        met = met | column.startswith(kind)
+    return F.coalesce(met, F.lit(False))
 
 
 def reasons() -> Column:
     """Everything wrong with an entry, empty when it can be stored."""
-    number = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+    number = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
     checks = []
     for field in REQUIRED_TEXT:
-        checks.append(F.when(~_is(field, "^STRING"), f"{field}: text required"))
+        checks.append(F.when(~_is(field, "STRING"), f"{field}: text required"))
     for field in IDENTITY:
-        checks.append(F.when(_is(field, "^STRING") & (_get(field, "string") == ""), f"{field}: empty"))
+        checks.append(F.when(_is(field, "STRING") & (_get(field, "string") == ""), f"{field}: empty"))
     for field in OPTIONAL_TEXT:
-        checks.append(F.when(_kind(field).isNotNull() & ~_is(field, "^STRING"), f"{field}: not text"))
+        checks.append(F.when(F.col(f"_kind.{field}").isNotNull() & ~_is(field, "STRING"), f"{field}: not text"))
     for field in COUNTERS:
         whole = _get(field, "decimal(38,6)")
-        checks.append(F.when(~_is(field, number) | F.coalesce(whole != F.floor(whole), F.lit(True)), f"{field}: whole number required"))
-    checks.append(F.when(~_is("costUsd", number), "costUsd: number required"))
+        fine = _is(field, "BIGINT") | (_is(field, *number) & F.coalesce(whole == F.floor(whole), F.lit(False)))
+        checks.append(F.when(~fine, f"{field}: whole number required"))
+    checks.append(F.when(~_is("costUsd", *number), "costUsd: number required"))
     for field in FLAGS:
-        checks.append(F.when(~_is(field, "^BOOLEAN"), f"{field}: true or false required"))
-    instant = clock.parse_instant(F.when(_is("timestamp", "^STRING"), _get("timestamp", "string")))
-    checks.append(F.when(instant.isNull(), "timestamp: instant required"))
-    is_object = F.coalesce(F.schema_of_variant("_entry").startswith("OBJECT"), F.lit(False))
-    return F.when(~is_object, F.array(F.lit("not an object"))).otherwise(F.filter(F.array(*checks), lambda r: r.isNotNull()))
+        checks.append(F.when(~_is(field, "BOOLEAN"), f"{field}: true or false required"))
+    checks.append(F.when(F.col("_ts").isNull(), "timestamp: instant required"))
+    return F.when(~_is("entry", "OBJECT"), F.array(F.lit("not an object"))).otherwise(
+        F.filter(F.array(*checks), lambda reason: reason.isNotNull())
+    )
 
 
 def check_events(entries: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds `_entry` (parsed) and `reasons` to one raw JSON entry per row; the batch goes on past a bad one.
+    """Adds `_entry` (parsed), `_ts` and `reasons` to one raw JSON entry per row; the batch goes on past a bad one.
 
-    Both go through a one-row `inline`: a later filter on `reasons` then stays above it, where pushing it
-    down would write the parse out again for each of its many uses.
+    Each entry is parsed once and each field's type is looked up once.
     """
-    once = lambda value, name: F.inline(F.array(F.struct(value.alias(name))))
-    parsed = entries.select("*", once(F.try_parse_json(raw), "_entry"))
-    return parsed.select("*", once(reasons(), "reasons"))
+    parsed = entries.select("*", _once(F.try_parse_json(raw), "_entry"))
+    typed = parsed.select("*", _once(_kinds(), "_kind"))
+    dated = typed.select("*", clock.parse_instant(F.when(_is("timestamp", "STRING"), _get("timestamp", "string"))).alias("_ts"))
+    return dated.select("*", _once(reasons(), "reasons")).drop("_kind")
 
 
 def accepted_events(checked: DataFrame, *keep: str) -> DataFrame:
@@ -88,7 +102,7 @@ def accepted_events(checked: DataFrame, *keep: str) -> DataFrame:
         *keep,
         *[_get(f, "string").alias(c) for f, c in REQUIRED_TEXT.items()],
         *[_get(f, "string").alias(c) for f, c in OPTIONAL_TEXT.items()],
-        clock.parse_instant(_get("timestamp", "string")).alias("ts"),
+        F.col("_ts").alias("ts"),
         *[_get(f, "bigint").alias(c) for f, c in COUNTERS.items()],
         (_get("costUsd", "decimal(24,12)") * 1000000).cast(MONEY).alias("cost_micro"),
         *[_get(f, "boolean").alias(c) for f, c in FLAGS.items()],
@@ -96,7 +110,7 @@ def accepted_events(checked: DataFrame, *keep: str) -> DataFrame:
 
 
 def rejected_events(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.size("reasons") > 0).drop("_entry")
+    return checked.filter(F.size("reasons") > 0).drop("_entry", "_ts")
 
 
 def batch_counts(checked: DataFrame, *keys: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,14 +88,18 @@ def day_bars(window: DataFrame, zone: str = DASHBOARD_ZONE) -> DataFrame:
     )
 
 
-def bar_labels(spark: SparkSession, first_day: str, last_day: str) -> DataFrame:
+def bar_labels(spark: SparkSession, first_day: dt.date | str, last_day: dt.date | str) -> DataFrame:
     """(bar, day) of the at most twenty bars over a window of known days; `day` holds the bar's label."""
-    low, high = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
-    count = (F.datediff(high, low) + 1).cast("bigint")
-    bar = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), bars.bar_count(count) - 1)).alias("bar"))
-    first = F.date_add(low, bars.bar_first(F.col("bar"), count).cast("int"))
-    last = F.date_add(low, bars.bar_last(F.col("bar"), count).cast("int"))
-    return bar.select("bar", bars.day_label(first, last).alias("day"))
+    low, high = _day(first_day), _day(last_day)
+    days = spark.range((high - low).days + 1).select(F.col("id"), F.date_add(F.lit(low), F.col("id").cast("int")).alias("_day"))
+    labelled = days.select(
+        bars.bar_of(F.col("id"), (high - low).days + 1).alias("bar"), bars.day_bar_label(F.col("_day"), low, high).alias("day")
+    )
+    return labelled.distinct()
+
+
+def _day(value: dt.date | str) -> dt.date:
+    return dt.date.fromisoformat(value) if isinstance(value, str) else value
 
 
 def fill_bars(rows: DataFrame, grid: DataFrame, defaults: dict[str, object]) -> DataFrame:

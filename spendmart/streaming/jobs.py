@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendmart.operators.machines import sync_state
-from spendmart.operators.validation import accepted_events, check_events
+from spendmart.operators.validation import accepted_events, check_events, rejected_events
 from spendmart.plans.ingest import ingest
 from spendmart.sources.event_table import EventTable
 from spendmart.sources.transcripts import stream_transcripts, with_order
@@ -51,7 +51,7 @@ def run_wire(
         checked = check_events(batch)
         table.merge(accepted_events(checked, "machine_id", "position"), batch_id, F.col("position"))
         if on_rejected is not None:
-            on_rejected(checked.filter(F.size("reasons") > 0).drop("_entry"), batch_id)
+            on_rejected(rejected_events(checked), batch_id)
 
     return uploads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -24,10 +24,11 @@ def test_bars_against_a_loop(spark):
 
 
 def test_day_labels(spark):
-    low, high = F.lit("2026-01-01").cast("date"), F.lit("2026-02-10").cast("date")
+    low, high = dt.date(2026, 1, 1), dt.date(2026, 2, 10)
     days = spark.createDataFrame([("2026-01-01",), ("2026-01-03",), ("2026-02-10",), ("2026-03-01",)], "d string")
     got = [r[0] for r in days.select(bars.day_bar_label(F.col("d").cast("date"), low, high)).collect()]
-    assert got == ["2026-01-01…2026-01-02", "2026-01-03…2026-01-05", "2026-02-08…2026-02-10", "2026-03-01"]
+    as_columns = [r[0] for r in days.select(bars.day_bar_label(F.col("d").cast("date"), F.lit(low), F.lit(high))).collect()]
+    assert got == as_columns == ["2026-01-01…2026-01-02", "2026-01-03…2026-01-05", "2026-02-08…2026-02-10", "2026-03-01"]
     assert dicts(windows.bar_labels(spark, "2026-01-01", "2026-01-03"), "bar") == [{"bar": n, "day": f"2026-01-0{n + 1}"} for n in range(3)]
 
 
