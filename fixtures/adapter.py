@@ -41,40 +41,31 @@ def prices(spark: SparkSession) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage events without a cost."""
-    events = table(spark, sf_dir, "events")
-    eid = F.col("event_id")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    pair = F.floor((eid % 11) / F.lit(2.0)).cast("bigint")
-    model = F.lit(None).cast("string")
-    for n, name in enumerate(MODELS):
-        model = F.when(eid % 8 == n, name) if n == 0 else model.when(eid % 8 == n, name)
-    return events.select(
-        F.concat(F.lit("r"), eid.cast("string")).alias("request_id"),
-        F.concat(F.lit("m"), eid.cast("string")).alias("message_id"),
-        F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), F.floor(eid / F.lit(1000.0)).cast("string")).alias("session_id"),
-        F.concat(F.lit("machine-"), (F.col("user_id") % 7).cast("string")).alias("machine_id"),
-        F.when(
-            eid % 97 != 0, F.concat(F.lit("team"), (F.col("user_id") % 3).cast("string"), F.lit("/proj"), (eid % 11).cast("string"))
-        ).alias("project_slug"),
-        F.when(eid % 5 != 0, F.concat(F.lit("key-"), pair.cast("string"))).alias("repo_key"),
-        F.when(
-            (eid % 5 != 0) & (eid % 3 == 0) & (eid % 11 < 8),
-            F.concat(F.lit("team0/repo"), F.least(pair, F.lit(2)).cast("string")),
-        ).alias("repo_name"),
-        F.lit(None).cast("string").alias("account_uuid"),
-        F.lit(None).cast("string").alias("org_uuid"),
-        F.when(eid % 13 == 0, F.concat(F.lit("title "), eid.cast("string"))).alias("session_title"),
-        model.alias("model"),
+    model = "CASE event_id % 8 " + " ".join(f"WHEN {n} THEN '{name}'" for n, name in enumerate(MODELS)) + " END"
+    k = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
+    pair = "CAST(floor((event_id % 11) / 2) AS BIGINT)"
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('r', event_id) AS request_id",
+        "concat('m', event_id) AS message_id",
+        "concat('s', user_id, '-', CAST(floor(event_id / 1000) AS BIGINT)) AS session_id",
+        "concat('machine-', user_id % 7) AS machine_id",
+        "CASE WHEN event_id % 97 <> 0 THEN concat('team', user_id % 3, '/proj', event_id % 11) END AS project_slug",
+        f"CASE WHEN event_id % 5 <> 0 THEN concat('key-', {pair}) END AS repo_key",
+        f"CASE WHEN event_id % 5 <> 0 AND event_id % 3 = 0 AND event_id % 11 < 8 THEN concat('team0/repo', least({pair}, 2)) END AS repo_name",
+        "CAST(NULL AS STRING) AS account_uuid",
+        "CAST(NULL AS STRING) AS org_uuid",
+        "CASE WHEN event_id % 13 = 0 THEN concat('title ', event_id) END AS session_title",
+        f"{model} AS model",
         "ts",
-        (k * 10).alias("input_tokens"),
-        F.floor(F.col("value") * 1000).cast("bigint").alias("cache_read_tokens"),
-        F.when(eid % 4 == 0, k * 200).otherwise(F.lit(0).cast("bigint")).alias("cache_write_5m_tokens"),
-        F.when(eid % 16 == 0, k * 400).otherwise(F.lit(0).cast("bigint")).alias("cache_write_1h_tokens"),
-        F.floor(F.col("value") * 10).cast("bigint").alias("output_tokens"),
-        (eid % 8 != 7).alias("priced"),
-        (F.col("event_type") == "signup").alias("is_subagent"),
-        eid.alias("event_id"),
-        F.col("user_id"),
+        f"{k} * 10 AS input_tokens",
+        "CAST(floor(value * 1000) AS BIGINT) AS cache_read_tokens",
+        f"CASE WHEN event_id % 4 = 0 THEN {k} * 200 ELSE 0L END AS cache_write_5m_tokens",
+        f"CASE WHEN event_id % 16 = 0 THEN {k} * 400 ELSE 0L END AS cache_write_1h_tokens",
+        "CAST(floor(value * 10) AS BIGINT) AS output_tokens",
+        "event_id % 8 <> 7 AS priced",
+        "event_type = 'signup' AS is_subagent",
+        "event_id",
+        "user_id",
     )
 
 

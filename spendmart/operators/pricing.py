@@ -149,44 +149,29 @@ def is_priced() -> Column:
     return F.col("price_model").isNotNull()
 
 
-def _tokens(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0)).cast("decimal(15,0)")
+def _tier(rate: str, prompt: str) -> str:
+    """The base rate, or the long-prompt one once the prompt is strictly over the threshold."""
+    return f"CASE WHEN ({prompt}) > lp_over THEN lp_{rate} ELSE {rate} END"
 
 
-def _tier(rate: str, prompt: Column) -> Column:
-    """The base rate, or the long-prompt one once the prompt is strictly over the threshold."""
-    return F.when(prompt > F.col("lp_over"), F.col(f"lp_{rate}")).otherwise(F.col(rate))
+def _charged(tokens: dict[str, str], prompt: str) -> str:
+    """Micro-dollars of each kind of token at its rate, exact in decimals."""
+    return " + ".join(f"CAST(coalesce({count}, 0) AS DECIMAL(15,0)) * {_tier(rate, prompt)}" for count, rate in tokens.items())
 
 
-def _sum_tokens(*names: str) -> Column:
-    total = F.lit(0).cast("bigint")
-    for name in names:
-        total = total + F.coalesce(F.col(name), F.lit(0))
-    return total
+_CACHED = {"cache_read_tokens": "read_rate", "cache_write_5m_tokens": "w5_rate", "cache_write_1h_tokens": "w1_rate"}
+_CACHE_PROMPT = " + ".join(f"coalesce({count}, 0)" for count in _CACHED)
 
 
 def turn_cost() -> Column:
     """Cost in micro-dollars of one turn after `price_asof`; zero for an unknown model."""
-    prompt = _sum_tokens("input_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens")
-    cost = (
-        _tokens("input_tokens") * _tier("in_rate", prompt)
-        + _tokens("cache_read_tokens") * _tier("read_rate", prompt)
-        + _tokens("cache_write_5m_tokens") * _tier("w5_rate", prompt)
-        + _tokens("cache_write_1h_tokens") * _tier("w1_rate", prompt)
-        + _tokens("output_tokens") * _tier("out_rate", prompt)
-    )
-    return F.coalesce(cost.cast(MONEY), F.lit(0).cast(MONEY))
+    tokens = {"input_tokens": "in_rate", **_CACHED, "output_tokens": "out_rate"}
+    return F.expr(f"CAST(coalesce({_charged(tokens, f'coalesce(input_tokens, 0) + {_CACHE_PROMPT}')}, 0) AS {MONEY})")
 
 
 def carry_cost() -> Column:
     """What re-paying the existing context cost: cache tokens only, which also pick the tier."""
-    prompt = _sum_tokens("cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens")
-    carry = (
-        _tokens("cache_read_tokens") * _tier("read_rate", prompt)
-        + _tokens("cache_write_5m_tokens") * _tier("w5_rate", prompt)
-        + _tokens("cache_write_1h_tokens") * _tier("w1_rate", prompt)
-    )
-    return carry.cast(MONEY)
+    return F.expr(f"CAST({_charged(_CACHED, _CACHE_PROMPT)} AS {MONEY})")
 
 
 def carry_split(events: DataFrame, prices: DataFrame) -> DataFrame:

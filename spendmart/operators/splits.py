@@ -161,9 +161,10 @@ def repo_labels(events: DataFrame, start: Instant, end: Instant, tags: DataFrame
     return merge_repositories(rows, []).filter(F.col("repo_key").isNotNull()).select("repo_key", "label", "event_count")
 
 
-def dimension_totals(rows: DataFrame) -> DataFrame:
-    """Totals per label, dearest first, then by label."""
-    return rows.groupBy("label").agg(*merged_sums()).orderBy(F.desc("cost_micro"), F.asc("label"))
+def dimension_totals(rows: DataFrame, collation: str | None = None) -> DataFrame:
+    """Totals per label, dearest first, then by label: byte order, or a collation such as `UNICODE` for people to read."""
+    by_name = F.collate("label", collation) if collation else F.col("label")
+    return rows.groupBy("label").agg(*merged_sums()).orderBy(F.desc("cost_micro"), by_name.asc())
 
 
 def rank_labels(totals: DataFrame) -> DataFrame:
@@ -238,8 +239,13 @@ def label_series(rows: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def bucket_rows(rows: DataFrame, first_day: Column | dt.date, last_day: Column | dt.date) -> DataFrame:
-    """Re-keys `day` to the label of its bar; done before any roll-up so ratios come from sums."""
-    return rows.withColumn("day", bars.day_bar_label(F.col("day").cast("date"), first_day, last_day))
+    """Re-keys `day` to the label of its bar; done before any roll-up so ratios come from sums.
+
+    The label is made non-nullable: a later join on it would otherwise push "label is not NULL" through
+    the roll-ups and work the label out once per event.
+    """
+    label = bars.day_bar_label(F.col("day").cast("date"), first_day, last_day)
+    return rows.withColumn("day", F.coalesce(label, F.lit("")))
 
 
 def series_per_bar(rows: DataFrame, top: DataFrame) -> DataFrame:
