@@ -44,9 +44,7 @@ def savings_summary(spark, sf):
 
 
 def model_mix(spark, sf):
-    rows = _by_model(spark, sf)
-    top = splits.top_labels(rows.withColumnRenamed("model", "label"))
-    return E.dense_mix(E.model_mix(rows, top), top)
+    return E.mix_of_top(_by_model(spark, sf))
 
 
 def subagent_share(spark, sf):

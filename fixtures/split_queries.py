@@ -48,8 +48,8 @@ def series_slots(spark, sf):
 
 def cost_series_top5(spark, sf):
     rows = _day_rows(spark, sf, Dimension.PROJECT)
-    bars = splits.bucket_rows(rows, dt.date(2024, 1, 1), dt.date(2024, 1, 31))
-    return _out(splits.series_per_bar(bars, splits.top_labels(rows)), "day", "series", "is_other")
+    chart = splits.series_chart(rows, dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+    return _out(chart, "day", "series", "is_other")
 
 
 def unpriced_days(spark, sf):

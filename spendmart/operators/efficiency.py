@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spendmart.functions import bars, clock, money
+from spendmart.functions import clock, money
 from spendmart.operators.filters import Instant, in_range, instant
 from spendmart.operators.pricing import cache_savings
-from spendmart.operators.splits import OTHER, dimension_value, label_series
+from spendmart.operators.splits import OTHER, dimension_value, label_series, top_labels
 from spendmart.schemas import DASHBOARD_ZONE, Dimension
+from spendmart.session import materialize
 
 EFFICIENCY_SUMS = [
     "cost_micro",
@@ -97,7 +98,7 @@ def model_mix(by_model: DataFrame, top: DataFrame) -> DataFrame:
     return totals.select("day", "series", "is_other", share.alias("share"), "day_events")
 
 
-def dense_mix(mix: DataFrame, top: DataFrame, with_other: Column | bool = True) -> DataFrame:
+def dense_mix(mix: DataFrame, top: DataFrame) -> DataFrame:
     """Adds the rows of shown models that were idle on a day: 0 on a spending day, NULL otherwise.
 
     Each day is completed from the shown labels, at most `TOP_SERIES` + 1 of them, carried as one array.
@@ -116,6 +117,13 @@ def dense_mix(mix: DataFrame, top: DataFrame, with_other: Column | bool = True)
     return completed.select("day", F.col("_key.series").alias("series"), F.col("_key.is_other").alias("is_other"), share.alias("share"), "day_events")
 
 
+def mix_of_top(by_model: DataFrame) -> DataFrame:
+    """Shares of the dearest models of the window and `Other`. The mart is read several times, so it is written out once."""
+    kept = materialize(by_model, "by-model")
+    top = materialize(top_labels(kept.withColumnRenamed("model", "label")), "top")
+    return dense_mix(model_mix(kept, top), top)
+
+
 def subagent_share(cost_micro: Column, subagent_micro: Column, subagent_events: Column) -> Column:
     """NULL without spend, and when subagents ran but only on unpriced models."""
     unknown = (cost_micro == 0) | ((subagent_micro == 0) & (subagent_events > 0))

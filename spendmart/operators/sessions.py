@@ -9,8 +9,9 @@ from spendmart.functions import bars, clock, money
 from spendmart.operators.filters import Instant, in_range
 from spendmart.operators.ordered import blocked_rank
 from spendmart.operators.pricing import carry_split
-from spendmart.operators.splits import dimension_value, merged_sums, project_rows, repo_labels, spend_sums, with_repo_label
+from spendmart.operators.splits import dimension_value, labels_of_rows, merged_sums, spend_sums, spread_tags, with_repo_label
 from spendmart.schemas import MONEY, UNATTRIBUTED, Dimension, SessionSort
+from spendmart.session import materialize
 
 PAGE_SIZE = 25
 TURN_ORDER = ["ts", "request_id", "message_id"]
@@ -28,6 +29,7 @@ def session_partials(events: DataFrame, *keys: str) -> DataFrame:
         *spend_sums(),
         F.collect_set(dimension_value(Dimension.MODEL)).alias("models"),
         F.max(F.when(F.col("session_title").isNotNull(), F.struct("ts", "session_title"))).alias("_title"),
+        F.max("repo_name").alias("repo_name"),
     )
 
 
@@ -79,7 +81,9 @@ def page_index(raw: str | None) -> int:
 
 
 def with_lifetime(page: DataFrame, events: DataFrame) -> DataFrame:
-    """Adds what each listed session cost over all time. The page bounds the broadcast side."""
+    """Adds what each listed session cost over all time. The page is a fixed number of rows: it is written out
+    once, so its sessions are not grouped again, and it bounds the broadcast side."""
+    page = materialize(page, "page")
     ids = F.broadcast(page.select(F.col("session_id").alias("_id")))
     totals = (
         events.join(ids, F.col("session_id") == F.col("_id"), "left_semi")
@@ -123,15 +127,19 @@ def sessions_by_label(
     """
     window = in_range(events, start, end)
     if dimension is Dimension.REPO:
-        return _repo_sessions(window, repo_labels(events, start, end, tags), tags)
+        return _repo_sessions(_parts(window), tags)
     if dimension is Dimension.PROJECT:
-        keyed = finish_sessions(
-            merge_partials(_with_project_label(session_partials(window, "repo_key", "project_slug"), window), "label"), "label"
-        )
-        return keyed
+        return _project_sessions(_parts(window))
     return group_sessions(window.withColumn("label", dimension_value(dimension)), "label")
 
 
+def _parts(window: DataFrame) -> DataFrame:
+    """Each session's measures per folder and repository, written out once: labels and sessions both come from them."""
+    return materialize(session_partials(window, "repo_key", "project_slug"), "parts").withColumn(
+        "slug", dimension_value(Dimension.PROJECT)
+    )
+
+
 def sessions_of_value(
     events: DataFrame, dimension: Dimension, value: str, start: Instant, end: Instant, tags: DataFrame | None = None
 ) -> DataFrame:
@@ -142,20 +150,16 @@ def sessions_of_value(
     return sessions_by_label(events, dimension, start, end, tags).filter(F.col("label") == value).drop("label")
 
 
-def _with_project_label(partials: DataFrame, window: DataFrame) -> DataFrame:
-    keyed = window.filter(F.col("repo_key").isNotNull()).withColumn("day", F.lit(""))
-    labels = (
-        with_repo_label(project_rows(keyed, ["day"]))
-        .groupBy(F.col("repo_key").alias("_key"))
-        .agg(F.min("label").alias("_label"))
-    )
-    joined = partials.join(labels, F.col("repo_key") == F.col("_key"), "left")
-    return joined.withColumn("label", F.coalesce("_label", dimension_value(Dimension.PROJECT))).drop("_key", "_label")
+def _project_sessions(parts: DataFrame) -> DataFrame:
+    rows = parts.filter(F.col("repo_key").isNotNull()).groupBy("slug", "repo_key").agg(*merged_sums(), F.max("repo_name").alias("repo_name"))
+    labels = with_repo_label(rows).groupBy(F.col("repo_key").alias("_key")).agg(F.min("label").alias("_label"))
+    joined = parts.join(labels, F.col("repo_key") == F.col("_key"), "left").withColumn("label", F.coalesce("_label", "slug"))
+    return finish_sessions(merge_partials(joined, "label"), "label")
 
 
-def _repo_sessions(window: DataFrame, labels: DataFrame, tags: DataFrame | None) -> DataFrame:
+def _repo_sessions(parts: DataFrame, tags: DataFrame | None) -> DataFrame:
     """A tagged session counts whole under each of its tags, an untagged one only its parts with that repository."""
-    parts = session_partials(window, "repo_key")
+    labels = labels_of_rows(spread_tags(parts, tags))
     if tags is not None:
         tag = tags.select(F.col("session_id").alias("_sid"), F.col("repo_key").alias("_tag_key"))
         parts = parts.join(tag, parts["session_id"] == tag["_sid"], "left").withColumn(

@@ -17,6 +17,7 @@ from spendmart.functions.models import normalize_model
 from spendmart.operators.filters import Instant, in_range
 from spendmart.operators.ordered import blocked_rank
 from spendmart.schemas import DASHBOARD_ZONE, UNATTRIBUTED, Dimension
+from spendmart.session import materialize
 
 TOP_SERIES = 5
 OTHER = "Other"
@@ -110,26 +111,28 @@ def session_parts(window: DataFrame, grain: list[str]) -> DataFrame:
 
 
 def repo_rows(window: DataFrame, tags: DataFrame | None, *grain: str) -> DataFrame:
-    """A tagged session's whole spend once under every tag; an untagged one under each event's own repository.
+    """A tagged session's whole spend once under every tag; an untagged one under each event's own repository."""
+    return spread_tags(session_parts(window, list(grain)), tags, *grain)
 
-    One left join from session grain: a session without tags keeps its own key, a session with tags
-    is repeated per tag, which is the rule and not an accident of the join.
-    """
-    parts = session_parts(window, list(grain))
+
+def spread_tags(parts: DataFrame, tags: DataFrame | None, *grain: str) -> DataFrame:
+    """One left join from session grain: a session without tags keeps its own keys, a session with tags
+    is repeated per tag, which is the rule and not an accident of the join."""
     if tags is None:
-        return parts.drop("session_id")
-    tag = tags.select(F.col("session_id").alias("_tag_session"), F.col("repo_key").alias("_tag_key"), F.col("name").alias("_tag_name"))
-    joined = parts.join(tag, parts["session_id"] == tag["_tag_session"], "left")
-    tagged = F.col("_tag_key").isNotNull()
-    spread = joined.select(
-        *grain,
-        F.when(tagged, F.col("_tag_key")).otherwise(F.col("repo_key")).alias("repo_key"),
-        F.when(tagged, F.col("_tag_name")).otherwise(F.col("slug")).alias("slug"),
-        F.when(tagged, F.col("_tag_name")).otherwise(F.col("repo_name")).alias("repo_name"),
-        "cost_micro",
-        "unpriced_events",
-        "event_count",
-    )
+        spread = parts
+    else:
+        tag = tags.select(F.col("session_id").alias("_tag_session"), F.col("repo_key").alias("_tag_key"), F.col("name").alias("_tag_name"))
+        joined = parts.join(tag, parts["session_id"] == tag["_tag_session"], "left")
+        tagged = F.col("_tag_key").isNotNull()
+        spread = joined.select(
+            *grain,
+            F.when(tagged, F.col("_tag_key")).otherwise(F.col("repo_key")).alias("repo_key"),
+            F.when(tagged, F.col("_tag_name")).otherwise(F.col("slug")).alias("slug"),
+            F.when(tagged, F.col("_tag_name")).otherwise(F.col("repo_name")).alias("repo_name"),
+            "cost_micro",
+            "unpriced_events",
+            "event_count",
+        )
     return spread.groupBy(*grain, "repo_key", "slug", "repo_name").agg(*merged_sums())
 
 
@@ -157,7 +160,10 @@ def number_twins(rows: DataFrame) -> DataFrame:
 
 def repo_labels(events: DataFrame, start: Instant, end: Instant, tags: DataFrame | None = None) -> DataFrame:
     """(repo_key, label, event_count): the unique label each repository carries in the window."""
-    rows = repo_rows(in_range(events, start, end), tags)
+    return labels_of_rows(repo_rows(in_range(events, start, end), tags))
+
+
+def labels_of_rows(rows: DataFrame) -> DataFrame:
     return merge_repositories(rows, []).filter(F.col("repo_key").isNotNull()).select("repo_key", "label", "event_count")
 
 
@@ -172,7 +178,7 @@ def rank_labels(totals: DataFrame) -> DataFrame:
     cost = F.col("cost_micro").cast("double")
     magnitude = F.when(cost > 0, F.floor(F.log2(cost + 1) * 16)).otherwise(F.lit(0)).cast("int")
     block = F.struct((-magnitude).alias("m"), F.when(cost > 0, "").otherwise(F.substring("label", 1, 2)).alias("p"))
-    one = totals.withColumn("_all", F.lit(0))
+    one = materialize(totals, "totals").withColumn("_all", F.lit(0))
     return blocked_rank(one, ["_all"], [F.desc("cost_micro"), F.asc("label")], block, "place").drop("_all")
 
 
@@ -261,6 +267,12 @@ def pivot_series(rows: DataFrame, top: DataFrame, labels: list[str]) -> DataFram
     return long.groupBy("day").agg(*columns, other, F.sum("unpriced_events").alias("unpriced_events"), F.sum("event_count").alias("event_count"))
 
 
+def series_chart(rows: DataFrame, first_day: dt.date, last_day: dt.date) -> DataFrame:
+    """Top labels and `Other` per bar. The day rows are read twice, so they are written out once first."""
+    kept = materialize(rows, "daily")
+    return series_per_bar(bucket_rows(kept, first_day, last_day), top_labels(kept))
+
+
 def unpriced_days(rows: DataFrame) -> DataFrame:
     """One row: how many days (or bars) hold unpriced events, how many events, and the sentence about it."""
     per_day = rows.groupBy("day").agg(F.sum("unpriced_events").alias("unpriced_events")).filter("unpriced_events > 0")

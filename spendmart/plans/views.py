@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spendmart.functions import clock, money, names
 from spendmart.operators import efficiency, splits, windows
 from spendmart.schemas import DASHBOARD_ZONE
+from spendmart.session import materialize
 
 
 def with_display_names(rows: DataFrame, machine: str, nicknames: DataFrame | None) -> DataFrame:
@@ -23,6 +24,7 @@ def with_display_names(rows: DataFrame, machine: str, nicknames: DataFrame | Non
 
 def totals_table(rows: DataFrame, domain: DataFrame) -> DataFrame:
     """Every label of the window with its totals and colour slot; NULL slot means it is part of `Other`."""
+    rows = materialize(rows, "daily")
     # at most TOP_SERIES rows by construction
     slots = F.broadcast(splits.series_slots(splits.top_labels(rows), domain).select(F.col("label").alias("_label"), "slot"))
     totals = rows.groupBy("label").agg(*splits.merged_sums())
@@ -34,8 +36,7 @@ def cost_chart(rows: DataFrame, first_day: dt.date, last_day: dt.date) -> DataFr
 
     Ranked on the raw days, re-keyed before the sums, filled last.
     """
-    top = splits.top_labels(rows)
-    series = splits.series_per_bar(splits.bucket_rows(rows, first_day, last_day), top)
+    series = splits.series_chart(rows, first_day, last_day)
     per_bar = series.groupBy("day").agg(
         F.map_from_entries(F.collect_list(F.when(~F.col("is_other"), F.struct("series", "cost_micro")))).alias("shown"),
         F.sum(F.when(F.col("is_other"), F.col("cost_micro"))).alias("other_micro"),
@@ -55,8 +56,7 @@ def savings_card(by_model: DataFrame, first_day: dt.date, last_day: dt.date) ->
 
 def mix_card(by_model: DataFrame, first_day: dt.date, last_day: dt.date) -> DataFrame:
     """Model shares per bar, ranked over the window; shares of sums, not means of shares. An empty bar has no shares."""
-    top = splits.top_labels(by_model.withColumnRenamed("model", "label"))
-    mix = efficiency.dense_mix(efficiency.model_mix(splits.bucket_rows(by_model, first_day, last_day), top), top)
+    mix = efficiency.mix_of_top(splits.bucket_rows(by_model, first_day, last_day))
     return windows.fill_bars(mix, windows.bar_labels(by_model.sparkSession, first_day, last_day), {"day_events": 0})
 
 
