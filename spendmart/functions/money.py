@@ -1,4 +1,7 @@
-"""Money and the sentences built around it. Sums stay exact decimals; dollars appear at the edge."""
+"""Money and the sentences built around it. Sums stay exact decimals; dollars appear at the edge.
+
+fixed values: the wording of the sentences and the two-decimal dollar format.
+"""
 
 from __future__ import annotations
 
