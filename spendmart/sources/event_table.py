@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spendmart.operators.fold import KEY, fold, from_state, to_state
 from spendmart.schemas import EVENT_COLUMNS
+from spendmart.session import materialize
 
 BUCKETS = 16
 
@@ -35,7 +36,8 @@ class EventTable:
     def merge(self, events: DataFrame, batch_id: int, position: Column) -> None:
         """Folds a batch in. `position` orders rows inside the batch."""
         seq = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), position.alias("position"))
-        incoming = fold(to_state(events, seq)).withColumn("bucket", key_bucket(self.buckets))
+        # read three times below, so the batch is worked out once and written
+        incoming = materialize(fold(to_state(events, seq)).withColumn("bucket", key_bucket(self.buckets)), "incoming")
         stored = self._stored()
         if stored is None:
             merged = incoming
