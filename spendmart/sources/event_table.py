@@ -23,18 +23,42 @@ class EventTable:
     A re-sent row may carry another instant, so stored rows are found by key, never by its date: only
     the two id columns of the touched buckets are scanned for that. Merging rewrites just the
     partitions holding a touched key. The fold is idempotent, so a batch that is retried changes nothing.
+    New partitions are staged in full before any old one is replaced, so a merge cut off at any point is
+    either finished by the next one or never happened. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
+        self.staging = f"{path}.staging"
+
+    def _exists(self, path: str) -> bool:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(hadoop))
 
     def _stored(self) -> DataFrame | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.parquet(self.path) if files.exists(hadoop) and files.listStatus(hadoop) else None
+        return self.spark.read.parquet(self.path) if self._exists(f"{self.path}/event_date=*") else None
+
+    def _apply(self) -> None:
+        """Replaces the partitions named in the staged copy, then drops the copy. Safe to repeat."""
+        (
+            self.spark.read.parquet(self.staging)
+            .repartition("event_date", "bucket")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("event_date", "bucket")
+            .parquet(self.path)
+        )
+        staged = self.spark._jvm.org.apache.hadoop.fs.Path(self.staging)
+        staged.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(staged, True)
+
+    def recover(self) -> None:
+        """Finishes a merge that was cut off while replacing partitions: its staged copy is complete, so apply it again."""
+        if self._exists(f"{self.staging}/_SUCCESS"):
+            self._apply()
 
     def merge(self, events: DataFrame, batch_id: int, position: Column) -> None:
         """Folds a batch in. `position` orders rows inside the batch."""
+        self.recover()
         seq = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), position.alias("position"))
         # read three times below, so the batch is worked out once and written
         incoming = materialize(fold(to_state(events, seq)).withColumn("bucket", key_bucket(self.buckets)), "incoming")
@@ -50,13 +74,8 @@ class EventTable:
             columns = [c for c in incoming.columns if c != "bucket"]
             merged = fold(rewritten.select(*columns).unionByName(incoming.select(*columns))).withColumn("bucket", key_bucket(self.buckets))
         dated = merged.withColumn("event_date", F.col("first.ts").cast("date"))
-        (
-            dated.repartition("event_date", "bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date", "bucket")
-            .parquet(self.path)
-        )
+        dated.write.mode("overwrite").parquet(self.staging)
+        self._apply()
 
     def events(self) -> DataFrame:
         """The table as plain events, with `event_date` left in for partition pruning."""

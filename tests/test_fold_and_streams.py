@@ -1,8 +1,10 @@
 import itertools
 import json
 import random
+import shutil
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, dicts, event, frame
@@ -75,6 +77,26 @@ def test_stored_table_equals_the_rule_batch_by_batch(spark, tmp_path):
     assert duplicate_keys(table.events()).count() == 0
 
 
+def test_a_merge_cut_off_while_replacing_partitions_is_finished(spark, tmp_path, monkeypatch):
+    rows, path = writes(60, 4), str(tmp_path / "events")
+    EventTable(spark, path, buckets=2).merge(numbered(spark, rows[:20]), 0, F.col("n"))
+    lost = EventTable(spark, path, buckets=2)
+
+    def cut_off():
+        # the partitions about to be replaced are gone, their new files are not there yet
+        for row in spark.read.parquet(lost.staging).select("event_date", "bucket").distinct().collect():
+            shutil.rmtree(tmp_path / "events" / f"event_date={row['event_date']}" / f"bucket={row['bucket']}", ignore_errors=True)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(lost, "_apply", cut_off)
+    with pytest.raises(RuntimeError):
+        lost.merge(numbered(spark, rows[20:40]), 1, F.col("n"))
+    table = EventTable(spark, path, buckets=2)
+    table.merge(numbered(spark, rows[20:40]), 1, F.col("n"))
+    table.merge(numbered(spark, rows[40:]), 2, F.col("n"))
+    assert dicts(table.events().select(*EVENT_COLUMNS), "request_id") == model(rows)
+
+
 def test_layout_prunes_dates(spark, tmp_path):
     from spendmart.operators.filters import in_range
 
