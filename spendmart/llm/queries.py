@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendmart.llm import ngram_join, substrings
+from spendmart.llm import bpe, decontaminate, ngram_join, substrings
 from spendmart.llm.shared import identified, read
 
 QUERIES, ORACLES = {}, {}
@@ -25,3 +26,17 @@ def op4_substring_dedup(spark, sf):
 def op6_ngram_jaccard(spark, sf):
     docs = identified(read(spark, sf, "documents"))
     return ngram_join.near_duplicates(docs, width=3, percent=90)
+
+
+@query
+def op8_decontamination(spark, sf):
+    docs = identified(read(spark, sf, "documents"))
+    found = decontaminate.verdicts(decontaminate.benchmark_matches(docs, read(spark, sf, "benchmark"), width=13))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query
+def op9_byte_bpe(spark, sf):
+    docs = identified(read(spark, sf, "documents"))
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
