@@ -6,12 +6,13 @@ Steps, each a distributed job:
 1. One pass finds heavy shingles: those that one task sees in at least `heavy_share` of its documents. Whatever
    is held by that share of all documents is held by it in some task, and a task can list at most
    (mean set size / heavy_share) of them, so the merged list is bounded whatever the corpus size.
-2. A second pass orders each set by (heavy count, hash) and keeps the prefix that two linked sets must share
-   (all but the needed overlap, plus one). Equal sets are one class. Prefix tokens travel in arrays by hash slot,
-   one posting per task and token; tokens held by one set only vanish there.
-3. Every set that shares a token picks a leader, the best-connected set among its tokens' holders. Groups are
-   leaders with their followers, split in blocks of bounded size. A set is a query to every group that holds a set
-   with one of its tokens.
+2. A second pass orders each set by (heavy count, hash) and keeps a prefix: all but the needed overlap, plus a
+   twentieth. Two linked sets share at least that twentieth of the smaller one within their prefixes. Equal sets are
+   one class. Prefix tokens travel in arrays by hash slot, one posting per task and token; tokens held by one set only
+   vanish there, and so do sets left with too few shared tokens to link with anything.
+3. Every remaining set picks a leader, the best-connected set among its tokens' holders. Groups are leaders with their
+   followers, split in blocks of bounded size. A set is a query to every group whose union of prefix tokens holds enough
+   of its own.
 4. A unit of work is one block against one block of queries. Inside, the matrix of tokens by small groups gives
    the bound; groups that pass are opened and compared exactly. Sets linked to the leader are joined through it and
    need no comparison with each other. A unit reports at most one link per set, enough for the components.
@@ -58,7 +59,7 @@ def _heavy(width: int, share: float):
             for chunk in tb.chunks(batch.column("text"), rows=_ROWS):
                 docs += chunk.last - chunk.first
                 held.append(_sets(chunk, width)[1])
-                if sum(map(len, held)) > 4_000_000:
+                if sum(map(len, held)) > 2_000_000:
                     yield from _counted(held, docs, share)
                     held, docs = [], 0
         yield from _counted(held, docs, share)
@@ -89,6 +90,11 @@ def _needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def _shared_at_least(n):
+    """Prefix tokens that a set of n shares with any other set of n tokens or more that it links to."""
+    return 1 + n // 20
+
+
 def _prefixes(width: int, percent: int, slots: int, heavy):
     def run(batches):
         tokens, counts = heavy.value
@@ -112,7 +118,7 @@ def _prefixes(width: int, percent: int, slots: int, heavy):
                         weight = np.where(tokens[at] == found, counts[at], 0)
                 score = np.bincount(rows, weights=np.log1p(weight), minlength=n_rows) / np.maximum(n, 1)
                 order = np.lexsort((found, weight, rows))
-                prefix = n - _needed(n, percent) + 1
+                prefix = np.minimum(n, n - _needed(n, percent) + _shared_at_least(n))
                 # so small that only an equal set could link, which is the same class; an empty set is one of them
                 prefix[(_needed(n, percent) == n) & (n * 100 // percent == n)] = 0
                 take = order[tb.ragged(first, prefix)]
@@ -309,7 +315,20 @@ def _unit(percent: int):
     return run
 
 
-def _grouped(sets: DataFrame, shared: DataFrame) -> DataFrame:
+def _least_shared(percent: int):
+    """Column form: what a set of n must share with a set it links to, which may be smaller."""
+    return F.expr(f"1 + ((n * {percent} + 99) div 100) div 20")
+
+
+def _enough(held: DataFrame, percent: int) -> DataFrame:
+    """(token, doc_id, n, score) without tokens of one holder, and without sets left with too few tokens."""
+    several = materialize(held.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "several")
+    held = materialize(held.join(several, "token"), "shared")
+    full = held.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= _least_shared(percent)).select("doc_id")
+    return materialize(held.join(materialize(full, "full"), "doc_id"), "shared")
+
+
+def _grouped(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Units of work: (unit, role, doc_id, tokens); role 0 leader, 1 block, 2 the block or queries it meets."""
     tops = shared.groupBy("token").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("top"))
     tops = materialize(tops.select("token", "top"), "tops")
@@ -320,8 +339,9 @@ def _grouped(sets: DataFrame, shared: DataFrame) -> DataFrame:
     apart = materialize(apart, "apart")
     mixed = materialize(held.join(apart, "token"), "mixed")
     meets = materialize(mixed.select("token", F.col("leader").alias("other")).distinct(), "meets")
-    foreign = mixed.join(meets, "token").filter("leader < other").select("doc_id", F.col("other").alias("leader")).distinct()
-    foreign = materialize(foreign.join(leads.select("doc_id", "n"), "doc_id"), "foreign")
+    foreign = mixed.join(meets, "token").filter("leader < other").groupBy("doc_id", F.col("other").alias("leader")).agg(F.count(F.lit(1)).alias("k"))
+    foreign = foreign.join(leads.select("doc_id", "n"), "doc_id").filter(F.col("k") >= _least_shared(percent)).select("doc_id", "leader", "n")
+    foreign = materialize(foreign, "foreign")
     blocks = leads.groupBy("leader").agg(F.sum("n").alias("own"))
     asked = foreign.groupBy("leader").agg(F.sum("n").alias("asked"))
     parts = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / BLOCK_TOKENS).cast("int")
@@ -364,12 +384,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = materialize(heads.filter("n > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.max("score").alias("score"), F.max("n").alias("n")), "classes")
     holders = passed.filter("kind = 1").select("token", "doc_id").distinct()
     holders = materialize(holders.join(classes.select(F.col("rep").alias("doc_id"), "n", "score").dropDuplicates(["doc_id"]), "doc_id"), "holders")
-    several = materialize(holders.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "several")
-    shared = materialize(holders.join(several, "token"), "shared")
+    shared = _enough(_enough(holders, percent), percent)
     needed = shared.select("doc_id").distinct()
-    sets = known.filter("text IS NOT NULL").join(needed, "doc_id").select("doc_id", "text").mapInArrow(_packed(width), "doc_id long, tokens binary")
-    sets = materialize(sets.dropDuplicates(["doc_id", "tokens"]), "sets")
-    links = _grouped(sets, shared).groupBy("unit").applyInArrow(_unit(percent), "u long, v long")
+    sets = known.filter("text IS NOT NULL").join(needed, "doc_id").withColumn("fp", F.xxhash64("text")).dropDuplicates(["doc_id", "fp"]).select("doc_id", "text").mapInArrow(_packed(width), "doc_id long, tokens binary")
+    sets = materialize(sets, "sets")
+    links = _grouped(sets, shared, percent).groupBy("unit").applyInArrow(_unit(percent), "u long, v long")
     # texts that share an id connect their classes
     many = materialize(heads.filter("n > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id"), "many")
     same = heads.join(many, "doc_id").join(classes.select("set1", "set2", "rep"), ["set1", "set2"])
