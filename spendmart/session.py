@@ -26,21 +26,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    A temporary one only where that is unset and every executor is in this process, as in tests.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spendmart-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def materialize(rows: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes the rows to a table in the checkpoint folder and reads them back.
+def materialize(rows: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Cuts lineage: writes the rows to a table in the checkpoint folder, at once, and reads them back.
 
     For intermediates used several times. Unlike a cache it survives lost executors, and unlike a row
     checkpoint its readers still prune columns and know its size.
     """
     spark = rows.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     return spark.read.schema(rows.schema).parquet(path)
