@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendmart.llm import bpe, decontaminate, ngram_join, substrings
-from spendmart.llm.shared import identified, read
+from spendmart.llm import bpe, decontaminate, language, ngram_join, substrings, token_files
+from spendmart.llm.shared import crc_fold, identified, read
 
 QUERIES, ORACLES = {}, {}
 
@@ -40,3 +40,18 @@ def op9_byte_bpe(spark, sf):
     docs = identified(read(spark, sf, "documents"))
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op1_token_files(spark, sf):
+    docs = identified(read(spark, sf, "documents"))
+    segments = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_documents(segments)
+
+
+@query
+def op2_language_mixture(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("fold", crc_fold("doc_id", 4))
+    model = language.train(docs.filter("fold <> 2"))
+    predicted = language.predict(docs.withColumn("held_out", F.coalesce(F.col("fold") == 2, F.lit(False))), model, keep=["doc_id", "held_out"])
+    return predicted.select("doc_id", "held_out", "lang_pred", "score", "shares")
