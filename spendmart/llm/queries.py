@@ -5,10 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendmart.llm import bpe, decontaminate, language, ngram_join, substrings, token_files
+from spendmart.llm import bpe, decontaminate, hosts, language, licenses, ngram_join, permutation_index, substrings, token_files, toxicity
 from spendmart.llm.shared import crc_fold, identified, read
 
 QUERIES, ORACLES = {}, {}
+RULES = [
+    hosts.Rule("allow", "org/"),
+    hosts.Rule("block", "example.org/es/"),
+    hosts.Rule("block", "example.org/en/1"),
+    hosts.Rule("allow", "com/fr/"),
+    hosts.Rule("block", "com/de/"),
+]
 
 
 def query(build):
@@ -55,3 +62,32 @@ def op2_language_mixture(spark, sf):
     model = language.train(docs.filter("fold <> 2"))
     predicted = language.predict(docs.withColumn("held_out", F.coalesce(F.col("fold") == 2, F.lit(False))), model, keep=["doc_id", "held_out"])
     return predicted.select("doc_id", "held_out", "lang_pred", "score", "shares")
+
+
+@query
+def op3_host_reputation(spark, sf):
+    pages = read(spark, sf, "pages").select("page_id", "url")
+    # a page shows the document its path ends in; its labels tell whether it turned out bad
+    labels = read(spark, sf, "labels").filter("quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
+    labels = labels.agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
+    shown = pages.select(hosts.host_of(F.col("url")).alias("host"), F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/(\\d+)', 1) AS BIGINT)").alias("doc_id"))
+    return hosts.judge(pages, shown.join(labels, "doc_id").select("host", "bad"), RULES)
+
+
+@query
+def op5_toxicity(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text").withColumn("fold", crc_fold("doc_id", 5))
+    learned = docs.filter("fold <> 0").select("doc_id", "text")
+    labels = read(spark, sf, "labels").filter(crc_fold("doc_id", 5) != 0)
+    model = toxicity.train(learned, labels)
+    return toxicity.score(docs.withColumn("held_out", F.coalesce(F.col("fold") == 0, F.lit(False))), model, keep=["doc_id", "held_out"])
+
+
+@query
+def op7_license_scan(spark, sf):
+    return licenses.license_blocks(identified(read(spark, sf, "documents")))
+
+
+@query
+def op10_permutation_index(spark, sf):
+    return permutation_index.search(read(spark, sf, "embeddings"), "vec_id % 20 = 0", best=20)
