@@ -23,7 +23,7 @@ from spendmart.llm.shared import materialize
 
 SAMPLE = 20_000  # labelled rows the model is fitted on, at most half of either kind
 MAX_TERMS = 128
-SUPPORT = 4, 0.005  # toxic documents of the sample that hold a term: at least so many, and such a share
+SUPPORT = 6, 0.005  # toxic documents of the sample that hold a term: at least so many, and such a share
 LIFT = 8.0  # how many times more often toxic documents hold it
 WINDOW = 10  # words to either side
 _QUOTES = [ord(c) for c in '"“”„«»']
