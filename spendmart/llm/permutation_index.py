@@ -5,6 +5,9 @@ its rank. A query opens the files of its own pivots; for ranks counted from 0 to
 footrule distance is k(k+1) minus twice the sum, over shared pivots, of the smaller of the two distances to k, so
 postings of shared pivots are all it takes. The best share of a shard by footrule is reranked on the original vectors.
 
+Inner products are turned into angles first: every vector gets one more component that brings it to the largest norm
+of all, queries get a zero there, and pivots are vectors so extended.
+
 Shards are rows of a table (vectors and inverted files of SHARD vectors); query blocks meet shards in units of
 bounded size, and every unit keeps only its best per query.
 """
@@ -26,14 +29,11 @@ SHARD = 8192
 QUERIES = 4096  # per unit
 
 
-def _matrix(column: pa.Array, dimension: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that take part, their vectors): none null, of other length, zero, or with null or non-finite components."""
     arrays = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     valid = arrays.is_valid().to_numpy(zero_copy_only=False)
     sizes = np.array(arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    if dimension is None:
-        found = sizes[valid & (sizes > 0)]
-        dimension = int(np.bincount(found).argmax()) if len(found) else 0
     keep = np.flatnonzero(valid & (sizes == dimension) & (dimension > 0))
     if not len(keep):
         return keep, np.zeros((0, max(1, dimension)))
@@ -43,14 +43,23 @@ def _matrix(column: pa.Array, dimension: int | None = None) -> tuple[np.ndarray,
     return keep[good], rows[good]
 
 
-def fit_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """Unit vectors of distinct sampled rows, the first by hash of the id."""
-    sample = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE)
-    table = sample.select("embedding").toArrow()
-    _, rows = _matrix(table.column("embedding")) if table.num_rows else (None, np.zeros((0, 1)))
+def _sampled(vectors: DataFrame, column: str) -> pa.Table:
+    """PIVOT_SAMPLE rows, the first by hash of the id."""
+    return vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select(column).toArrow()
+
+
+def extended(rows: np.ndarray, norm: float | None = None) -> np.ndarray:
+    """Rows with a last component that gives all the same norm; without a norm, zero."""
+    rest = np.zeros(len(rows)) if norm is None else np.sqrt(np.maximum(0.0, norm * norm - (rows * rows).sum(axis=1)))
+    return np.column_stack([rows, rest])
+
+
+def fit_pivots(vectors: DataFrame, norm: float, pivots: int = PIVOTS) -> np.ndarray:
+    """Distinct extended rows of a sample of the vectors that take part."""
+    packed = _sampled(vectors, "vector").column("vector").to_pylist()
+    rows = np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
     _, first = np.unique(rows, axis=0, return_index=True)
-    chosen = rows[np.sort(first)[:pivots]]
-    return chosen / np.linalg.norm(chosen, axis=1, keepdims=True) if len(chosen) else chosen
+    return extended(rows[np.sort(first)[:pivots]], norm)
 
 
 def permutations(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -58,25 +67,25 @@ def permutations(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, : min(NEAREST, len(pivots))].astype(np.int16)
 
 
-def _take_part(pivots):
+def _take_part(dimension: int):
     def run(batches):
-        dimension = pivots.value.shape[1]
         for batch in batches:
             at, rows = _matrix(batch.column("embedding"), dimension)
             ids = batch.column("vec_id").take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in rows], pa.binary())], names=["vec_id", "vector"])
+            norms = np.sqrt((rows * rows).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(norms)], names=["vec_id", "vector", "norm"])
 
     return run
 
 
-def _shard(pivots):
+def _shard(pivots, norm: float):
     """One shard's rows to one row: ids, vectors, and the inverted files: postings of pivot p are files[edges[p]:edges[p+1]]."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         rows = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(ids), -1)[order]
-        near = permutations(rows, pivots.value)
+        near = permutations(extended(rows, norm), pivots.value)
         k = near.shape[1]
         pivot, rank = near.ravel(), np.tile(np.arange(k), len(near))
         by_pivot = np.argsort(pivot, kind="stable")
@@ -94,14 +103,12 @@ def _shard(pivots):
 _SHARDS = "shard long, ids binary, vectors binary, edges binary, posted binary, weight binary"
 
 
-def build_index(vectors: DataFrame, pivots) -> tuple[DataFrame, int]:
-    """Table of shards, and their number, over every vector that takes part. vectors: vec_id, embedding; pivots: a broadcast of fit_pivots()."""
-    rows = vectors.filter("vec_id IS NOT NULL").mapInArrow(_take_part(pivots), "vec_id long, vector binary")
-    rows = materialize(rows, "vectors")
+def build_index(rows: DataFrame, pivots, norm: float) -> tuple[DataFrame, int]:
+    """Table of shards, and their number, over all rows (vec_id, vector); pivots: a broadcast of fit_pivots()."""
     shards = max(1, -(-rows.count() // SHARD))
     # copies of a row may share an id, so the vector takes part in the dealing
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)))
-    return materialize(dealt.groupBy("shard").applyInArrow(_shard(pivots), _SHARDS), "shards"), shards
+    dealt = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard"))
+    return materialize(dealt.groupBy("shard").applyInArrow(_shard(pivots, norm), _SHARDS), "shards"), shards
 
 
 def _search(pivots, best: int):
@@ -114,7 +121,7 @@ def _search(pivots, best: int):
         vectors = one("vectors", np.float64).reshape(len(ids), -1)
         asked = right.column("vec_id").to_numpy()
         queries = np.frombuffer(b"".join(right.column("vector").to_pylist()), np.float64).reshape(len(asked), -1)
-        near = permutations(queries, pivots.value)
+        near = permutations(extended(queries), pivots.value)
         k = near.shape[1]
         opened = min(len(ids), max(4 * best, int(np.ceil(OPENED * len(ids)))))
         out = []
@@ -147,21 +154,23 @@ def _search(pivots, best: int):
 def search(vectors: DataFrame, asked: str, best: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every row that meets the SQL condition `asked` against all other rows.
 
-    vectors: vec_id long, embedding array. score is the inner product of the originals in double precision, summed in
+    vectors: vec_id long, embedding array; `asked` may name vec_id only. score is the inner product of the originals in double precision, summed in
     order; ties go to the smaller vec_id. Null, zero or non-finite vectors, and those of another length than most of the
     sample, take no part; neither do null ids. A row is no candidate for its own id; copies under other ids are. A query
     whose id occurs twice is answered for both rows together.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    fitted = fit_pivots(vectors)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not len(fitted):
-        return spark.createDataFrame([], schema)
-    pivots = spark.sparkContext.broadcast(fitted)
-    shards, parts = build_index(vectors, pivots)
-    queries = vectors.filter("vec_id IS NOT NULL").filter(asked).mapInArrow(_take_part(pivots), "vec_id long, vector binary")
-    queries = materialize(queries, "queries")
+    known = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    sizes = np.array([len(x) for x in _sampled(known, "embedding").column("embedding").to_pylist()], np.int64)
+    dimension = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+    rows = materialize(known.mapInArrow(_take_part(dimension), "vec_id long, vector binary, norm double"), "vectors")
+    norm = rows.agg(F.max("norm")).first()[0]
+    if norm is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    pivots = spark.sparkContext.broadcast(fit_pivots(rows, norm))
+    shards, parts = build_index(rows, pivots, norm)
+    queries = rows.filter(asked).select("vec_id", "vector")
     blocks = max(1, -(-queries.count() // QUERIES))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
