@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from spendmart.functions import bars, clock, money
 from spendmart.functions.models import normalize_model
 from spendmart.operators.filters import Instant, in_range
-from spendmart.operators.ordered import blocked_rank
 from spendmart.schemas import DASHBOARD_ZONE, UNATTRIBUTED, Dimension
 from spendmart.session import materialize
 
@@ -174,12 +173,18 @@ def dimension_totals(rows: DataFrame, collation: str | None = None) -> DataFrame
 
 
 def rank_labels(totals: DataFrame) -> DataFrame:
-    """Adds the zero-based place of each label. Ranked in blocks of like cost, so labels never meet in one task."""
-    cost = F.col("cost_micro").cast("double")
-    magnitude = F.when(cost > 0, F.floor(F.log2(cost + 1) * 16)).otherwise(F.lit(0)).cast("int")
-    block = F.struct((-magnitude).alias("m"), F.when(cost > 0, "").otherwise(F.substring("label", 1, 2)).alias("p"))
-    one = materialize(totals, "totals").withColumn("_all", F.lit(0))
-    return blocked_rank(one, ["_all"], [F.desc("cost_micro"), F.asc("label")], block, "place").drop("_all")
+    """Adds the zero-based place of each label, dearest first, then by label.
+
+    Ranked inside ranges of that order, so labels never meet in one task whatever their costs; one row per range is
+    chained afterwards. The ranges are written out because both steps must see the same ones.
+    """
+    order = [F.desc("cost_micro"), F.asc("label")]
+    ranges = materialize(totals.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "totals")
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_range", (F.sum("_size").over(W.orderBy("_range")) - F.col("_size")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    ranked = ranges.withColumn("_inner", inside).join(offsets, "_range")
+    return ranked.select(*totals.columns, (F.col("_before") + F.col("_inner")).cast("bigint").alias("place"))
 
 
 def dimension_domain(
@@ -214,7 +219,7 @@ def series_slots(shown: DataFrame, domain: DataFrame, slots: int = TOP_SERIES) -
 
     Both inputs are cut to at most `slots` rows before they meet, so nothing here grows with the data.
     """
-    placed = shown.limit(slots).join(
+    placed = shown.filter(F.col("place") < slots).join(
         domain.filter(F.col("place") < slots).select(F.col("label").alias("_label"), F.col("place").alias("slot")),
         F.col("label") == F.col("_label"),
         "left",

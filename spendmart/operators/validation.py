@@ -33,6 +33,9 @@ COUNTERS = {
 FLAGS = {"priced": "priced", "isSubagent": "is_subagent"}
 TAG_KEY = r"^[0-9a-f]{64}\z"
 IDENTITY = ["requestId", "messageId"]
+# What a stored counter (priced as DECIMAL(15,0)) and a stored cost (MONEY, in micro-dollars) can hold
+COUNTER_LIMIT = 10**15
+COST_LIMIT = 10**6
 
 
 def _once(value: Column, name: str) -> Column:
@@ -61,6 +64,13 @@ def _is(field: str, *kinds: str) -> Column:
     return F.coalesce(met, F.lit(False))
 
 
+_COST = "decimal(24,12)"  # as accepted_events reads it, so that rounding cannot pass the limit
+
+
+def _within(field: str, limit: int, kind: str = "double") -> Column:
+    return F.coalesce(F.abs(_get(field, kind)) < limit, F.lit(False))
+
+
 def reasons() -> Column:
     """Everything wrong with an entry, empty when it can be stored."""
     number = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
@@ -75,7 +85,10 @@ def reasons() -> Column:
         whole = _get(field, "decimal(38,6)")
         fine = _is(field, "BIGINT") | (_is(field, *number) & F.coalesce(whole == F.floor(whole), F.lit(False)))
         checks.append(F.when(~fine, f"{field}: whole number required"))
+        # a number too long for the decimal reads as NULL there, and is out of range as well
+        checks.append(F.when(_is(field, *number) & ~_within(field, COUNTER_LIMIT), f"{field}: out of range"))
     checks.append(F.when(~_is("costUsd", *number), "costUsd: number required"))
+    checks.append(F.when(_is("costUsd", *number) & ~_within("costUsd", COST_LIMIT, _COST), "costUsd: out of range"))
     for field in FLAGS:
         checks.append(F.when(~_is(field, "BOOLEAN"), f"{field}: true or false required"))
     checks.append(F.when(F.col("_ts").isNull(), "timestamp: instant required"))
@@ -104,7 +117,7 @@ def accepted_events(checked: DataFrame, *keep: str) -> DataFrame:
         *[_get(f, "string").alias(c) for f, c in OPTIONAL_TEXT.items()],
         F.col("_ts").alias("ts"),
         *[_get(f, "bigint").alias(c) for f, c in COUNTERS.items()],
-        (_get("costUsd", "decimal(24,12)") * 1000000).cast(MONEY).alias("cost_micro"),
+        (_get("costUsd", _COST) * 1000000).try_cast(MONEY).alias("cost_micro"),
         *[_get(f, "boolean").alias(c) for f, c in FLAGS.items()],
     )
 
