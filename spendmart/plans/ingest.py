@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendmart.functions import clock
@@ -14,7 +14,8 @@ from spendmart.operators.pricing import is_priced, price_asof, turn_cost
 from spendmart.operators.report import SYNTHETIC
 from spendmart.operators.repos import session_repo_tags
 from spendmart.operators.turns import dedupe_turns, digest, evidence_folders, session_titles
-from spendmart.schemas import EVENT_COLUMNS
+from spendmart.operators.validation import COUNTER_LIMIT
+from spendmart.schemas import COUNTERS, EVENT_COLUMNS
 from spendmart.session import materialize
 from spendmart.sources.transcripts import split_torn
 
@@ -24,6 +25,15 @@ class Ingested(NamedTuple):
     tags: DataFrame
     torn: DataFrame
     skipped: DataFrame
+    rejected: DataFrame
+
+
+def unfit() -> Column:
+    """Why a transcript's turn cannot be stored, by the rules of uploaded entries; empty when it can."""
+    checks = [F.when(F.coalesce(F.col(c) == "", F.lit(True)), f"{c}: empty") for c in ("message_id", "session_id")]
+    checks += [F.when(F.coalesce(F.abs(c) >= COUNTER_LIMIT, F.lit(False)), f"{c}: out of range") for c in COUNTERS]
+    checks.append(F.when(F.col("ts").isNull(), "ts: instant required"))
+    return F.filter(F.array(*checks), lambda reason: reason.isNotNull())
 
 
 def map_events(turns: DataFrame, prices: DataFrame) -> DataFrame:
@@ -47,8 +57,10 @@ def ingest(records: DataFrame, repos: DataFrame, ledger: DataFrame, prices: Data
     attributed = attribute_turns(turns, repos, fallback)
     dated = attributed.withColumn("ts", clock.parse_instant(F.col("ts_text")))
     titled = dated.join(titles, "session_file", "left")
-    events = map_events(account_asof(titled, ledger), prices)
+    checked = account_asof(titled, ledger).withColumn("reasons", unfit())
+    events = map_events(checked.filter(F.size("reasons") == 0), prices)
+    rejected = checked.filter(F.size("reasons") > 0).select("stream", "ord", "request_id", "message_id", "session_id", "reasons")
     sessions = turns.groupBy("stream").agg(F.min_by("session_id", "ord").alias("session_id"))
     folders = evidence_folders(readable).join(sessions, "stream").select("session_id", "machine_id", "folder").distinct()
     skipped = readable.select("project_dir").distinct().join(fallback, "project_dir", "left_anti")
-    return Ingested(events, session_repo_tags(folders, repos), torn, skipped)
+    return Ingested(events, session_repo_tags(folders, repos), torn, skipped, rejected)

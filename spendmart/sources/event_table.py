@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendmart.operators.fold import KEY, fold, from_state, to_state
 from spendmart.schemas import EVENT_COLUMNS
@@ -19,7 +20,8 @@ def key_bucket(buckets: int) -> Column:
 class EventTable:
     """Upserted usage events under a path, partitioned by the owner's UTC date and a hash of the key.
 
-    A key's date is that of its first writer and never moves, since later batches have later `seq`.
+    A key's date is that of its first writer and never moves: the table itself numbers arrivals, one number
+    per merge, so it does not matter which job or checkpoint a batch comes from.
     A re-sent row may carry another instant, so stored rows are found by key, never by its date: only
     the two id columns of the touched buckets are scanned for that. Merging rewrites just the
     partitions holding a touched key. The fold is idempotent, so a batch that is retried changes nothing.
@@ -56,10 +58,24 @@ class EventTable:
         if self._exists(f"{self.staging}/_SUCCESS"):
             self._apply()
 
-    def merge(self, events: DataFrame, batch_id: int, position: Column) -> None:
-        """Folds a batch in. `position` orders rows inside the batch."""
+    def _next_arrival(self) -> int:
+        stored = self._stored()
+        if stored is None:
+            return 0
+        last = stored.agg(F.max(F.greatest("first.seq.arrival", "last.seq.arrival"))).first()[0]
+        return 0 if last is None else last + 1
+
+    def merge(self, events: DataFrame, position: Column) -> None:
+        """Folds a batch in. `position` orders rows inside the batch: a number, or a struct of two numbers.
+
+        A row without a whole key cannot be found again and is left out; callers set such rows aside before.
+        """
         self.recover()
-        seq = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), position.alias("position"))
+        events = events.filter(F.forall(F.array(*KEY), lambda part: part.isNotNull()))
+        kind = events.select(position.alias("p")).schema["p"].dataType
+        parts = [position[name] for name in kind.fieldNames()] if isinstance(kind, T.StructType) else [position, F.lit(0)]
+        numbers = zip(("arrival", "position", "line"), [F.lit(self._next_arrival()), *parts], strict=True)
+        seq = F.struct(*[part.cast("bigint").alias(name) for name, part in numbers])
         # read three times below, so the batch is worked out once and written
         incoming = materialize(fold(to_state(events, seq)).withColumn("bucket", key_bucket(self.buckets)), "incoming")
         stored = self._stored()

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spendmart.operators.fold import fold_tags
 from spendmart.operators.machines import sync_state
 from spendmart.operators.validation import accepted_events, check_events, rejected_events
 from spendmart.plans.ingest import ingest
+from spendmart.session import materialize
 from spendmart.sources.event_table import EventTable
 from spendmart.sources.transcripts import stream_transcripts, with_order
 
 
+BUCKETS = 64
+_MARKS = ["job", "batch"]
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("machine_id", "project_dir"), F.lit(BUCKETS)).cast("int")
+
+
+def _keep(rows: DataFrame, path: str, job: str, batch_id: int, *more: str) -> None:
+    """Stores a batch's rows under its own partition; a retried batch replaces it."""
+    marked = rows.withColumn("job", F.lit(job)).withColumn("batch", F.lit(batch_id).cast("bigint"))
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_MARKS, *more).parquet(path)
+
+
+def stored_tags(spark: SparkSession, table: EventTable) -> DataFrame:
+    """(session_id, repo_key, name) of all batches: tags only accumulate, the latest name of a key wins."""
+    kept = spark.read.parquet(f"{table.path}.tags")
+    return fold_tags(kept.withColumn("seq", F.struct("batch", "job"))).drop("seq")
+
+
 def run_transcripts(
     spark: SparkSession,
     root: str,
@@ -30,12 +53,28 @@ def run_transcripts(
 
     No watermark: late and re-sent rows must still correct history. What keeps a re-send harmless is
     the keyed fold, so each batch may be retried.
+
+    Attribution looks at a whole project: a turn without evidence takes what its stream showed before, or what the
+    project's first transcript shows. So landed records are kept next to the table, and every batch works out all
+    records of the projects it touches anew; how files are dealt to batches does not matter. Repository tags, rejected
+    turns, torn lines and projects still without a fallback are kept too, under the table's path with the suffixes
+    `.tags`, `.rejected`, `.torn` and `.skipped`.
     """
+    job = hashlib.md5(checkpoint.encode()).hexdigest()
     records = stream_transcripts(spark, root, machine_id, files_per_trigger)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        events = ingest(with_order(batch), repos, ledger, prices).events
-        table.merge(events, batch_id, F.col("ord"))
+        landed = f"{table.path}.landed"
+        _keep(with_order(batch).withColumn("bucket", _bucket()), landed, job, batch_id, "bucket")
+        stored = spark.read.parquet(landed)
+        mine = (F.col("job") == job) & (F.col("batch") == batch_id)
+        touched = materialize(stored.filter(mine).select("machine_id", "project_dir", "bucket").distinct(), "touched")
+        buckets = [row.bucket for row in touched.select("bucket").distinct().collect()]  # at most BUCKETS
+        again = stored.filter(F.col("bucket").isin(buckets)).join(touched, ["machine_id", "project_dir", "bucket"], "left_semi")
+        done = ingest(again.drop(*_MARKS, "bucket"), repos, ledger, prices)
+        table.merge(done.events, F.col("ord"))
+        for name in ("tags", "rejected", "torn", "skipped"):
+            _keep(getattr(done, name), f"{table.path}.{name}", job, batch_id)
 
     return (
         records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -49,7 +88,7 @@ def run_wire(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         checked = check_events(batch)
-        table.merge(accepted_events(checked, "machine_id", "position"), batch_id, F.col("position"))
+        table.merge(accepted_events(checked, "machine_id", "position"), F.col("position"))
         if on_rejected is not None:
             on_rejected(rejected_events(checked), batch_id)
 

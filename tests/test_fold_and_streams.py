@@ -70,16 +70,16 @@ def test_stored_table_equals_the_rule_batch_by_batch(spark, tmp_path):
     rows, table = writes(120, 3), EventTable(spark, str(tmp_path / "events"), buckets=3)
     for batch in range(3):
         part = numbered(spark, rows[batch * 40 : batch * 40 + 40])
-        table.merge(part, batch, F.col("n"))
+        table.merge(part, F.col("n"))
         if batch == 1:
-            table.merge(part, batch, F.col("n"))  # a retried batch
+            table.merge(part, F.col("n"))  # a retried batch
     assert dicts(table.events().select(*EVENT_COLUMNS), "request_id") == model(rows)
     assert duplicate_keys(table.events()).count() == 0
 
 
 def test_a_merge_cut_off_while_replacing_partitions_is_finished(spark, tmp_path, monkeypatch):
     rows, path = writes(60, 4), str(tmp_path / "events")
-    EventTable(spark, path, buckets=2).merge(numbered(spark, rows[:20]), 0, F.col("n"))
+    EventTable(spark, path, buckets=2).merge(numbered(spark, rows[:20]), F.col("n"))
     lost = EventTable(spark, path, buckets=2)
 
     def cut_off():
@@ -90,10 +90,10 @@ def test_a_merge_cut_off_while_replacing_partitions_is_finished(spark, tmp_path,
 
     monkeypatch.setattr(lost, "_apply", cut_off)
     with pytest.raises(RuntimeError):
-        lost.merge(numbered(spark, rows[20:40]), 1, F.col("n"))
+        lost.merge(numbered(spark, rows[20:40]), F.col("n"))
     table = EventTable(spark, path, buckets=2)
-    table.merge(numbered(spark, rows[20:40]), 1, F.col("n"))
-    table.merge(numbered(spark, rows[40:]), 2, F.col("n"))
+    table.merge(numbered(spark, rows[20:40]), F.col("n"))
+    table.merge(numbered(spark, rows[40:]), F.col("n"))
     assert dicts(table.events().select(*EVENT_COLUMNS), "request_id") == model(rows)
 
 
@@ -142,3 +142,29 @@ def test_streamed_uploads(spark, tmp_path):
     stream = spark.readStream.schema("machine_id string, position bigint, raw string").parquet(landed)
     run_wire(stream, table, str(tmp_path / "cp"), lambda bad, batch: rejected.extend(bad.collect())).awaitTermination()
     assert [(r["output_tokens"], r["machine_id"]) for r in table.events().collect()] == [(9, "box")] and len(rejected) == 1
+
+
+def test_streaming_gives_the_same_table_for_any_batching(spark, tmp_path):
+    root = tmp_path / "in"
+    corpus(root)
+    # an agent file lands before the transcript that says where its project ran
+    write(root, "-z/a1/agent-x.jsonl", assistant("qa", "ma", 3, "2026-08-02T10:00:00.000Z", None))
+    write(root, "-z/z9.jsonl", {"type": "user", "cwd": "/w/app"}, assistant("qz", "mz", 4, "2026-08-02T11:00:00.000Z", "/w/app"))
+    repo, ledger = dimensions(spark)
+    want = dicts(ingest(read_transcripts(spark, str(root), "box"), repo, ledger, price_book(spark)).events.select(*EVENT_COLUMNS), "request_id")
+    assert {"qa", "qz"} <= {r["request_id"] for r in want}
+    for files in (1, 1000):
+        table = EventTable(spark, str(tmp_path / f"events{files}"), buckets=2)
+        run_transcripts(spark, str(root), "box", table, repo, ledger, price_book(spark), str(tmp_path / f"cp{files}"), files).awaitTermination()
+        assert dicts(table.events().select(*EVENT_COLUMNS), "request_id") == want, files
+        assert duplicate_keys(table.events()).count() == 0
+
+
+def test_a_second_job_or_fresh_checkpoint_comes_later(spark, tmp_path):
+    table = EventTable(spark, str(tmp_path / "events"), buckets=2)
+    table.merge(frame(spark, event(1, ts=at("2026-08-02T10:00:00"), project_slug="old")).withColumn("n", F.lit(5)), F.col("n"))
+    later = frame(spark, event(1, ts=at("2026-08-01T10:00:00"), project_slug="new"))
+    table.merge(later.withColumn("n", F.struct(F.lit(0).alias("block"), F.lit(0).alias("line"))), F.col("n"))
+    table.merge(later.withColumn("request_id", F.lit(None).cast("string")).withColumn("n", F.lit(0)), F.col("n"))
+    (row,) = table.events().collect()
+    assert (row.ts, row.project_slug) == (at("2026-08-02T10:00:00"), "new")
