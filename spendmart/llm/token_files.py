@@ -26,7 +26,7 @@ from spendmart.llm.shared import materialize
 MAGIC = b"DAC1"
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
-_SEGMENTS = "part int, seq int, tokens long, doc_ids array<long>, sizes array<long>, dac binary"
+_SEGMENTS = "part int, seq int, inside long, tokens long, doc_ids array<long>, sizes array<long>, dac binary"
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -159,11 +159,11 @@ def _segments(path: str, end_id: int):
         if path not in _libraries:
             _libraries[path] = Library(path)
         library, part, seq = _libraries[path], TaskContext.get().partitionId(), 0
-        ids, docs, sizes, size = [], [], [], 0
+        ids, docs, sizes, size, inside = [], [], [], 0, 0
 
         def flush():
-            row = [[part], [seq], [size], [np.concatenate(docs).tolist()], [np.concatenate(sizes).tolist()], [pack(np.concatenate(ids))]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            row = [[part], [seq], [inside], [size], [np.concatenate(docs).tolist()], [np.concatenate(sizes).tolist()], [pack(np.concatenate(ids))]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in _SEGMENTS.split(", ")])
 
         for batch in batches:
@@ -176,7 +176,7 @@ def _segments(path: str, end_id: int):
                 size += len(found)
                 if size >= SEGMENT_TOKENS:
                     yield flush()
-                    seq += 1
+                    seq, inside = seq + 1, inside + size
                     ids, docs, sizes, size = [], [], [], 0
         if ids:
             yield flush()
@@ -189,16 +189,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
 
     tokenizer: a file of the tokenizers library with byte-level pre-tokens. end_id ends every document. A null text is
     empty; null ids come first; rows that share an id follow each other in the order of their texts' hashes.
-    Columns: part and seq order the segments, base: tokens of all segments before, doc_ids, sizes, dac.
+    Columns: part and seq order the segments, inside: tokens before in the part, base: in all, doc_ids, sizes, dac.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     segments = materialize(ordered.mapInArrow(_segments(tokenizer, end_id), _SEGMENTS), "tokens", compression="none")
-    narrow = segments.groupBy("part").agg(F.sum("tokens").alias("all"))  # one row per task of the write
+    narrow = segments.groupBy("part").agg(F.sum("tokens").alias("all"))
     bases = narrow.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
-    inside = F.sum("tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("tokens")
-    places = segments.select("part", "seq", "tokens").withColumn("inside", inside).join(bases, "part")
-    places = places.select("part", "seq", (F.col("before") + F.col("inside")).alias("base"))
-    return segments.join(places, ["part", "seq"])
+    # one row per task of the write, so the segments themselves are not shuffled
+    return segments.join(F.broadcast(bases), "part").withColumn("base", F.col("before") + F.col("inside")).drop("before")
 
 
 def _documents(batches):
