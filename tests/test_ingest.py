@@ -1,4 +1,5 @@
 import json
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -201,6 +202,16 @@ def test_wire_checks(spark):
     assert validation.rejected_events(checked).count() == len(bad) and tuple(validation.batch_counts(checked).first()) == (2, len(bad))
 
 
+def test_numbers_beyond_what_is_stored_are_set_aside(spark):
+    entry = dict(requestId="r", messageId="m", sessionId="s", projectSlug="p", model="x", timestamp="2026-08-01T00:00:00Z", inputTokens=1, cacheReadTokens=0, cacheWrite5mTokens=0, cacheWrite1hTokens=0, outputTokens=2, costUsd=0.5, priced=True, isSubagent=False)
+    cases = [{}, {"inputTokens": 1e30}, {"cacheReadTokens": 10**16}, {"outputTokens": 99999999999999999999}, {"costUsd": 2e6}, {"costUsd": 1e13}, {"costUsd": -2e6}, {"inputTokens": 10**15 - 1, "costUsd": 999999.5}]
+    checked = validation.check_events(spark.createDataFrame([(n, json.dumps(entry | case)) for n, case in enumerate(cases)], "n int, raw string"))
+    wrong = {r.n: r.reasons for r in checked.collect()}
+    assert [len(wrong[n]) for n in range(8)] == [0, 1, 1, 1, 1, 1, 1, 0] and all("out of range" in wrong[n][0] for n in range(1, 7))
+    stored = {r.n: r for r in validation.accepted_events(checked, "n").collect()}
+    assert set(stored) == {0, 7} and stored[7].input_tokens == 10**15 - 1 and stored[7].cost_micro == 999999500000
+
+
 def test_tag_reports(spark):
     key = "a" * 64
     rows = spark.createDataFrame(

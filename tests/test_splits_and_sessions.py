@@ -94,7 +94,7 @@ def test_slots_keep_domain_places_then_fill_gaps(spark):
 
 
 def test_ranked_labels_match_a_plain_sort(spark):
-    rows = [(f"label{n:03d}", Decimal(n * n % 50)) for n in range(200)]
+    rows = [(f"label{n:03d}", Decimal(n * n % 50 - 20)) for n in range(200)] + [("b", Decimal(0)), ("c", Decimal(0)), ("a", Decimal("-5"))]
     totals = spark.createDataFrame(rows, "label string, cost_micro decimal(28,6)")
     got = [r["label"] for r in splits.rank_labels(totals).orderBy("place").collect()]
     assert got == [label for label, cost in sorted(rows, key=lambda r: (-r[1], r[0]))]
