@@ -149,6 +149,7 @@ class Encoder:
 
     def encode(self, chunk: tb.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's begin."""
+        raw = chunk.data.tobytes()
         starts, first = pretokens.split(chunk)
         hashes, at, stop, inverse = pretokens.distinct(chunk, starts)
         slots = self.vocabulary.perfect.find(hashes)
@@ -157,7 +158,7 @@ class Encoder:
         missed = np.flatnonzero(~whole)
 
         def heap(new: np.ndarray):
-            parts = [self.vocabulary.merge(chunk.data[at[k] : stop[k]].tobytes()) for k in missed[new]]
+            parts = [self.vocabulary.merge(raw[a:b]) for a, b in zip(at[missed[new]].tolist(), stop[missed[new]].tolist(), strict=True)]
             return np.array([x for p in parts for x in p], np.uint32), np.array([len(p) for p in parts], np.int64)
 
         ids, counts = self.memo.lookup(hashes[missed], heap) if len(missed) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))

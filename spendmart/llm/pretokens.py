@@ -115,38 +115,50 @@ def distinct(chunk: tb.Chunk, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Memo:
-    """Ids of pre-tokens met before, by hash, as three arrays; only speed depends on it. Starts anew beyond `limit` entries."""
+    """Ids of pre-tokens met before, by hash; only speed depends on it. Starts anew beyond `limit` entries.
 
-    def __init__(self, limit: int = 1 << 20) -> None:
+    Entries stand in sorted arrays of falling size; a new one is merged with those before it that are not twice as long.
+    """
+
+    def __init__(self, limit: int = 3 << 20) -> None:
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Position of each hash, or -1."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, -1)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hashes, where their ids start, how many
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the ids of each hash start, how many), -1 where unknown."""
+        starts, sizes = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for keys, begin, count in self.levels:
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == hashes)
+            starts[hit], sizes[hit] = begin[at[hit]], count[at[hit]]
+        return starts, sizes
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        level = (hashes, self.used + np.cumsum(sizes) - sizes, sizes)
+        self.used += len(ids)
+        while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
+            both = [np.concatenate(pair) for pair in zip(self.levels.pop(), level, strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            level = tuple(x[order] for x in both)
+        self.levels.append(level)
 
     def lookup(self, hashes: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, how many per hash); `encode` is asked for the ids of those never met, by position in `hashes`."""
-        if len(self.keys) > self.limit:
+        """(ids end to end, how many per hash) of sorted distinct hashes; `encode` gives those never met, asked by position."""
+        if sum(len(level[0]) for level in self.levels) > self.limit:
             self._clear()
-        new = np.flatnonzero(self.find(hashes) < 0)
+        new = np.flatnonzero(self.find(hashes)[0] < 0)
         if len(new):
             ids, sizes = encode(new)
-            starts = len(self.ids) + np.cumsum(sizes) - sizes
-            keys = np.concatenate([self.keys, hashes[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys = keys[order]
-            self.starts = np.concatenate([self.starts, starts])[order]
-            self.sizes = np.concatenate([self.sizes, sizes])[order]
-            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-        at = self.find(hashes)
-        return self.ids[tb.ragged(self.starts[at], self.sizes[at])], self.sizes[at]
+            self._add(hashes[new], ids.astype(np.uint32), sizes)
+        starts, sizes = self.find(hashes)
+        return self.ids[tb.ragged(starts, sizes)], sizes
 
 
 def spread(ids: np.ndarray, sizes: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -115,21 +115,23 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = pretokens.Memo()
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every word it gets is new, so its own memory only costs
 
     def encode(self, chunk: tb.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's begin."""
+        whole = chunk.data.tobytes()
         starts, first = pretokens.split(chunk)
         hashes, at, stop, inverse = pretokens.distinct(chunk, starts)
 
         def ask(new: np.ndarray):
-            words = [chunk.data[at[k] : stop[k]].tobytes().decode("utf-8", "replace") for k in new]
+            words = [whole[a:b].decode("utf-8", "replace") for a, b in zip(at[new].tolist(), stop[new].tolist(), strict=True)]
             found = self.tokenizer.encode(words, add_special_tokens=False, is_pretokenized=True)
             return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
 
         ids, sizes = self.memo.lookup(hashes, ask) if len(hashes) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         ids, sizes = pretokens.spread(ids, sizes, inverse)
         rows = pretokens.per_row(sizes, first)
-        whole = chunk.data.tobytes()
         if not any(s in whole for s in self.special):
             return ids, rows
         parts = []
