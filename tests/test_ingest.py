@@ -1,5 +1,4 @@
 import json
-import json
 import random
 
 from pyspark.sql import functions as F
