@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spendmart.functions import clock
 from spendmart.operators.ordered import blocked_previous
 
 PLAUSIBLE_GAP = "interval 24 hours"
@@ -42,21 +41,22 @@ def account_marks(ledger: DataFrame) -> DataFrame:
     return marks.filter(F.col("ts").isNotNull())
 
 
+def account_periods(ledger: DataFrame) -> DataFrame:
+    """(session_id, from_ts, until_ts, account): the marks as periods that do not overlap; the last one has no end."""
+    following = W.partitionBy("session_id").orderBy("ts")
+    return account_marks(ledger).select(
+        "session_id", F.col("ts").alias("from_ts"), F.lead("ts").over(following).alias("until_ts"), "account"
+    )
+
+
 def account_asof(events: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Adds account_uuid and org_uuid; NULL where the ledger says nothing trustworthy.
+    """Adds account_uuid and org_uuid; NULL where the ledger says nothing trustworthy or the event has no instant.
 
-    Events and marks are swept together in time, by (session, hour): no event meets more than one
-    ledger entry and no session is gathered in one task.
+    One left join on the session and the period: an event meets at most one period, the events move at most once, and
+    broadcasting a short ledger or splitting a hot session is left to the optimiser.
     """
     kept = [c for c in events.columns if c not in ("account_uuid", "org_uuid")]
-    marks = account_marks(ledger).withColumn("_is_event", F.lit(1))
-    swept = events.select(*kept).withColumn("_is_event", F.lit(2)).unionByName(
-        marks.withColumn("_is_event", F.lit(1)), allowMissingColumns=True
-    )
-    # an event without an instant gets no account
-    dated = swept.withColumn("_hour", F.coalesce(F.substring(clock.minute_of(F.col("ts")), 1, 13), F.lit("")))
-    carried = blocked_previous(
-        dated, ["session_id"], ["ts", "_is_event"], F.col("account"), F.col("_hour"), "_account", include_current=True
-    )
-    found = F.when(F.col("ts").isNotNull(), F.col("_account"))
-    return carried.filter("_is_event = 2").select(*kept, found["account_uuid"].alias("account_uuid"), found["org_uuid"].alias("org_uuid"))
+    periods = account_periods(ledger).toDF("_session", "_from", "_until", "_account")
+    inside = (F.col("ts") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
+    joined = events.select(*kept).join(periods, (F.col("session_id") == F.col("_session")) & inside, "left")
+    return joined.select(*kept, F.col("_account.account_uuid").alias("account_uuid"), F.col("_account.org_uuid").alias("org_uuid"))

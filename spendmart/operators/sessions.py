@@ -34,14 +34,22 @@ def session_partials(events: DataFrame, *keys: str) -> DataFrame:
 
 
 def merge_partials(partials: DataFrame, *keys: str) -> DataFrame:
-    return partials.groupBy("session_id", *keys).agg(
+    """Partials of one session (and keys) in one row.
+
+    Models are exploded and grouped first, so what is gathered per session is a set of models, however many
+    folders it touched; the measures ride on the first model of each partial.
+    """
+    spread = partials.select("*", F.posexplode_outer("models").alias("_nth", "model"))
+    leading = F.coalesce(F.col("_nth"), F.lit(0)) == 0
+    sums = ("cost_micro", "unpriced_events", "event_count")
+    extremes = lambda: [
         F.min("_owner").alias("_owner"),
         F.min("started_at").alias("started_at"),
         F.max("ended_at").alias("ended_at"),
-        *merged_sums(),
-        F.array_distinct(F.flatten(F.collect_list("models"))).alias("models"),
         F.max("_title").alias("_title"),
-    )
+    ]
+    per_model = spread.groupBy("session_id", *keys, "model").agg(*extremes(), *[F.sum(F.when(leading, F.col(c))).alias(c) for c in sums])
+    return per_model.groupBy("session_id", *keys).agg(*extremes(), *merged_sums(), F.collect_set("model").alias("models"))
 
 
 def finish_sessions(partials: DataFrame, *keys: str) -> DataFrame:
@@ -81,10 +89,10 @@ def page_index(raw: str | None) -> int:
 
 
 def with_lifetime(page: DataFrame, events: DataFrame) -> DataFrame:
-    """Adds what each listed session cost over all time. The page is a fixed number of rows: it is written out
-    once, so its sessions are not grouped again, and it bounds the broadcast side."""
+    """Adds what each listed session cost over all time. The page is written out once, so its sessions are not
+    grouped again and the optimiser knows its size; whether to broadcast it is left to its check."""
     page = materialize(page, "page")
-    ids = F.broadcast(page.select(F.col("session_id").alias("_id")))
+    ids = page.select(F.col("session_id").alias("_id"))
     totals = (
         events.join(ids, F.col("session_id") == F.col("_id"), "left_semi")
         .groupBy(F.col("session_id").alias("_id"))
@@ -150,6 +158,22 @@ def sessions_of_value(
     return sessions_by_label(events, dimension, start, end, tags).filter(F.col("label") == value).drop("label")
 
 
+def drill_down(
+    events: DataFrame,
+    dimension: Dimension,
+    value: str,
+    start: Instant,
+    end: Instant,
+    tags: DataFrame | None = None,
+    sort: SessionSort = SessionSort.COST,
+    page: int = 0,
+    size: int = PAGE_SIZE,
+) -> tuple[DataFrame, DataFrame]:
+    """(header, page) of one label. Both read one grouped set of sessions, written out once; the page carries lifetime totals."""
+    sessions = materialize(sessions_of_value(events, dimension, value, start, end, tags), "drill")
+    return header_of(sessions), with_lifetime(page_of(sessions, sort, page, size), events)
+
+
 def _project_sessions(parts: DataFrame) -> DataFrame:
     rows = parts.filter(F.col("repo_key").isNotNull()).groupBy("slug", "repo_key").agg(*merged_sums(), F.max("repo_name").alias("repo_name"))
     labels = with_repo_label(rows).groupBy(F.col("repo_key").alias("_key")).agg(F.min("label").alias("_label"))
@@ -158,19 +182,21 @@ def _project_sessions(parts: DataFrame) -> DataFrame:
 
 
 def _repo_sessions(parts: DataFrame, tags: DataFrame | None) -> DataFrame:
-    """A tagged session counts whole under each of its tags, an untagged one only its parts with that repository."""
+    """A tagged session counts whole under each of its tags, an untagged one only its parts with that repository.
+
+    Labels join before the parts are merged, so a filter on the label reaches them and only that label's sessions meet.
+    """
     labels = labels_of_rows(spread_tags(parts, tags))
     if tags is not None:
         tag = tags.select(F.col("session_id").alias("_sid"), F.col("repo_key").alias("_tag_key"))
         parts = parts.join(tag, parts["session_id"] == tag["_sid"], "left").withColumn(
             "repo_key", F.coalesce("_tag_key", "repo_key")
         )
-    named = labels.select(F.col("repo_key").alias("_key"), "label")
-    merged = merge_partials(parts, "repo_key")
-    labelled = merged.join(named, merged["repo_key"] == named["_key"], "left").withColumn(
-        "label", F.coalesce("label", F.lit(UNATTRIBUTED))
+    named = labels.select(F.col("repo_key").alias("_key"), F.col("label").alias("_label"))
+    labelled = parts.join(named, F.col("repo_key") == F.col("_key"), "left").withColumn(
+        "label", F.coalesce("_label", F.lit(UNATTRIBUTED))
     )
-    return finish_sessions(labelled, "label")
+    return finish_sessions(merge_partials(labelled, "label", "repo_key"), "label")
 
 
 def session_meta(events: DataFrame) -> DataFrame:

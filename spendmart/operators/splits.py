@@ -1,7 +1,7 @@
 """Cost per local day by machine, model, project or repository, and the labels of repositories.
 
 Each split reads the events once: everything after the first aggregation works on rows of the
-size of the answer, so labels and totals come from windows over those rows, not from a second scan.
+size of the answer, so labels and totals come from those rows, not from a second scan.
 """
 
 from __future__ import annotations
@@ -61,40 +61,42 @@ def cost_per_day(
     return rows.select("day", "label", "cost_micro", "unpriced_events", "event_count")
 
 
+def _with_newest_name(window: DataFrame, *keys) -> DataFrame:
+    """Sums per key, with the last repository name in byte order.
+
+    The raw rows are grouped by the name as well, so that they meet nothing but sums (hash aggregation); the
+    maximum of a text, which needs sorted rows, is taken over what is left.
+    """
+    names = [k if isinstance(k, str) else k[0] for k in keys]
+    columns = [F.col(k) if isinstance(k, str) else k[1].alias(k[0]) for k in keys]
+    summed = window.groupBy(*columns, "repo_name").agg(*spend_sums())
+    return summed.groupBy(*names).agg(*merged_sums(), F.max("repo_name").alias("repo_name"))
+
+
 def project_rows(window: DataFrame, grain: list[str]) -> DataFrame:
     """Spend per folder and repository. The repository key is grouped on, so a folder holding several keeps them apart."""
-    return window.groupBy(*grain, dimension_value(Dimension.PROJECT).alias("slug"), "repo_key").agg(
-        *spend_sums(), F.max("repo_name").alias("repo_name")
-    )
+    return _with_newest_name(window, *grain, ("slug", dimension_value(Dimension.PROJECT)), "repo_key")
 
 
 def with_repo_label(rows: DataFrame) -> DataFrame:
     """Adds `member` (repository, or folder where there is none) and its one `label` for the whole window.
 
     A recorded main-checkout name beats any folder name; then most events, shortest, alphabetical.
-    The windows run over rows that are already aggregated; folders without a repository keep their
-    own partition key, so the many repository-less rows never meet in one task.
+    The rows, already aggregated, are written out once; names are tallied per repository with partial sums, and
+    joined back by member. Folders without a repository have members of their own, so they never meet in one task.
     """
     member = F.when(F.col("repo_key").isNotNull(), F.concat(F.lit("repo:"), F.col("repo_key"))).otherwise(
         F.concat(F.lit("slug:"), F.col("slug"))
     )
-    keyed = rows.withColumn("member", member).repartition("member")
-    by_name = F.sum("event_count").over(W.partitionBy("member", "repo_name"))
-    by_slug = F.sum("event_count").over(W.partitionBy("member", "slug"))
-    ranked = keyed.withColumn(
-        "_named",
-        F.when(
-            F.col("repo_name").isNotNull(),
-            F.struct(F.lit(0).alias("tier"), (-by_name).alias("fewest"), F.length("repo_name").alias("size"), F.col("repo_name").alias("name")),
-        ),
-    ).withColumn(
-        "_slugged",
-        F.struct(F.lit(1).alias("tier"), (-by_slug).alias("fewest"), F.length("slug").alias("size"), F.col("slug").alias("name")),
-    )
-    best = F.min(F.least("_named", "_slugged")).over(W.partitionBy("member"))
-    return ranked.withColumn("label", F.when(F.col("repo_key").isNull(), F.col("slug")).otherwise(best["name"])).drop(
-        "_named", "_slugged"
-    )
+    rows = materialize(rows.withColumn("member", member), "named-rows")
+    named = F.struct(F.lit(0).alias("tier"), F.col("repo_name").alias("name"))
+    slugged = F.struct(F.lit(1).alias("tier"), F.col("slug").alias("name"))
+    candidates = rows.filter(F.col("repo_key").isNotNull()).select("member", "event_count", F.inline(F.array(named, slugged)))
+    tallies = candidates.filter(F.col("name").isNotNull()).groupBy("member", "tier", "name").agg(F.sum("event_count").alias("n"))
+    order = F.struct("tier", (-F.col("n")).alias("fewest"), F.length("name").alias("size"), "name")
+    best = tallies.groupBy(F.col("member").alias("_member")).agg(F.min(order).alias("_best"))
+    joined = rows.join(best, F.col("member") == F.col("_member"), "left")
+    return joined.withColumn("label", F.coalesce("_best.name", "slug")).drop("_member", "_best")
 
 
 def merge_projects(rows: DataFrame, grain: list[str]) -> DataFrame:
@@ -104,9 +106,7 @@ def merge_projects(rows: DataFrame, grain: list[str]) -> DataFrame:
 
 def session_parts(window: DataFrame, grain: list[str]) -> DataFrame:
     """Events grouped down to sessions before any tag is looked up."""
-    return window.groupBy("session_id", *grain, "repo_key", dimension_value(Dimension.PROJECT).alias("slug")).agg(
-        *spend_sums(), F.max("repo_name").alias("repo_name")
-    )
+    return _with_newest_name(window, "session_id", *grain, "repo_key", ("slug", dimension_value(Dimension.PROJECT)))
 
 
 def repo_rows(window: DataFrame, tags: DataFrame | None, *grain: str) -> DataFrame:
