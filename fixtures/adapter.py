@@ -19,6 +19,8 @@ CHECK_PRICES = [p for p in PRICES if p.model != "claude-sonnet-4-6"] + [
 # 31 local days holding every event
 FROM, TO = "2023-12-31 17:00:00", "2024-01-31 16:59:59.999"
 NOW = "2024-01-30 12:00:00"
+# a week inside the data, so sessions and repositories reach outside the window
+WEEK = ("2024-01-10 17:00:00", "2024-01-17 16:59:59.999")
 MODELS = [
     "claude-opus-5",
     "claude-opus-5[1m]",

@@ -14,8 +14,7 @@ from spendmart.operators import sessions as S
 from spendmart.operators.pricing import context_windows
 from spendmart.schemas import Dimension, SessionSort
 
-# a week inside the data, so sessions reach outside the window
-WEEK = ("2024-01-10 17:00:00", "2024-01-17 16:59:59.999")
+WEEK = A.WEEK
 
 
 def _stamp(name):
@@ -52,21 +51,21 @@ def session_count(spark, sf):
     return S.count_sessions(A.usage_events(spark, sf), *WEEK)
 
 
-def drill(dimension, value):
+def drill(dimension, value, window=(A.FROM, A.TO)):
     def build(spark, sf):
         events = A.usage_events(spark, sf)
         tags = A.session_tags(spark, sf) if dimension is Dimension.REPO else None
-        sessions = S.sessions_of_value(events, dimension, value, A.FROM, A.TO, tags)
-        return _rows(_placed(S.page_of(sessions, SessionSort.COST), SessionSort.COST), "place")
+        _, page = S.drill_down(events, dimension, value, *window, tags)
+        return _rows(_placed(page, SessionSort.COST), "place")
 
     return build
 
 
-def drill_headers(dimension):
+def drill_headers(dimension, window=(A.FROM, A.TO)):
     def build(spark, sf):
         events = A.usage_events(spark, sf)
         tags = A.session_tags(spark, sf) if dimension is Dimension.REPO else None
-        header = S.header_of(S.sessions_by_label(events, dimension, A.FROM, A.TO, tags), "label")
+        header = S.header_of(S.sessions_by_label(events, dimension, *window, tags), "label")
         return header.select("label", *_usd("cost_micro"), "unpriced_events", "event_count", "session_count")
 
     return build
@@ -159,6 +158,10 @@ QUERIES = {
     "drill_headers_model": drill_headers(Dimension.MODEL),
     "drill_headers_project": drill_headers(Dimension.PROJECT),
     "drill_headers_repo": drill_headers(Dimension.REPO),
+    "drill_machine_week": drill(Dimension.MACHINE, "machine-3", WEEK),
+    "drill_project_week": drill(Dimension.PROJECT, "team0/repo2", WEEK),
+    "drill_repo_week": drill(Dimension.REPO, "(unattributed)", WEEK),
+    "drill_headers_repo_week": drill_headers(Dimension.REPO, WEEK),
     "session_meta": session_meta,
     "session_breakdown": session_breakdown,
     "session_turns": session_turns,
@@ -185,7 +188,8 @@ def grouped(source: str, *keys: str, where: str = "true") -> str:
 
 LIST = f"""session_id, project_slug, machine_id, {STAMP.format('s_at')} AS started_at, {STAMP.format('e_at')} AS ended_at,
   {usd('micro')} AS cost_usd, unpriced_events, event_count, models, session_title"""
-LIFETIME = f"life AS (SELECT session_id, {usd('sum(paid)')} AS total_usd, cast(sum(unp) AS BIGINT) AS total_unpriced FROM usage GROUP BY session_id)"
+LIFE = "life AS (SELECT session_id, {total} AS total_usd, cast(sum(unp) AS BIGINT) AS total_unpriced FROM {source} GROUP BY session_id)"
+LIFETIME = LIFE.format(total=usd("sum(paid)"), source="usage")
 IN_WEEK = f"ts >= TIMESTAMP '{WEEK[0]}' AND ts <= TIMESTAMP '{WEEK[1]}'"
 
 
@@ -198,21 +202,24 @@ def list_sql(order: str, offset: int, where: str) -> str:
     )
 
 
-def drill_sql(source: str, value: str, *ctes: str) -> str:
+def drill_sql(source: str, value: str, *ctes: str, where: str | None = None) -> str:
     return query(
-        f"""SELECT row_number() OVER (ORDER BY micro DESC, session_id) AS place, {LIST}
-            FROM (SELECT * FROM s ORDER BY micro DESC, session_id LIMIT 25)""",
+        f"""SELECT row_number() OVER (ORDER BY micro DESC, session_id) AS place, {LIST}, total_usd, total_unpriced
+            FROM (SELECT * FROM s ORDER BY micro DESC, session_id LIMIT 25) JOIN life USING (session_id)""",
         *ctes,
         f"s AS ({grouped(source, where=f'''label = '{value}' ''')})",
+        LIFE.format(total=usd("sum(paid)"), source="everything" if where else "usage"),
+        where=where,
     )
 
 
-def header_sql(source: str, *ctes: str) -> str:
+def header_sql(source: str, *ctes: str, where: str | None = None) -> str:
     return query(
         f"""SELECT label, {usd('sum(micro)')} AS cost_usd, cast(sum(unpriced_events) AS BIGINT) AS unpriced_events,
               cast(sum(event_count) AS BIGINT) AS event_count, count(*) AS session_count FROM s GROUP BY label""",
         *ctes,
         f"s AS ({grouped(source, 'label')})",
+        where=where,
     )
 
 
@@ -258,6 +265,10 @@ ORACLES = {
     "drill_headers_model": header_sql(MODEL),
     "drill_headers_project": header_sql(PROJECT, PROJECT_CTE),
     "drill_headers_repo": header_sql(REPO, TAG_CTE, REPO_CTE),
+    "drill_machine_week": drill_sql(MACHINE, "machine-3", where=IN_WEEK),
+    "drill_project_week": drill_sql(PROJECT, "team0/repo2", PROJECT_CTE, where=IN_WEEK),
+    "drill_repo_week": drill_sql(REPO, "(unattributed)", TAG_CTE, REPO_CTE, where=IN_WEEK),
+    "drill_headers_repo_week": header_sql(REPO, TAG_CTE, REPO_CTE, where=IN_WEEK),
     "session_meta": query(
         f"""SELECT session_id, first(project_slug {EARLIEST}) AS project_slug, first(machine_id {EARLIEST}) AS machine_id,
               NULL::VARCHAR AS account_uuid, NULL::VARCHAR AS org_uuid, {STAMP.format('min(ts)')} AS started_at, {STAMP.format('max(ts)')} AS ended_at,

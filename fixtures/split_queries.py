@@ -18,13 +18,13 @@ def _out(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, money.dollars(F.col("cost_micro")).alias("cost_usd"), "unpriced_events", "event_count")
 
 
-def _day_rows(spark: SparkSession, sf: str, dimension: Dimension) -> DataFrame:
+def _day_rows(spark: SparkSession, sf: str, dimension: Dimension, window=(A.FROM, A.TO)) -> DataFrame:
     tags = A.session_tags(spark, sf) if dimension is Dimension.REPO else None
-    return splits.cost_per_day(A.usage_events(spark, sf), dimension, A.FROM, A.TO, tags)
+    return splits.cost_per_day(A.usage_events(spark, sf), dimension, *window, tags)
 
 
-def cost_by(dimension: Dimension):
-    return lambda spark, sf: _out(_day_rows(spark, sf, dimension), "day", "label")
+def cost_by(dimension: Dimension, window=(A.FROM, A.TO)):
+    return lambda spark, sf: _out(_day_rows(spark, sf, dimension, window), "day", "label")
 
 
 def repo_labels(spark, sf):
@@ -33,7 +33,7 @@ def repo_labels(spark, sf):
 
 
 def dimension_totals(spark, sf):
-    return _out(splits.dimension_totals(_day_rows(spark, sf, Dimension.PROJECT)), "label")
+    return _out(splits.rank_labels(splits.dimension_totals(_day_rows(spark, sf, Dimension.PROJECT))), "place", "label")
 
 
 def dimension_domain(spark, sf):
@@ -61,6 +61,10 @@ QUERIES = {
     "cost_by_model": cost_by(Dimension.MODEL),
     "cost_by_project": cost_by(Dimension.PROJECT),
     "cost_by_repo": cost_by(Dimension.REPO),
+    "cost_by_machine_week": cost_by(Dimension.MACHINE, A.WEEK),
+    "cost_by_model_week": cost_by(Dimension.MODEL, A.WEEK),
+    "cost_by_project_week": cost_by(Dimension.PROJECT, A.WEEK),
+    "cost_by_repo_week": cost_by(Dimension.REPO, A.WEEK),
     "repo_labels": repo_labels,
     "dimension_totals": dimension_totals,
     "dimension_domain": dimension_domain,
@@ -112,20 +116,28 @@ repo_tab_labels AS (
     SELECT *, row_number() OVER (PARTITION BY plain ORDER BY repo_key) AS nth FROM plain_labels))
 """
 
-ORACLES = {
-    "cost_by_machine": query(f"SELECT day, machine_id AS label, {MEASURES} FROM usage GROUP BY day, machine_id"),
-    "cost_by_model": query(f"SELECT day, nmodel AS label, {MEASURES} FROM usage GROUP BY day, nmodel"),
-    "cost_by_project": query(
+IN_WEEK = f"ts >= TIMESTAMP '{A.WEEK[0]}' AND ts <= TIMESTAMP '{A.WEEK[1]}'"
+SPLITS = {
+    "cost_by_machine": (f"SELECT day, machine_id AS label, {MEASURES} FROM usage GROUP BY day, machine_id",),
+    "cost_by_model": (f"SELECT day, nmodel AS label, {MEASURES} FROM usage GROUP BY day, nmodel",),
+    "cost_by_project": (
         f"SELECT day, label, {usd('micro')} AS cost_usd, cast(unpriced AS BIGINT) AS unpriced_events, cast(n AS BIGINT) AS event_count FROM project_rows",
         PROJECT_CTE,
     ),
-    "cost_by_repo": query(
+    "cost_by_repo": (
         f"""SELECT day, coalesce(label, '(unattributed)') AS label, {FOLDED}
             FROM spread s LEFT JOIN repo_tab_labels l ON s.repo_key = l.repo_key GROUP BY ALL""",
         TAG_CTE, REPO_CTE,
     ),
+}
+
+ORACLES = {
+    **{name: query(*parts) for name, parts in SPLITS.items()},
+    **{f"{name}_week": query(*parts, where=IN_WEEK) for name, parts in SPLITS.items()},
     "repo_labels": query("SELECT repo_key, label FROM repo_tab_labels", TAG_CTE, REPO_CTE),
-    "dimension_totals": query(f"SELECT label, {FOLDED} FROM project_rows GROUP BY label", PROJECT_CTE),
+    "dimension_totals": query(
+        f"SELECT row_number() OVER (ORDER BY sum(micro) DESC, label) - 1 AS place, label, {FOLDED} FROM project_rows GROUP BY label", PROJECT_CTE
+    ),
     "dimension_domain": query(
         "SELECT row_number() OVER (ORDER BY micro DESC, label) - 1 AS place, label FROM (SELECT label, sum(micro) AS micro FROM project_rows GROUP BY label)",
         PROJECT_CTE,

@@ -91,5 +91,9 @@ def usd(expression: str) -> str:
     return f"cast({expression} AS DOUBLE) / 1000000"
 
 
-def query(body: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join([EVENT_CTE, *ctes]) + "\n" + body
+def query(body: str, *ctes: str, where: str | None = None) -> str:
+    """With `where`, `usage` holds the rows of a window and `everything` all of them."""
+    events = EVENT_CTE
+    if where:
+        events = events.replace("usage AS (", "everything AS (") + f",\nusage AS (SELECT * FROM everything WHERE {where})"
+    return "WITH " + ",\n".join([events, *ctes]) + "\n" + body

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spendmart.schemas import TRANSCRIPT
 
 
-def _derive(lines: DataFrame, root: str, machine_id: Column) -> DataFrame:
+def _derive(lines: DataFrame, root: str, machine_id: Column, *extra: str) -> DataFrame:
     """Keeps the files that are transcripts and derives stream, project and session file from their path."""
     below = F.regexp_extract(F.col("_path"), "^.*?" + _quoted(root) + "/(.*)\\z", 1)
     placed = lines.withColumn("_below", below)
@@ -25,6 +25,7 @@ def _derive(lines: DataFrame, root: str, machine_id: Column) -> DataFrame:
         (~top).alias("is_nested_file"),
         machine_id.alias("machine_id"),
         F.col("_block").alias("block"),
+        *extra,
     )
 
 
@@ -53,6 +54,14 @@ def with_order(records: DataFrame) -> DataFrame:
     return records.withColumn("ord", F.struct(F.col("block"), F.monotonically_increasing_id().alias("line")))
 
 
+def records_of_lines(lines: DataFrame, root: str, machine_id: str) -> DataFrame:
+    """The same records from lines kept in a table: path, block, line (position inside the block) and value."""
+    parsed = F.from_json("value", TRANSCRIPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    read = lines.filter(F.trim("value") != "").select(parsed.alias("_r"), F.col("path").alias("_path"), F.col("block").alias("_block"), F.col("line").alias("_line"))
+    placed = _derive(read.select("_r.*", "_path", "_block", "_line"), root, F.lit(machine_id), "_line")
+    return placed.withColumn("ord", F.struct(F.col("block"), F.col("_line").alias("line"))).drop("_line")
+
+
 def stream_transcripts(spark: SparkSession, root: str, machine_id: str, files_per_trigger: int = 1000) -> DataFrame:
     """The same records as a stream of landed files. Files must be immutable once landed; call `with_order` per batch."""
     lines = (
