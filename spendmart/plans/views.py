@@ -1,4 +1,8 @@
-"""What each dashboard card shows, composed from the operators. All lazy; the caller collects the few final rows."""
+"""What each dashboard card shows, composed from the operators.
+
+The charts and the mix write their day rows out once, at the time they are built; the rest is lazy. The caller
+collects the few final rows.
+"""
 
 from __future__ import annotations
 
