@@ -160,7 +160,7 @@ def _hits(block, keep: list[str]):
                     base = shard.words.first[r]
                     spans.append(_merged(position[mine] - base, tests.sizes[number[mine]]))
                     found = np.unique(tests.items[tb.ragged(tests.item_first[number[mine]], np.diff(tests.item_first)[number[mine]])])
-                    items.append([tests.ids[i] for i in found])
+                    items.append(sorted({tests.ids[i] for i in found}))  # several texts may share an id
                     matches.append(_maximal(position[mine] - base, size[mine], [tests.ids[tests.items[tests.item_first[k]]] for k in number[mine]]))
                 part = batch.slice(chunk.first, chunk.last - chunk.first)
                 yield pa.RecordBatch.from_arrays([
