@@ -153,11 +153,12 @@ class Memo:
         """(ids end to end, how many per hash) of sorted distinct hashes; `encode` gives those never met, asked by position."""
         if sum(len(level[0]) for level in self.levels) > self.limit:
             self._clear()
-        new = np.flatnonzero(self.find(hashes)[0] < 0)
-        if len(new):
-            ids, sizes = encode(new)
-            self._add(hashes[new], ids.astype(np.uint32), sizes)
         starts, sizes = self.find(hashes)
+        new = np.flatnonzero(starts < 0)
+        if len(new):
+            ids, counts = encode(new)
+            starts[new], sizes[new] = self.used + np.cumsum(counts) - counts, counts
+            self._add(hashes[new], ids.astype(np.uint32), counts)
         return self.ids[tb.ragged(starts, sizes)], sizes
 
 

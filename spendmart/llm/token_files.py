@@ -30,6 +30,18 @@ _SEGMENTS = "part int, seq int, inside long, tokens long, doc_ids array<long>, s
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
+def _spelling() -> np.ndarray:
+    """The character that byte-level vocabularies write each byte as: its own where printable, the rest from 256 on, in order."""
+    printable = np.r_[0x21:0x7F, 0xA1:0xAD, 0xAE:0x100]
+    others = np.setdiff1d(np.arange(256), printable)
+    out = np.arange(256, dtype="<u4")
+    out[others] = 256 + np.arange(len(others))
+    return out
+
+
+SPELLING = _spelling()
+
+
 def pack(ids: np.ndarray) -> bytes:
     """The bytes of one segment."""
     levels = []
@@ -106,7 +118,7 @@ class Segment:
 
 
 class Library:
-    """A worker's tokenizer: distinct pre-tokens go through the library once and are remembered by hash.
+    """A worker's tokenizer: distinct pre-tokens go through the library's model once and are remembered by hash.
 
     Texts that spell a special token are encoded whole by the library, which has its own rule for them.
     """
@@ -115,8 +127,9 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = pretokens.Memo()
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # every word it gets is new, so its own memory only costs
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # every word it gets is new, so its own memory only costs
 
     def encode(self, chunk: tb.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's begin."""
@@ -125,9 +138,13 @@ class Library:
         hashes, at, stop, inverse = pretokens.distinct(chunk, starts)
 
         def ask(new: np.ndarray):
-            words = [whole[a:b].decode("utf-8", "replace") for a, b in zip(at[new].tolist(), stop[new].tolist(), strict=True)]
-            found = self.tokenizer.encode(words, add_special_tokens=False, is_pretokenized=True)
-            return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+            spelled, tokenize = SPELLING[chunk.data].tobytes().decode("utf-32-le"), self.model.tokenize
+            found, counts = [], []
+            for a, b in zip(at[new].tolist(), stop[new].tolist(), strict=True):
+                tokens = tokenize(spelled[a:b])
+                counts.append(len(tokens))
+                found += [t.id for t in tokens]
+            return np.array(found, np.uint32), np.array(counts, np.int64)
 
         ids, sizes = self.memo.lookup(hashes, ask) if len(hashes) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         ids, sizes = pretokens.spread(ids, sizes, inverse)
