@@ -1,11 +1,11 @@
 """Toxicity by a learned lexicon whose trie is intersected with Levenshtein automata, and context windows.
 
-Lexicon: words and word beginnings that labelled toxic texts have and others lack, counted in Spark over a bounded
-sample of labels. The trie of all terms is walked together with the automaton of "at most one edit" and made
-deterministic on the driver; the table has one row per state, and its size follows the lexicon (MAX_TERMS). Tasks run
-all words of a megabyte of text through that table at once. Hits are weighed by what they meant in the sample, summed
-over windows of neighbouring words, apart for words inside and outside quotation marks, and a logistic model turns the
-window scores into a probability.
+Lexicon: words and word beginnings that labelled toxic texts have and others lack, counted in Spark over all labelled
+texts; a term needs support, lift and significance of its own, whatever the others have. The trie of all terms is walked
+together with the automaton of "at most one edit" and made deterministic on the driver; the table has one row per state,
+and its size follows the lexicon. Tasks run all words of a megabyte of text through that table at once. Hits are weighed
+by what they meant in all labelled texts, summed over windows of neighbouring words, apart for words inside and outside
+quotation marks, and a logistic model fitted on a bounded sample turns the window scores into a probability.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from spendmart.llm import pretokens
 from spendmart.llm import textbytes as tb
 from spendmart.llm.shared import materialize
 
-SAMPLE = 20_000  # labelled rows the model is fitted on, at most half of either kind
-MAX_TERMS = 128
-SUPPORT = 6, 0.005  # toxic documents of the sample that hold a term: at least so many, and such a share
+SAMPLE = 20_000  # labelled rows the logistic model is fitted on, at most half of either kind
+SUPPORT = 6  # toxic documents that hold a term, at least
 LIFT = 8.0  # how many times more often toxic documents hold it
+SIGNIFICANT = 10.83  # log-likelihood ratio of term against label: one chance in a thousand
 WINDOW = 10  # words to either side
 _QUOTES = [ord(c) for c in '"“”„«»']
 _tables: dict[str, np.ndarray] = {}
@@ -94,14 +94,18 @@ class Automaton:
         dead = (frozenset(), ())
         index = {dead: 0, start: 1}
         queue, table = [dead, start], []
+
+        def number_of(after):
+            if after not in index:
+                index[after] = len(index)
+                queue.append(after)
+            return index[after]
+
         for state in queue:
-            row = []
-            for kind in range(len(classes) + 1):
-                after = step(*state, kind)
-                if after not in index:
-                    index[after] = len(index)
-                    queue.append(after)
-                row.append(index[after])
+            # letters that lead on from none of the nodes all do the same, as does class 0
+            row = np.full(len(classes) + 1, number_of(step(*state, 0)), np.int32)
+            for kind in sorted(set().union(*(children[node] for node, _ in state[0]))):
+                row[kind] = number_of(step(*state, kind))
             table.append(row)
         term, edits = np.full(len(queue), -1), np.zeros(len(queue), np.int64)
         for number, (nodes, kept) in enumerate(queue):
@@ -110,7 +114,7 @@ class Automaton:
                 ends.append(kept)
             if ends:
                 edits[number], term[number] = min(ends)
-        letters = np.zeros(0x110000, np.uint8)
+        letters = np.zeros(0x110000, np.int32)
         letters[list(classes)] = list(classes.values())
         return cls(np.array(table, np.int32), letters, term, edits)
 
@@ -247,7 +251,7 @@ def _lexicon(counted: pa.Table, toxic: int, clean: int) -> list[Term]:
             stems.add(body)
         terms.append((held[piece][0], Term(body, stem)))
     terms.sort(key=lambda t: (-t[0], t[1].text, t[1].stem))
-    return [t for _, t in terms[:MAX_TERMS]]
+    return [t for _, t in terms]
 
 
 @dataclass
@@ -273,11 +277,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
+def _likelihood_ratio(bad, good, toxic: int, clean: int):
+    """G² of the table that has `bad` of the toxic and `good` of the clean texts with a term, and the rest without."""
+    part = lambda n: F.when(n > 0, n * F.log(n.cast("double"))).otherwise(0.0)
+    inside = part(bad) + part(good) + part(F.lit(toxic) - bad) + part(F.lit(clean) - good)
+    sides = part(bad + good) + part(F.lit(toxic + clean) - bad - good) + part(F.lit(toxic)) + part(F.lit(clean))
+    return 2 * (inside - sides + part(F.lit(toxic + clean)))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on docs (doc_id, text) with labels (doc_id, toxic 0 or 1); other labels, null ids and null texts are left out.
 
-    Of each kind, the SAMPLE / 2 labels first by hash of the id are used. Without both kinds the model has no terms and
-    answers the share of toxic labels, or 0.
+    Terms and their weights come from all of them; for the logistic model, of each kind the SAMPLE / 2 labels first by
+    hash of the id are used. Without both kinds the model has no terms and answers the share of toxic labels, or 0.
     """
     spark = docs.sparkSession
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -289,27 +301,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     half = SAMPLE // 2
     drawn = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half).withColumn("weight", F.lit(max(1.0, totals[k] / half))) for k in (0, 1)]
     drawn = materialize(drawn[0].unionByName(drawn[1]), "toxic-sample")
-    sample = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # SAMPLE rows
+    told = docs.filter("text IS NOT NULL").select("doc_id", "text")
     # copies would make every word of theirs look telling
-    sample = materialize(sample.withColumn("fp", F.xxhash64("text")).dropDuplicates(["fp", "toxic"]), "toxic-texts")
+    alone = lambda rows: rows.withColumn("fp", F.xxhash64("text")).dropDuplicates(["fp", "toxic"])
+    sample = materialize(alone(told.join(F.broadcast(drawn), "doc_id")), "toxic-texts")  # SAMPLE rows
+    whole = materialize(alone(told.join(known, "doc_id")).select("text", "toxic"), "toxic-whole")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     pieces = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(
         F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.least(F.length(w), F.lit(10)))), lambda k: F.substring(w, 1, k)),
         F.array(F.concat(w, F.lit("$"))))))
-    seen = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    seen = {r.toxic: r["count"] for r in whole.groupBy("toxic").count().collect()}
     toxic, clean = seen.get(1, 0), seen.get(0, 0)
-    support = max(SUPPORT[0], SUPPORT[1] * toxic)
     counted = (
-        sample.select("toxic", F.explode(F.array_distinct(pieces)).alias("piece"))
+        whole.select("toxic", F.explode(F.array_distinct(pieces)).alias("piece"))
         .groupBy("piece").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-        .filter((F.col("bad") >= support) & (F.length(F.col("piece")) >= 4))
+        .filter((F.col("bad") >= SUPPORT) & (F.length(F.col("piece")) >= 4))
     )
-    counted = counted.filter((F.col("bad") / max(1, toxic)) >= LIFT * (F.col("good") + 1) / (clean + 1)).toArrow()
+    counted = counted.filter((F.col("bad") / max(1, toxic)) >= LIFT * (F.col("good") + 1) / (clean + 1))
+    counted = counted.filter(_likelihood_ratio(F.col("bad"), F.col("good"), toxic, clean) >= SIGNIFICANT).toArrow()
     terms = _lexicon(counted, max(1, toxic), clean)
     automaton = Automaton.of(terms)
     sent = spark.sparkContext.broadcast(automaton)
     texts = sample.select("text", "toxic", "weight")
-    hits = texts.mapInArrow(_counts_of(sent), "term long, edits long, toxic long").groupBy("term", "edits").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).collect()
+    hits = whole.mapInArrow(_counts_of(sent), "term long, edits long, toxic long").groupBy("term", "edits").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).collect()
     weights = np.zeros((len(terms), 2))
     for r in hits:
         weights[r.term, r.edits] = np.log((r.bad + 0.5) / (toxic + 1)) - np.log((r["all"] - r.bad + 0.5) / (clean + 1))

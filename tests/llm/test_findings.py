@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spendmart.llm import licenses
+from spendmart.llm import licenses, toxicity
 
 rng = random.Random(11)
 
@@ -31,3 +31,17 @@ def test_changed_and_neighbouring_bodies(spark):
     assert [g[1] for g in got] == ["mit", "mit-text", "bsd-2-clause-text"] and got[1][2] == 0 and 0 < got[2][2] <= 6
     assert [r.line for r in rows if r.license == "bsd-2-clause-text"] == [4 + mit.count("\n") + 1]
     assert not [r for r in rows if r.doc_id == 2]
+
+
+def test_toxicity_with_hundreds_of_terms(spark):
+    name = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(5))
+    common, terms = [name() for _ in range(60)], [name() for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(k, f"{prose(20)} {terms[k // 8]} {prose(20)}", 1) for k in range(8 * len(terms))]
+    rows += [(10_000 + k, prose(41), 0) for k in range(4 * len(rows))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    asked = [(k, f"{prose(15)} {term} {prose(15)}") for k, term in enumerate(terms)] + [(-1 - k, prose(31)) for k in range(100)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert all(got[k].n_terms >= 1 and got[k].predicted == 1 for k in range(len(terms)))
+    assert sum(got[-1 - k].predicted for k in range(100)) == 0
