@@ -71,6 +71,7 @@ def _take_part(dimension: int):
     def run(batches):
         for batch in batches:
             at, rows = _matrix(batch.column("embedding"), dimension)
+            rows = rows + 0.0  # no negative zeros: equal vectors have equal bytes
             ids = batch.column("vec_id").take(pa.array(at))
             norms = np.sqrt((rows * rows).sum(axis=1))
             yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(norms)], names=["vec_id", "vector", "norm"])
@@ -106,7 +107,7 @@ _SHARDS = "shard long, ids binary, vectors binary, edges binary, posted binary,
 def build_index(rows: DataFrame, pivots, norm: float) -> tuple[DataFrame, int]:
     """Table of shards, and their number, over all rows (vec_id, vector); pivots: a broadcast of fit_pivots()."""
     shards = max(1, -(-rows.count() // SHARD))
-    # copies of a row may share an id, so the vector takes part in the dealing
+    # different vectors may share an id, so the vector takes part in the dealing
     dealt = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard"))
     return materialize(dealt.groupBy("shard").applyInArrow(_shard(pivots, norm), _SHARDS), "shards"), shards
 
@@ -136,13 +137,23 @@ def _search(pivots, best: int):
             if not len(at):
                 continue
             rough = vectors[at] @ vector
-            if len(at) > best:
-                # whatever rounding could lift into the best stays in, ties with it
-                last = np.partition(rough, len(at) - best)[len(at) - best]
-                at = at[rough >= last - 1e-9 * max(1.0, abs(last))]
-            score = np.cumsum(vectors[at] * vector, axis=1)[:, -1]
-            top = np.lexsort((ids[at], -score))[:best]
-            out.append((np.full(len(top), q), ids[at][top], score[top]))
+            wanted = best
+            while True:
+                held = at
+                if len(at) > wanted:
+                    # whatever rounding could lift into the best stays in, ties with it
+                    last = np.partition(rough, len(at) - wanted)[len(at) - wanted]
+                    held = at[rough >= last - 1e-9 * max(1.0, abs(last))]
+                score = np.cumsum(vectors[held] * vector, axis=1)[:, -1]
+                top = np.lexsort((ids[held], -score))
+                mine, theirs = ids[held][top], score[top]
+                # rows of one id and score are one neighbour
+                new = np.append(True, (mine[1:] != mine[:-1]) | (theirs[1:] != theirs[:-1]))
+                if new.sum() >= best or len(held) == len(at):
+                    break
+                wanted *= 2
+            mine, theirs = mine[new][:best], theirs[new][:best]
+            out.append((np.full(len(mine), q), mine, theirs))
         if not out:
             return empty
         query, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -157,14 +168,15 @@ def search(vectors: DataFrame, asked: str, best: int = 20) -> DataFrame:
     vectors: vec_id long, embedding array; `asked` may name vec_id only. score is the inner product of the originals in double precision, summed in
     order; ties go to the smaller vec_id. Null, zero or non-finite vectors, and those of another length than most of the
     sample, take no part; neither do null ids. A row is no candidate for its own id; copies under other ids are. A query
-    whose id occurs twice is answered for both rows together.
+    whose id occurs twice is answered for both rows together. Repeated rows count once.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     known = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
     sizes = np.array([len(x) for x in _sampled(known, "embedding").column("embedding").to_pylist()], np.int64)
     dimension = int(np.bincount(sizes).argmax()) if len(sizes) else 0
-    rows = materialize(known.mapInArrow(_take_part(dimension), "vec_id long, vector binary, norm double"), "vectors")
+    # copies would use up the places in a unit and the opened share of a shard
+    rows = materialize(known.mapInArrow(_take_part(dimension), "vec_id long, vector binary, norm double").distinct(), "vectors")
     norm = rows.agg(F.max("norm")).first()[0]
     if norm is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

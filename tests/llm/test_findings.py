@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from spendmart.llm import licenses, toxicity
+from spendmart.llm import licenses, permutation_index, toxicity
 
 rng = random.Random(11)
 
@@ -33,6 +34,20 @@ def test_changed_and_neighbouring_bodies(spark):
     assert not [r for r in rows if r.doc_id == 2]
 
 
+def test_permutation_index_with_repeated_rows(spark):
+    vectors = np.random.default_rng(4).normal(size=(400, 8))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    schema = "vec_id long, embedding array<double>"
+    search = lambda more: sorted(map(tuple, permutation_index.search(spark.createDataFrame(rows + more, schema), "vec_id % 40 = 0").collect()))
+    once = search([])
+    assert search(rows) == once and len(once) == 200
+    assert search([rows[7]] * 300 + [rows[40]] * 30) == once
+    # one id, two vectors of equal score
+    twins = [(1000 + k // 2, [1.0, float(k % 2), *[0.0] * 6]) for k in range(60)] + [(0, [1.0] + [0.0] * 7)]
+    got = permutation_index.search(spark.createDataFrame(twins, schema), "vec_id = 0").collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == list(range(1000, 1020))
+
+
 def test_toxicity_with_hundreds_of_terms(spark):
     name = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(5))
     common, terms = [name() for _ in range(60)], [name() for _ in range(300)]
