@@ -14,13 +14,12 @@ from spendmart.llm import bpe, decontaminate, language, ngram_join, substrings
 from spendmart.llm.shared import identified, materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SHARE = 0.4  # of the leading language
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in which no language prevails, go; the model is trained on the labelled ones."""
+    """Documents without letters go; mixtures of languages stay. The model is trained on the labelled ones."""
     predicted = language.predict(docs.select(*COLUMNS), language.train(docs), keep=COLUMNS)
-    return predicted.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    return predicted.filter("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

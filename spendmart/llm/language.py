@@ -19,7 +19,6 @@ FEATURES = 1 << 15
 SMOOTHING = 0.5
 ROUNDS = 12
 PENALTY = 1.5  # times the logarithm of the number of trigrams; every letter is in three of them
-MOST_LANGUAGES = 4  # in one document
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[0x61:0x7B] = np.arange(0x61, 0x7B)
 _LETTERS[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -101,7 +100,7 @@ def _mixtures(chunk: tb.Chunk, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray
     best = np.zeros_like(full)
     best[np.arange(len(docs)), lead] = 1
     value = alone[np.arange(len(docs)), lead]
-    for k in range(2, min(MOST_LANGUAGES, n_langs) + 1):
+    for k in range(2, n_langs + 1):
         open_ = np.flatnonzero(full[np.arange(len(docs)), order[:, k - 1]] > 0.01)
         if not len(open_):
             break

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from spendmart.llm import licenses, permutation_index, toxicity
+import corpus_pipeline
+from spendmart.llm import language, licenses, permutation_index, toxicity
 
 rng = random.Random(11)
 
@@ -60,3 +61,15 @@ def test_toxicity_with_hundreds_of_terms(spark):
     got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
     assert all(got[k].n_terms >= 1 and got[k].predicted == 1 for k in range(len(terms)))
     assert sum(got[-1 - k].predicted for k in range(100)) == 0
+
+
+def test_language_mixtures_are_kept(spark):
+    letters = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst", "ff": "uvwx"}
+    text = lambda lang, n=80: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(k, text(lang), lang, "s", 1) for k, lang in enumerate(list(letters) * 10)]
+    rows += [(100 + n, " ".join(text(lang) for lang in list(letters)[:n]), None, "s", 1) for n in range(1, 7)] + [(200, "12 !", None, "s", 1), (201, None, None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in language.predict(docs, language.train(docs)).collect()}
+    for n in range(1, 7):
+        assert set(got[100 + n].shares) == set(list(letters)[:n]) and abs(got[100 + n].score - 1 / n) < 0.1
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {r[0] for r in rows} - {200, 201}
