@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendmart.llm import bpe, decontaminate, hosts, language, licenses, ngram_join, permutation_index, substrings, token_files, toxicity
+from spendmart.llm import bpe, decontaminate, hosts, language, licenses, ngram_join, periodic, permutation_index, quality, substrings, token_files, toxicity
 from spendmart.llm.shared import crc_fold, identified, read
 
 QUERIES, ORACLES = {}, {}
@@ -91,3 +91,37 @@ def op7_license_scan(spark, sf):
 @query
 def op10_permutation_index(spark, sf):
     return permutation_index.search(read(spark, sf, "embeddings"), "vec_id % 20 = 0", best=20)
+
+
+@query
+def op11_quality(spark, sf):
+    docs = identified(read(spark, sf, "documents"))
+    docs = docs.withColumn("held_out", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)))
+    labels = read(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.classify(docs, labels, learn="NOT held_out", threshold=0.3, keep=["doc_id", "held_out"])
+
+
+# A tenth of the documents is made periodic from word a on: its p words from there, again and again, to the old length
+LOOPED = r"""
+    CASE WHEN h % 10 = 0 AND size(w) > 0 THEN
+        array_join(slice(concat(slice(w, 1, a), flatten(array_repeat(slice(w, a + 1, p), CAST(ceil((size(w) - a) / p) AS INT)))), 1, size(w)), ' ')
+    ELSE text END
+"""
+
+
+@query
+def op13_periodic_runs(spark, sf):
+    docs = identified(read(spark, sf, "documents")).withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    docs = docs.withColumn("w", F.expr(r"CASE WHEN h % 10 = 0 THEN array_remove(split(text, '[\\x20\\x09-\\x0D]+'), '') END"))
+    docs = docs.withColumn("a", F.expr("CAST((h DIV 10) % nullif(size(w), 0) AS INT)"))
+    docs = docs.withColumn("p", F.expr("CAST(1 + (size(w) - a) DIV (3 + (h DIV 10) % 8) AS INT)"))
+    found = periodic.periodic_runs(docs.select("doc_id", F.expr(LOOPED).alias("text")), exponent=4, least=6)
+    # exact comparison of length / period; the first in order wins a tie
+    found = found.withColumn("best", F.expr("aggregate(runs, get(runs, 0), (b, r) -> IF(r.length * b.period > b.length * r.period, r, b))"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
