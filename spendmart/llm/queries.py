@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendmart.llm import bpe, decontaminate, hosts, language, licenses, ngram_join, periodic, permutation_index, quality, substrings, token_files, toxicity
-from spendmart.llm.shared import crc_fold, identified, read
+from spendmart.llm import bpe, decontaminate, hosts, language, licenses, ngram_join, periodic, permutation_index, prefix_trie, quality, substrings, token_files, toxicity
+from spendmart.llm.shared import crc_fold, identified, materialize, read
 
 QUERIES, ORACLES = {}, {}
 RULES = [
@@ -125,3 +125,21 @@ def op13_periodic_runs(spark, sf):
         F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+def branched(blocks, heads=100, longest=6):
+    """Conversations that begin with the first turns of another: conversation c takes crc32(c) % longest turns of c - c % heads, then its own after as many."""
+    base = blocks.filter(f"conv_id % {heads} = 0 AND before < {longest - 1}").select(F.col("conv_id").alias("base"), "before", F.slice("turns", 1, longest - 1).alias("head"))
+    base = base.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("before", "head"))).alias("h"))
+    base = base.select("base", F.slice(F.flatten(F.col("h.head")), 1, longest - 1).alias("head"))
+    own = blocks.withColumn("base", F.expr(f"conv_id - conv_id % {heads}")).withColumn("k", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % longest).cast("int"))
+    own = own.join(base, "base", "left").withColumn("lead", F.expr("coalesce(slice(head, 1, k), array())"))
+    rest = F.expr("slice(turns, CAST(greatest(0, k - before) AS INT) + 1, size(turns))")
+    start = F.expr("CASE WHEN before = 0 THEN 0L ELSE greatest(before, k) - k + size(lead) END")
+    return own.select("conv_id", start.alias("start"), F.when(F.col("before") == 0, F.concat("lead", rest)).otherwise(rest).alias("turns"), "whole")
+
+
+@query
+def op12_prefix_trie(spark, sf):
+    blocks = materialize(prefix_trie.turn_blocks(read(spark, sf, "conversations")), "turn-blocks")
+    return prefix_trie.prefix_nodes(branched(blocks))
