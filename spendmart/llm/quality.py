@@ -187,8 +187,9 @@ def fit(known: DataFrame) -> Model:
     d = len(FEATURES)
     means = np.array([first[k][1 : d + 1] / counts[k] for k in (0, 1)])
     inner = sum(first[k][d + 1 :] - counts[k] * means[k] ** 2 for k in (0, 1))
-    scale = np.sqrt(np.maximum(inner / counts.sum(), 0))
-    scale[scale < 1e-9] = 1.0
+    variance = inner / counts.sum()
+    constant = variance <= 1e-12 * (1 + (means**2).max(0))  # what is left of a difference of sums
+    scale = np.sqrt(np.where(constant, 1.0, variance))
     second = _totals(known, means, scale)
     scatter = [second[k][2:].reshape(d, d) for k in (0, 1)]
     pooled = sum(scatter) / counts.sum()
