@@ -72,7 +72,7 @@ def run_transcripts(
         buckets = [row.bucket for row in touched.select("bucket").distinct().collect()]  # at most BUCKETS
         again = stored.filter(F.col("bucket").isin(buckets)).join(touched, ["machine_id", "project_dir", "bucket"], "left_semi")
         done = ingest(again.drop(*_MARKS, "bucket"), repos, ledger, prices)
-        table.merge(done.events, F.col("ord"))
+        table.merge(done.events, F.col("ord"), job, batch_id)
         for name in ("tags", "rejected", "torn", "skipped"):
             _keep(getattr(done, name), f"{table.path}.{name}", job, batch_id)
 

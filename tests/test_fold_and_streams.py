@@ -1,7 +1,6 @@
 import itertools
 import json
 import random
-import shutil
 from decimal import Decimal
 
 import pytest
@@ -77,26 +76,95 @@ def test_stored_table_equals_the_rule_batch_by_batch(spark, tmp_path):
     assert duplicate_keys(table.events()).count() == 0
 
 
-def test_a_merge_cut_off_while_replacing_partitions_is_finished(spark, tmp_path, monkeypatch):
-    rows, path = writes(60, 4), str(tmp_path / "events")
-    EventTable(spark, path, buckets=2).merge(numbered(spark, rows[:20]), F.col("n"))
-    lost = EventTable(spark, path, buckets=2)
+def test_a_merge_cut_off_anywhere_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    rows, path = writes(40, 4), str(tmp_path / "events")
+    table = EventTable(spark, path)
+    table.merge(numbered(spark, rows[:20]), F.col("n"))
+    lost, later = EventTable(spark, path, changes=True), numbered(spark, rows[20:])
 
-    def cut_off():
-        # the partitions about to be replaced are gone, their new files are not there yet
-        for row in spark.read.parquet(lost.staging).select("event_date", "bucket").distinct().collect():
-            shutil.rmtree(tmp_path / "events" / f"event_date={row['event_date']}" / f"bucket={row['bucket']}", ignore_errors=True)
+    def cut_off(*args, **more):
         raise RuntimeError("driver lost")
 
-    monkeypatch.setattr(lost, "_apply", cut_off)
-    with pytest.raises(RuntimeError):
-        lost.merge(numbered(spark, rows[20:40]), F.col("n"))
-    table = EventTable(spark, path, buckets=2)
-    table.merge(numbered(spark, rows[20:40]), F.col("n"))
-    table.merge(numbered(spark, rows[40:]), F.col("n"))
+    for step in ("_known", "_written", "_record", "_publish"):
+        with monkeypatch.context() as patched:
+            patched.setattr(lost, step, cut_off)
+            with pytest.raises(RuntimeError):
+                lost.merge(later, F.col("n"))
+        assert table.snapshot().version == 1, step
+        # data files were written before a late cut; no manifest names them
+        assert (table.unreferenced().count() > 0) == (step in ("_record", "_publish"))
+    assert dicts(table.events().select(*EVENT_COLUMNS), "request_id") == model(rows[:20])
+    lost.merge(later, F.col("n"))
     assert dicts(table.events().select(*EVENT_COLUMNS), "request_id") == model(rows)
 
 
+def test_readers_keep_the_version_they_opened(spark, tmp_path):
+    rows, table = writes(60, 6), EventTable(spark, str(tmp_path / "events"), buckets=2)
+    table.merge(numbered(spark, rows[:30]), F.col("n"))
+    opened = table.events()
+    files = {f: (tmp_path / f.removeprefix("file://")).stat().st_mtime_ns for f in opened.inputFiles()}
+    table.merge(numbered(spark, rows[30:]), F.col("n"))
+    assert dicts(opened.select(*EVENT_COLUMNS), "request_id") == model(rows[:30])
+    assert dicts(table.events(version=1).select(*EVENT_COLUMNS), "request_id") == model(rows[:30])
+    assert dicts(table.events().select(*EVENT_COLUMNS), "request_id") == model(rows)
+    assert files == {f: (tmp_path / f.removeprefix("file://")).stat().st_mtime_ns for f in files}  # written once
+    with pytest.raises(ValueError):
+        table.events(version=9)
+
+
+def test_a_retried_batch_changes_nothing_whatever_came_between(spark, tmp_path):
+    table = EventTable(spark, str(tmp_path / "events"))
+    batch = lambda slug: frame(spark, event(1, project_slug=slug)).withColumn("n", F.lit(0))
+    slug = lambda: table.events().first().project_slug
+    assert table.merge(batch("from/a"), F.col("n"), job="a", batch=0) and slug() == "from/a"
+    assert table.merge(batch("from/b"), F.col("n"), job="b", batch=0) and slug() == "from/b"
+    assert not table.merge(batch("from/a"), F.col("n"), job="a", batch=0) and slug() == "from/b"
+    assert table.merge(batch("again/a"), F.col("n"), job="a", batch=1) and slug() == "again/a"
+    assert not table.merge(batch("from/b"), F.col("n"), job="b", batch=0) and slug() == "again/a"
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    table, rival = (EventTable(spark, str(tmp_path / "events")) for _ in range(2))
+    table.merge(frame(spark, event(1)).withColumn("n", F.lit(0)), F.col("n"))
+    first = table.snapshot()
+    look = rival.snapshot
+    rival.snapshot = lambda version=None: look(version) if version else first  # looked before the other published
+    table.merge(frame(spark, event(2)).withColumn("n", F.lit(0)), F.col("n"))
+    before = {r.request_id for r in table.events().collect()}
+    try:
+        rival.merge(frame(spark, event(3)).withColumn("n", F.lit(0)), F.col("n"))
+        won = {"r1", "r3"}
+    except RuntimeError:
+        won = before
+    assert {r.request_id for r in table.events().collect()} == won
+
+
+def test_units_and_index_runs_follow_the_size(spark, tmp_path):
+    """Files are split as the table grows, and a small batch reads few of them."""
+    table = EventTable(spark, str(tmp_path / "events"), unit_rows=40, run_rows=60)
+    rows = [event(n, ts=at(f"2026-08-0{1 + n % 2}T10:00:00")) for n in range(1200)]
+    for first, last in ((0, 700), (700, 1150), (1150, 1200)):
+        table.merge(numbered(spark, rows[first:last]), F.col("n"))
+    state = table.snapshot()
+    units = state.of("data")
+    assert sum(u.rows for u in units) == 1200 and max(u.rows for u in units) <= 80 and len(units) >= 30
+    runs = state.of("index")
+    assert sum(r.rows for r in runs) == 1200 and {r.depth for r in runs} & {3, 6}
+    incoming = numbered(spark, [rows[7]]).select("request_id", "message_id")
+    opened = table._known(state, incoming)
+    levels = len({r.depth for r in runs})
+    loose = sum(1 for r in runs if r.depth == 0)
+    assert opened.count() < 1200 / 2 and len(opened.inputFiles()) <= levels + loose < len(runs)
+    # one re-sent row rewrites one unit
+    before = set(table.events().inputFiles())
+    table.merge(numbered(spark, [event(7, ts=at("2026-09-09T10:00:00"), output_tokens=77)]), F.col("n"))
+    after = set(table.events().inputFiles())
+    assert len(before - after) == 1 and len(after - before) == 1
+    got = table.events().filter("request_id = 'r7'").collect()
+    assert [(r.output_tokens, r.ts) for r in got] == [(77, at("2026-08-02T10:00:00"))]
+    assert table.events().count() == 1200 and duplicate_keys(table.events()).count() == 0
+
+
 def test_layout_prunes_dates(spark, tmp_path):
     from spendmart.operators.filters import in_range
 
