@@ -200,7 +200,7 @@ REPOS = [
 
 
 def _repos(spark):
-    return spark.createDataFrame([("m", *r) for r in REPOS], "machine_id string, root string, repo_key string, main_root string")
+    return spark.createDataFrame([(m, *r) for m in ("m", "n") for r in REPOS], "machine_id string, root string, repo_key string, main_root string")
 
 
 def _folder_of(number, other):
@@ -228,7 +228,7 @@ def git_remote_normalize(spark, sf):
 
 
 def _turns(spark, sf):
-    """Deduplicated lines as turns: one stream per supplier, one block per shipping year."""
+    """Deduplicated lines as turns: one stream per supplier, one block per shipping year; two machines with a folder of one name."""
     kept = turns.keep_fullest(
         _lines(spark, sf).withColumn("tokens", F.col("l_quantity")).withColumn("at", F.struct(*ARRIVAL)),
         ["l_orderkey", "l_linenumber"], "tokens", "at", ["l_partkey", "l_suppkey", "l_shipdate"],
@@ -242,7 +242,7 @@ def _turns(spark, sf):
         F.col("l_suppkey").cast("string").alias("stream"),
         F.year("l_shipdate").cast("bigint").alias("block"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("ord"),
-        F.lit("m").alias("machine_id"),
+        F.when(F.col("l_suppkey") % 3 == 0, "n").otherwise("m").alias("machine_id"),
         F.lit("p").alias("project_dir"),
         cwd.alias("cwd"),
         files.alias("file_paths"),
@@ -252,7 +252,7 @@ def _turns(spark, sf):
 
 
 def attribute_turns(spark, sf):
-    fallback = spark.createDataFrame([("p", "home/base", None, None)], "project_dir string, project_slug string, repo_key string, repo_name string")
+    fallback = spark.createDataFrame([("m", "p", "home/base", None, None), ("n", "p", "other/base", None, None)], "machine_id string, project_dir string, project_slug string, repo_key string, repo_name string")
     placed = attribution.attribute_turns(_turns(spark, sf), _repos(spark), fallback)
     return placed.select("l_orderkey", "l_linenumber", "project_slug", "repo_key", "repo_name")
 
@@ -368,7 +368,7 @@ ORACLES = {
     "attribute_turns": f"""WITH RECURSIVE {TURNS_CTE}, {REPO_VALUES},
         f(stream, n, root) AS (SELECT DISTINCT stream, cast(0 AS BIGINT), cast(NULL AS VARCHAR) FROM t
           UNION ALL SELECT t.stream, t.n, {STEP} FROM f JOIN t ON t.stream = f.stream AND t.n = f.n + 1)
-        SELECT l_orderkey, cast(l_linenumber AS BIGINT) AS l_linenumber, coalesce({LAST_TWO.format('f.root')}, 'home/base') AS project_slug,
+        SELECT l_orderkey, cast(l_linenumber AS BIGINT) AS l_linenumber, coalesce({LAST_TWO.format('f.root')}, if(cast(t.stream AS BIGINT) % 3 = 0, 'other/base', 'home/base')) AS project_slug,
           repo_key, {LAST_TWO.format('main_root')} AS repo_name
         FROM f JOIN t ON t.stream = f.stream AND t.n = f.n LEFT JOIN repos r ON r.root = f.root""",
     "session_repo_tags": f"""WITH {TURNS_CTE}, {REPO_VALUES},

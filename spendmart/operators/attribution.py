@@ -1,168 +1,110 @@
 """Which repository each turn belongs to, carried forward along its stream.
 
-The carried repository makes this an ordered fold. A stream may hold a large share of all turns,
-so it is folded in blocks (for transcripts: the file splits, which are bounded in size):
+The carried repository makes this an ordered fold, and a stream may hold a large share of all turns. So every piece of
+a stream is treated as a function of the repository carried into it, and functions compose:
 
-1. every block of a multi-block stream is summarised as a function of the repository carried in;
-2. the summaries, one row per block, are chained per stream, giving each block its start;
-3. every block is folded from its start.
+1. turns are dealt to cells of CELL turns; most cells hold a turn whose outcome does not depend on what is carried, so
+   they end in one sure repository; the few others are tables from start to end over the repositories of the stream;
+2. the functions of cells compose to those of blocks (for transcripts: the file splits, which are bounded in size), and
+   those of blocks along the stream; that gives each block, then each cell, its start;
+3. every cell is folded from its start.
 
-Single-block streams skip the first two steps. The fold itself is a few comparisons per turn over
-Arrow batches; everything that finds repositories is plain joins.
+All of it is column expressions over arrays no longer than a cell, a block's cells or a stream's blocks. "" stands for
+no repository yet.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spendmart.functions.paths import last_two_segments, parent_folder
 from spendmart.operators.repos import resolve_folders
 from spendmart.session import materialize
 
+CELL = 64
+
 
-class Unchanged:
-    """An unknown repository carried into a block, known only by which of the block's folders contain it."""
-
-    def __init__(self, containers: frozenset[str]):
-        self.containers = containers
-
-    def __eq__(self, other):
-        return isinstance(other, Unchanged) and self.containers == other.containers
-
-    def __hash__(self):
-        return hash(self.containers)
-
-
-def lies_in(root, outer) -> bool:
-    """Whether a carried or found repository lies strictly inside `outer`."""
-    if root is None:
-        return False
-    if isinstance(root, Unchanged):
-        return outer in root.containers
-    return root.startswith(outer + "/")
-
-
-def next_root(carried, here, tied, first):
-    """The repository after one turn: `here` is the folder's own, `tied` those holding most touched files, `first` the first of these."""
-    by_files = carried if carried in tied else first
-    if here is not None and not lies_in(carried, here) and not lies_in(by_files, here):
-        return here
-    return carried if by_files is None else by_files
-
-
-def summarise(turns: list[tuple]) -> str:
-    """A block as a function of the repository carried in, as JSON: [kind, key, end] per class of starts, end `true` = unchanged."""
-    here_roots = {here for here, _, _ in turns if here is not None}
-    named = here_roots.union(*[set(tied) for _, tied, _ in turns])
-    starts = {("none", None): None, ("other", None): Unchanged(frozenset())}
-    for root in named:
-        starts["root", root] = root
-    for outer in here_roots:
-        starts["under", outer] = Unchanged(frozenset(h for h in here_roots if h == outer or outer.startswith(h + "/")))
-    states = {start: start for start in set(starts.values())}
-    for here, tied, first in turns:
-        moved = {state: next_root(state, here, tied, first) for state in set(states.values())}
-        states = {start: moved[state] for start, state in states.items()}
-    ends = {key: states[start] for key, start in starts.items()}
-    if len(set(ends.values())) == 1 and not isinstance(ends["none", None], Unchanged):
-        return json.dumps([["any", None, ends["none", None]]])
-    return json.dumps([[kind, key, True if isinstance(end, Unchanged) else end] for (kind, key), end in ends.items()])
-
-
-def apply_summary(summary: str, carried):
-    """The repository after a block, given the one carried in."""
-    table = {(kind, key): end for kind, key, end in json.loads(summary)}
-    if ("any", None) in table:
-        return table["any", None]
-    if carried is None:
-        return table["none", None]
-    if ("root", carried) in table:
-        return table["root", carried]
-    containers = [key for kind, key in table if kind == "under" and carried.startswith(key + "/")]
-    end = table["under", max(containers, key=len)] if containers else table["other", None]
-    return carried if end is True else end
-
-
-def _turn_rows(batch: pa.RecordBatch, *names: str):
-    return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names])
-
-
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks arrive sorted; only the block being read is held, and a block is bounded by its split."""
-    schema = pa.schema([("stream", pa.string()), ("block", pa.int64()), ("summary", pa.string())])
-    current, turns = None, []
-
-    def flush():
-        return pa.RecordBatch.from_pylist([{"stream": current[0], "block": current[1], "summary": summarise(turns)}], schema)
-
-    for batch in batches:
-        for stream, block, here, tied, first in _turn_rows(batch, "stream", "block", "here_root", "tied_roots", "first_root"):
-            if (stream, block) != current:
-                if current is not None:
-                    yield flush()
-                current, turns = (stream, block), []
-            turns.append((here, tied, first))
-    if current is not None:
-        yield flush()
-
-
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("stream", pa.string()), ("block", pa.int64()), ("start_root", pa.string())])
-    current, carried = None, None
-    for batch in batches:
-        rows = []
-        for stream, block, summary in _turn_rows(batch, "stream", "block", "summary"):
-            if stream != current:
-                current, carried = stream, None
-            rows.append({"stream": stream, "block": block, "start_root": carried})
-            carried = apply_summary(summary, carried)
-        yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    current, carried = None, None
-    for batch in batches:
-        roots = []
-        for stream, block, start, here, tied, first in _turn_rows(
-            batch, "stream", "block", "start_root", "here_root", "tied_roots", "first_root"
-        ):
-            if (stream, block) != current:
-                current, carried = (stream, block), start
-            carried = next_root(carried, here, tied, first)
-            roots.append(carried)
-        kept = [n for n in batch.schema.names if n not in ("start_root", "here_root", "tied_roots", "first_root", "_nth")]
-        yield batch.select(kept).append_column("root", pa.array(roots, pa.string()))
-
-
-def _in_order(rows: DataFrame, groups: list[str], order: str) -> DataFrame:
-    """Whole groups in one partition each, sorted, ready for a streaming fold.
-
-    A window is used rather than repartition + sortWithinPartitions: a fold over partitions states no
-    distribution of its own, so adaptive execution may drop that repartition as redundant after a join
-    and then read the join locally. The window's requirement cannot be dropped.
+def _step(carried: str, turn: str) -> str:
+    """SQL of the repository after a turn: `here_root` is the folder's own, `tied_roots` those holding most touched files.
+
+    The folder decides, unless the work it would step out of lies inside it: then what the files say, or what was carried.
     """
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(*groups).orderBy(order)))
+    files = f"IF(array_contains({turn}.tied_roots, {carried}), {carried}, {turn}.first_root)"
+    inside = lambda root: f"coalesce(startswith({root}, concat({turn}.here_root, '/')), false)"
+    return (
+        f"CASE WHEN {turn}.here_root IS NOT NULL AND NOT {inside(carried)} AND NOT {inside(files)} THEN {turn}.here_root "
+        f"ELSE coalesce({files}, {carried}) END"
+    )
+
+
+def _sure(turn: str) -> str:
+    """SQL of the outcome of a turn that does not depend on what is carried, else NULL. `outer`: roots with others inside."""
+    return (
+        f"CASE WHEN {turn}.here_root IS NOT NULL AND NOT array_contains(outer, {turn}.here_root) THEN {turn}.here_root "
+        f"WHEN size({turn}.tied_roots) = 1 AND ({turn}.here_root IS NULL OR startswith({turn}.first_root, concat({turn}.here_root, '/'))) "
+        f"THEN {turn}.first_root END"
+    )
+
+
+def _moved(carried: str, part: str) -> str:
+    """SQL of the repository after a part with a `sure` end, or else a table of the starts it `moves`."""
+    return f"coalesce({part}.sure, {part}.moves[{carried}], {carried})"
+
+
+def _as_function(parts: str, step: str, sure: str, starts: str) -> list[Column]:
+    """Columns `sure` and `moves` of parts `x` in order, folded by `step` from a state `c`."""
+    none = "CAST(NULL AS STRING)"
+    end = F.expr(f"aggregate({parts}, {none}, (c, x) -> coalesce({sure}, IF(c IS NULL, NULL, {step})))")
+    table = f"transform({starts}, s -> named_struct('key', s, 'value', aggregate({parts}, s, (c, x) -> {step})))"
+    moves = F.expr(f"map_from_entries(filter({table}, e -> e.key <> e.value))")
+    return [end.alias("sure"), F.when(end.isNull(), moves).alias("moves")]
+
+
+def _running(parts: str, step: str) -> Column:
+    """The states before the first part and after each part."""
+    return F.expr(f"aggregate({parts}, array(start), (a, x) -> array_append(a, {step.replace('c@', 'element_at(a, -1)')}))")
 
 
 def carry_roots(turns: DataFrame) -> DataFrame:
     """Adds `root` to turns with stream, block (bigint), ord, here_root, tied_roots, first_root; drops the three inputs."""
-    blocks = turns.select("stream", "block").distinct()
-    long_streams = blocks.groupBy("stream").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("stream")
-    narrow = turns.select("stream", "block", "ord", "here_root", "tied_roots", "first_root").join(long_streams, "stream", "left_semi")
-    summaries = _in_order(narrow, ["stream", "block"], "ord").mapInArrow(_summaries, "stream string, block bigint, summary string")
-    starts = _in_order(summaries, ["stream"], "block").mapInArrow(_chain, "stream string, block bigint, start_root string")
-    started = turns.join(starts, ["stream", "block"], "left")
+    place = F.row_number().over(W.partitionBy("stream", "block").orderBy("ord")) - 1
+    payload = [c for c in turns.columns if c not in ("stream", "block")]
+    dealt = turns.withColumn("_n", place).withColumn("_cell", F.floor(F.col("_n") / CELL))
+    cells = dealt.groupBy("stream", "block", "_cell").agg(F.array_sort(F.collect_list(F.struct("_n", *payload))).alias("turns"))
+    cells = materialize(cells, "cells")
+
+    # What a stream can carry, and which of it contains other repositories
+    named = F.flatten(F.transform("turns", lambda t: F.array_append(t["tied_roots"], t["here_root"])))
+    sets = cells.select("stream", F.explode(F.array_distinct(named)).alias("root")).filter("root IS NOT NULL")
+    sets = sets.groupBy("stream").agg(F.collect_set("root").alias("roots"))
+    sets = sets.withColumn("outer", F.expr("filter(roots, o -> exists(roots, r -> startswith(r, concat(o, '/'))))"))
+    known = cells.join(sets, "stream", "left")
+    for column in ("roots", "outer"):
+        known = known.withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+    functions = known.select(
+        "stream", "block", "_cell", *_as_function("turns", _step("c", "x"), _sure("x"), "array_append(roots, '')")
+    )
+    functions = materialize(functions, "cell-functions")
+
+    inside = functions.groupBy("stream", "block").agg(F.array_sort(F.collect_list(F.struct("_cell", "sure", F.map_entries("moves").alias("_moves")))).alias("parts"))
+    inside = inside.withColumn("parts", F.expr("transform(parts, p -> named_struct('_cell', p._cell, 'sure', p.sure, 'moves', map_from_entries(p._moves)))"))
+    starts = "array_distinct(flatten(transform(parts, p -> coalesce(map_keys(p.moves), array()))))"
+    blocks = inside.select("stream", "block", "parts", *_as_function("parts", _moved("c", "x"), "x.sure", starts))
+    along = blocks.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("block", "sure", F.map_entries("moves").alias("_moves")))).alias("parts"))
+    along = along.withColumn("parts", F.expr("transform(parts, p -> named_struct('block', p.block, 'sure', p.sure, 'moves', map_from_entries(p._moves)))"))
+    moved = _moved("c@", "x")
+    begun = along.withColumn("start", F.lit("")).select("stream", F.posexplode("parts.block").alias("_i", "block"), _running("parts", moved).alias("_at"))
+    begun = begun.select("stream", "block", F.col("_at")[F.col("_i")].alias("start"))
+    opened = blocks.join(begun, ["stream", "block"]).select("stream", "block", F.posexplode("parts._cell").alias("_i", "_cell"), _running("parts", moved).alias("_at"))
+    opened = opened.select("stream", "block", "_cell", F.col("_at")[F.col("_i")].alias("start"))
+
+    folded = cells.join(opened, ["stream", "block", "_cell"])
+    roots = _running("turns", _step("c@", "x"))
+    each = folded.select("stream", "block", F.explode(F.arrays_zip("turns", F.slice(roots, 2, CELL).alias("root"))).alias("_t"))
     kept = [c for c in turns.columns if c not in ("here_root", "tied_roots", "first_root")]
-    out = T.StructType([turns.schema[c] for c in kept] + [T.StructField("root", T.StringType())])
-    ordered = _in_order(started.select(*kept, "start_root", "here_root", "tied_roots", "first_root"), ["stream", "block"], "ord")
-    return ordered.mapInArrow(_fold, out)
+    return each.select(*[F.col(c) if c in ("stream", "block") else F.col(f"_t.turns.{c}").alias(c) for c in kept], F.nullif(F.col("_t.root"), F.lit("")).alias("root"))
 
 
 def turn_candidates(turns: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -198,21 +140,21 @@ def attribute_turns(turns: DataFrame, repos: DataFrame, fallback: DataFrame) ->
     """Adds project_slug, repo_key, repo_name to turns.
 
     `turns`: stream, block, ord, machine_id, project_dir, cwd, file_paths, ...; `fallback`: one row per
-    project_dir with project_slug, repo_key, repo_name, used until a stream has any evidence of its own.
-    Turns of projects without a fallback are left out. The turns and their candidates are each read
-    several times, so both are written out once instead of being computed again.
+    machine_id and project_dir with project_slug, repo_key, repo_name, used until a stream has any evidence of
+    its own: folders of one name on two machines are two projects. Turns of projects without a fallback are left
+    out. The turns are read several times, so they are written out once instead of being computed again.
     """
     turns = materialize(turns, "turns")
     resolved = materialize(resolve_folders(turn_folders(turns), repos), "folders")
-    folded = carry_roots(materialize(turn_candidates(turns, resolved), "candidates"))
+    folded = carry_roots(turn_candidates(turns, resolved))
     roots = repos.filter(F.col("repo_key").isNotNull()).select(
         F.col("machine_id").alias("_m"), F.col("root").alias("_r"), F.col("repo_key").alias("_key"), "main_root"
     )
     joined = folded.join(roots, (F.col("machine_id") == F.col("_m")) & (F.col("root") == F.col("_r")), "left")
     kept = fallback.select(
-        F.col("project_dir").alias("_p"), F.col("project_slug").alias("_slug"), F.col("repo_key").alias("_fkey"), F.col("repo_name").alias("_fname")
+        F.col("machine_id").alias("_fm"), F.col("project_dir").alias("_p"), F.col("project_slug").alias("_slug"), F.col("repo_key").alias("_fkey"), F.col("repo_name").alias("_fname")
     )
-    placed = joined.join(kept, F.col("project_dir") == F.col("_p"))
+    placed = joined.join(kept, (F.col("machine_id") == F.col("_fm")) & (F.col("project_dir") == F.col("_p")))
     own = F.col("root").isNotNull()
     return placed.select(
         *[folded[c] for c in folded.columns],
@@ -223,7 +165,7 @@ def attribute_turns(turns: DataFrame, repos: DataFrame, fallback: DataFrame) ->
 
 
 def project_fallback(records: DataFrame, repos: DataFrame) -> DataFrame:
-    """(project_dir, project_slug, repo_key, repo_name) from the first folder its own top-level transcripts record."""
+    """(machine_id, project_dir, project_slug, repo_key, repo_name) from the first folder its own top-level transcripts record."""
     first = (
         records.filter(~F.col("is_nested_file") & F.col("cwd").isNotNull() & (F.col("cwd") != ""))
         .groupBy("machine_id", "project_dir")
@@ -235,6 +177,7 @@ def project_fallback(records: DataFrame, repos: DataFrame) -> DataFrame:
     )
     joined = first.join(resolved, (F.col("machine_id") == F.col("_m")) & (F.col("folder") == F.col("_f")), "left")
     return joined.select(
+        "machine_id",
         "project_dir",
         last_two_segments(F.coalesce("root", "folder")).alias("project_slug"),
         "repo_key",

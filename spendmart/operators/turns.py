@@ -97,7 +97,7 @@ def dedupe_turns(digested: DataFrame) -> DataFrame:
 
 
 def session_titles(digested: DataFrame) -> DataFrame:
-    """(session_file, session_title): the last non-empty custom title, else the last non-empty generated one.
+    """(machine_id, session_file, session_title): the last non-empty custom title, else the last non-empty generated one.
 
     Only the session's own transcript names it; titles inside subagent files do not count.
     """
@@ -106,9 +106,9 @@ def session_titles(digested: DataFrame) -> DataFrame:
     generated = (F.col("type") == "ai-title") & (F.col("generated_title") != "")
     return (
         digested.filter(~F.col("is_nested_file") & (custom | generated))
-        .groupBy("session_file")
+        .groupBy("machine_id", "session_file")
         .agg(F.max_by("custom_title", F.when(custom, place)).alias("_c"), F.max_by("generated_title", F.when(generated, place)).alias("_g"))
-        .select("session_file", F.coalesce("_c", "_g").alias("session_title"))
+        .select("machine_id", "session_file", F.coalesce("_c", "_g").alias("session_title"))
     )
 
 

@@ -56,11 +56,11 @@ def ingest(records: DataFrame, repos: DataFrame, ledger: DataFrame, prices: Data
     turns = dedupe_turns(readable).withColumn("block", F.col("ord.block"))
     attributed = attribute_turns(turns, repos, fallback)
     dated = attributed.withColumn("ts", clock.parse_instant(F.col("ts_text")))
-    titled = dated.join(titles, "session_file", "left")
+    titled = dated.join(titles, ["machine_id", "session_file"], "left")
     checked = account_asof(titled, ledger).withColumn("reasons", unfit())
     events = map_events(checked.filter(F.size("reasons") == 0), prices)
     rejected = checked.filter(F.size("reasons") > 0).select("stream", "ord", "request_id", "message_id", "session_id", "reasons")
     sessions = turns.groupBy("stream").agg(F.min_by("session_id", "ord").alias("session_id"))
     folders = evidence_folders(readable).join(sessions, "stream").select("session_id", "machine_id", "folder").distinct()
-    skipped = readable.select("project_dir").distinct().join(fallback, "project_dir", "left_anti")
+    skipped = readable.select("machine_id", "project_dir").distinct().join(fallback, ["machine_id", "project_dir"], "left_anti")
     return Ingested(events, session_repo_tags(folders, repos), torn, skipped, rejected)
