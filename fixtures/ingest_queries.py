@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fixtures import adapter as A
@@ -9,6 +11,10 @@ from fixtures.sql import RAW_CTE
 from spendmart.functions import clock, money, names, paths
 from spendmart.operators import accounts, attribution, fold, machines, repos, turns, validation
 from spendmart.operators.splits import UNATTRIBUTED
+from spendmart.schemas import COUNTERS, Dimension
+from spendmart.session import checkpoint_folder
+from spendmart.sources import marts
+from spendmart.sources.event_table import EventTable
 
 ARRIVAL = ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
 
@@ -36,6 +42,43 @@ def upsert_fold(spark, sf):
     return fold.from_state(folded, **shape).withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
 
 
+def _stored(spark, sf):
+    """The pairs as events, merged into a table by two jobs whose batches interleave; batches are retried in between. A month's rows share a date."""
+    number = lambda c: F.col(c).cast("bigint")
+    day = F.col("l_shipdate").cast("date")
+    rows = _lines(spark, sf).select(
+        F.col("l_orderkey").cast("string").alias("request_id"), F.col("l_linenumber").cast("string").alias("message_id"), F.col("l_suppkey").cast("string").alias("session_id"),
+        F.lit("box").alias("machine_id"), F.col("l_linestatus").alias("project_slug"), F.nullif("l_returnflag", F.lit("N")).alias("repo_key"), F.lit("m").alias("model"),
+        F.trunc(day, "month").cast("timestamp_ntz").alias("ts"), number("l_quantity").alias("output_tokens"), F.col("l_extendedprice").cast("decimal(18,6)").alias("cost_micro"),
+        (F.col("l_linestatus") == "F").alias("priced"), F.lit(False).alias("is_subagent"),
+        *[F.lit(None).cast("string").alias(c) for c in ("repo_name", "account_uuid", "org_uuid", "session_title")],
+        *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS if c != "output_tokens"],
+        F.struct((F.unix_date(day).cast("bigint") * 1_000_000_000 + number("l_partkey")).alias("a"), (number("l_suppkey") * 100_000_000 + (F.col("l_extendedprice") * 100).cast("bigint")).alias("b")).alias("at"),
+    )
+    table = EventTable(spark, f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}", changes=True)
+    early, middle, late = (rows.filter(x) for x in ("year(ts) < 1997", "year(ts) IN (1997, 1998)", "year(ts) > 1998"))
+    for job, batch, part in (("a", 0, early), ("b", 0, middle), ("a", 0, early), ("a", 1, late), ("b", 0, middle)):
+        table.merge(part, F.col("at"), job, batch)
+    return table
+
+
+def ledger_fold(spark, sf):
+    kept = _stored(spark, sf).events()
+    return kept.select("request_id", "message_id", "session_id", "project_slug", "repo_key", "output_tokens", "cost_micro", clock.day_key(F.col("ts")).alias("day"))
+
+
+def mart_session_totals(spark, sf):
+    mart = marts.session_totals(_stored(spark, sf))
+    mart.refresh()
+    return mart.totals()
+
+
+def mart_daily_cost(spark, sf):
+    cube = marts.daily_cube(_stored(spark, sf), "UTC")
+    cube.refresh()
+    return marts.cost_per_whole_day(cube.totals(), Dimension.MACHINE, "1996-01-01", "2000-12-31")
+
+
 def _tag_reports(spark, sf):
     """Each event as a report that its session worked in two repositories, sometimes malformed."""
     raw = A.raw_events(spark, sf)
@@ -269,7 +312,7 @@ def session_repo_tags(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_turns, upsert_fold, tag_fold, validate_events, accepted_events, batch_counts, sync_state, clean_names, machine_status,
+        dedupe_turns, upsert_fold, ledger_fold, mart_session_totals, mart_daily_cost, tag_fold, validate_events, accepted_events, batch_counts, sync_state, clean_names, machine_status,
         distinct_machines, ingest_metrics, account_asof, ledger_changes, repo_prefix_join, git_remote_normalize, attribute_turns, session_repo_tags,
     )
 }
@@ -293,6 +336,12 @@ feed AS (SELECT c_custkey AS seq, concat('machine-', c_custkey % 9) AS machine_i
 ARR = "l_shipdate, l_partkey, l_suppkey, l_extendedprice"
 FOLDER = "concat('/w/r', {0} % 5, '/d', {1} % 7)"
 ROOT = """CASE WHEN {0} IS NULL OR starts_with({0}, '/w/r4') THEN NULL WHEN {0} = '/w/r0/d1' THEN {0} WHEN starts_with({0}, '/w/r') THEN left({0}, 5) WHEN {0} = '/w' THEN '/w' END"""
+STORED = f"""WITH stored AS (SELECT cast(l_orderkey AS VARCHAR) AS request_id, cast(l_linenumber AS VARCHAR) AS message_id, cast(first(l_suppkey ORDER BY {ARR}) AS VARCHAR) AS session_id,
+    last(l_linestatus ORDER BY {ARR}, l_linestatus) AS project_slug, last(nullif(l_returnflag, 'N') ORDER BY {ARR}, l_returnflag) FILTER (l_returnflag <> 'N') AS repo_key,
+    cast(max(l_quantity) AS BIGINT) AS output_tokens, cast(max(l_extendedprice) AS DECIMAL(18,6)) AS cost_micro,
+    strftime(date_trunc('month', first(l_shipdate ORDER BY {ARR})), '%Y-%m-%d') AS day, last(l_linestatus = 'F' ORDER BY {ARR}, l_linestatus) AS priced, if(priced, 0, 1) AS unpriced
+    FROM lineitem GROUP BY l_orderkey, l_linenumber)
+"""
 TURNS_CTE = f"""
 kept AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity DESC, {ARR}) = 1),
 t0 AS (SELECT l_orderkey, l_linenumber, cast(l_suppkey AS VARCHAR) AS stream, l_shipdate,
@@ -330,6 +379,11 @@ ORACLES = {
           last(l_linestatus ORDER BY {ARR}, l_linestatus) AS l_linestatus,
           last(nullif(l_returnflag, 'N') ORDER BY {ARR}, l_returnflag) FILTER (l_returnflag <> 'N') AS flag
         FROM lineitem GROUP BY ALL""",
+    "ledger_fold": STORED + " SELECT * EXCLUDE (unpriced, priced) FROM stored",
+    "mart_session_totals": STORED + """ SELECT session_id, sum(if(priced, cost_micro, 0))::DECIMAL(38,6) AS cost_micro, sum(unpriced)::BIGINT AS unpriced_events, count(*) AS event_count
+        FROM stored GROUP BY ALL""",
+    "mart_daily_cost": STORED + """ SELECT day, 'box' AS label, sum(if(priced, cost_micro, 0))::DECIMAL(38,6) AS cost_micro, sum(unpriced)::BIGINT AS unpriced_events, count(*) AS event_count
+        FROM stored WHERE day BETWEEN '1996-01-01' AND '2000-12-31' GROUP BY ALL""",
     "tag_fold": RAW + """, reports AS (SELECT session_id, ts, event_id, sha256(cast(event_id % 5 AS VARCHAR)) AS k1, concat('team/repo', event_id % 3) AS n1, sha256(cast(event_id % 7 AS VARCHAR)) AS k2
           FROM raw WHERE event_id % 19 <> 0 AND event_id % 23 <> 0),
         long AS (SELECT session_id, ts, event_id, k1 AS repo_key, n1 AS name FROM reports UNION ALL SELECT session_id, ts, event_id, k2, 'team/other' FROM reports)

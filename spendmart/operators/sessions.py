@@ -88,11 +88,16 @@ def page_index(raw: str | None) -> int:
     return int(number) - 1 if number.is_integer() and number >= 1 else 0
 
 
-def with_lifetime(page: DataFrame, events: DataFrame) -> DataFrame:
+def with_lifetime(page: DataFrame, events: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Adds what each listed session cost over all time. The page is written out once, so its sessions are not
-    grouped again and the optimiser knows its size; whether to broadcast it is left to its check."""
+    grouped again and the optimiser knows its size; whether to broadcast it is left to its check.
+
+    `totals`: the kept sums of sessions (`marts.session_totals(table).totals()`); with them no event is read."""
     page = materialize(page, "page")
     ids = page.select(F.col("session_id").alias("_id"))
+    if totals is not None:
+        kept = totals.select(F.col("session_id").alias("_id"), F.col("cost_micro").alias("total_micro"), F.col("unpriced_events").alias("total_unpriced"))
+        return page.join(kept.join(ids, "_id", "left_semi"), F.col("session_id") == F.col("_id"), "left").drop("_id")
     totals = (
         events.join(ids, F.col("session_id") == F.col("_id"), "left_semi")
         .groupBy(F.col("session_id").alias("_id"))
@@ -105,10 +110,11 @@ def with_lifetime(page: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def list_sessions(
-    events: DataFrame, start: Instant, end: Instant, sort: SessionSort = SessionSort.COST, page: int = 0, size: int = PAGE_SIZE
-) -> DataFrame:
-    """One page of the window's sessions with their lifetime totals."""
-    return with_lifetime(page_of(group_sessions(in_range(events, start, end)), sort, page, size), events)
+    events: DataFrame, start: Instant, end: Instant, sort: SessionSort = SessionSort.COST, page: int = 0, size: int = PAGE_SIZE,
+    totals: DataFrame | None = None,
+) -> DataFrame:
+    """One page of the window's sessions with their lifetime totals, kept ones where given."""
+    return with_lifetime(page_of(group_sessions(in_range(events, start, end)), sort, page, size), events, totals)
 
 
 def count_sessions(events: DataFrame, start: Instant, end: Instant) -> DataFrame:

@@ -224,6 +224,7 @@ class EventTable:
             rows, n = t.fresh + (before.rows if before else 0), n + t.fresh
             grown.append((t.event_date, t.depth, t.slot, t.depth + max(0, math.ceil(math.log2(max(1, rows) / self.unit_rows)))))
             old_files += [before] if before else []
+        old = None
         if touched:
             key = [*KEY, *UNIT]
             rows = placed.select(*key, *state)
@@ -241,8 +242,8 @@ class EventTable:
             slots += [(day, self.depth, s) for day in {t.event_date for t in touched} - days for s in range(1 << self.depth) if (day, self.depth, s) not in theirs]
             for unit in slots:
                 entries.setdefault(unit, _entry(kind="data", rows=0, **dict(zip(UNIT, unit, strict=True))))
-            if self.changes:
-                self._record(commit, placed, old)
+        if self.changes:
+            self._record(commit, placed, old)
         fresh = placed.filter("fresh").select(*KEY, F.col("event_date").alias("home"))
         index = self._indexed(snapshot, commit, fresh, n)
         ledger = [e for e in ledger if e.job is not None] + [_entry(kind="ledger", job=job, batch=batch, arrival=arrival)]
@@ -251,8 +252,11 @@ class EventTable:
 
     def _record(self, commit: str, placed: DataFrame, old: DataFrame | None) -> None:
         """The touched rows before and after the merge, as plain events with a sign."""
-        now = self.spark.read.parquet(f"{self.path}/data/commit={commit}").join(placed.select(*KEY), KEY, "left_semi")
-        rows = from_state(now).select(*EVENT_COLUMNS, F.lit(1).alias("sign"))
+        try:
+            now = self.spark.read.parquet(f"{self.path}/data/commit={commit}")
+        except AnalysisException:
+            now = placed  # nothing arrived, nothing was written
+        rows = from_state(now.join(placed.select(*KEY), KEY, "left_semi")).select(*EVENT_COLUMNS, F.lit(1).alias("sign"))
         if old is not None:
             before = old.join(placed.filter("NOT fresh").select(*KEY), KEY, "left_semi")
             rows = rows.unionByName(from_state(before).select(*EVENT_COLUMNS, F.lit(-1).alias("sign")))
