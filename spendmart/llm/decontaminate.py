@@ -160,13 +160,13 @@ def _hits(block, keep: list[str]):
                     base = shard.words.first[r]
                     spans.append(_merged(position[mine] - base, tests.sizes[number[mine]]))
                     found = np.unique(tests.items[tb.ragged(tests.item_first[number[mine]], np.diff(tests.item_first)[number[mine]])])
-                    items.append(sorted({tests.ids[i] for i in found}))  # several texts may share an id
+                    items.append(sorted({tests.ids[i] for i in found} - {None}))  # several texts may share an id, or have none
                     matches.append(_maximal(position[mine] - base, size[mine], [tests.ids[tests.items[tests.item_first[k]]] for k in number[mine]]))
                 part = batch.slice(chunk.first, chunk.last - chunk.first)
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(c) for c in keep), pa.array(shard.words.counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                    pa.array(items, pa.list_(pa.int64())),
-                    pa.array(matches, pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))),
+                    pa.array(items, pa.list_(pa.string())),
+                    pa.array(matches, pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))),
                 ], names=[*keep, "n_words", "hits", "items", "matches"])
 
     return run
@@ -191,21 +191,21 @@ def _maximal(starts: np.ndarray, sizes: np.ndarray, items: list) -> list[dict]:
     return out
 
 
-_FOUND = "n_words long, hits array<array<long>>, items array<long>, matches array<struct<item_id: long, start: long, length: long>>"
+_FOUND = "n_words long, hits array<array<long>>, items array<string>, matches array<struct<item_id: string, start: long, length: long>>"
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, keep: list[str] | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): `keep` columns (doc_id by default), n_words, hits, items, matches.
 
-    hits: word ranges [from, to) inside an occurrence of a benchmark window; items: ids of the items whose windows occur;
+    hits: word ranges [from, to) inside an occurrence of a benchmark window; items: ids, as text, of the items whose windows occur;
     matches: longest verbatim matches as (item, first word, words). A window is `width` words of an item, or all of a
     shorter one. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null or empty texts have no
-    words; items without an id or words are left out; an empty benchmark hits nothing.
+    words; the windows of an item without an id hit like any other, it is only not listed; an empty benchmark hits nothing.
     A benchmark of more than BLOCK_WORDS words is searched block by block and the findings are merged per row.
     """
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     volume = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-volume // (4 * BLOCK_WORDS)))
     names = list(dict.fromkeys([*keep, "text"]))
@@ -213,7 +213,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, ke
     schema = ", ".join(f"`{rows.schema[c].name}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     parts = []
     for b in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect() if blocks > 1 else items.orderBy("item_id", "text").collect()
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy(F.asc_nulls_last("item_id"), "text").collect() if blocks > 1 else items.orderBy(F.asc_nulls_last("item_id"), "text").collect()
         if mine:
             parts.append(spark.sparkContext.broadcast(_tests(mine, width)))
     if len(parts) <= 1:

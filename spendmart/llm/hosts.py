@@ -51,7 +51,7 @@ def path_of(url: Column) -> Column:
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest rule that fits, as a struct of text and verdict; null where none does. Ties: the first listed."""
     out = F.lit(None).cast("struct<rule: string, verdict: string>")
-    for rule in sorted(rules, key=lambda r: len(r.text)):
+    for rule in sorted(reversed(rules), key=lambda r: len(r.text)):
         fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
         out = F.when(fits, F.struct(F.lit(rule.text).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(out)
     return out

@@ -68,7 +68,7 @@ def op2_language_mixture(spark, sf):
 def op3_host_reputation(spark, sf):
     pages = read(spark, sf, "pages").select("page_id", "url")
     # a page shows the document its path ends in; its labels tell whether it turned out bad
-    labels = read(spark, sf, "labels").filter("quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
+    labels = read(spark, sf, "labels").filter("quality IS NOT NULL OR toxic IS NOT NULL").groupBy("doc_id")
     labels = labels.agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     shown = pages.select(hosts.host_of(F.col("url")).alias("host"), F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/(\\d+)', 1) AS BIGINT)").alias("doc_id"))
     return hosts.judge(pages, shown.join(labels, "doc_id").select("host", "bad"), RULES)

@@ -1,7 +1,7 @@
 """Toxicity by a learned lexicon whose trie is intersected with Levenshtein automata, and context windows.
 
-Lexicon: words and word beginnings that labelled toxic texts have and others lack, counted in Spark over all labelled
-texts; a term needs support, lift and significance of its own, whatever the others have. The trie of all terms is walked
+Lexicon: words and word beginnings that labelled toxic texts have and others lack, counted in Spark over at most LABELLED
+labelled texts; a term needs support, lift and significance of its own, whatever the others have. The trie of all terms is walked
 together with the automaton of "at most one edit" and made deterministic on the driver; the table has one row per state,
 and its size follows the lexicon. Tasks run all words of a megabyte of text through that table at once. Hits are weighed
 by what they meant in all labelled texts, summed over windows of neighbouring words, apart for words inside and outside
@@ -14,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendmart.llm import pretokens
 from spendmart.llm import textbytes as tb
 from spendmart.llm.shared import materialize
 
+LABELLED = 200_000  # labelled texts that terms and weights are learned from, at most half of either kind
 SAMPLE = 20_000  # labelled rows the logistic model is fitted on, at most half of either kind
 SUPPORT = 6  # toxic documents that hold a term, at least
 LIFT = 8.0  # how many times more often toxic documents hold it
@@ -288,24 +289,26 @@ def _likelihood_ratio(bad, good, toxic: int, clean: int):
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on docs (doc_id, text) with labels (doc_id, toxic 0 or 1); other labels, null ids and null texts are left out.
 
-    Terms and their weights come from all of them; for the logistic model, of each kind the SAMPLE / 2 labels first by
+    Terms and their weights come from at most LABELLED texts, the logistic model from SAMPLE: of each kind half, first by
     hash of the id are used. Without both kinds the model has no terms and answers the share of toxic labels, or 0.
     """
     spark = docs.sparkSession
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = materialize(known, "toxic-labels")
-    totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # copies would make every word of theirs look telling: of equal texts with one label the smallest id speaks
+    told = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    alone = told.select("doc_id", "fp").join(known, "doc_id").groupBy("fp", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    alone = materialize(alone, "toxic-labels")
+    totals = {r.toxic: r["count"] for r in alone.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         share = totals.get(1, 0) / max(1, sum(totals.values()))
         return Model(None, [], np.zeros((0, 2)), np.array([0, 0, 0, 0, np.log((share + 1e-9) / (1 - share + 1e-9))]))
     half = SAMPLE // 2
-    drawn = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half).withColumn("weight", F.lit(max(1.0, totals[k] / half))) for k in (0, 1)]
-    drawn = materialize(drawn[0].unionByName(drawn[1]), "toxic-sample")
-    told = docs.filter("text IS NOT NULL").select("doc_id", "text")
-    # copies would make every word of theirs look telling
-    alone = lambda rows: rows.withColumn("fp", F.xxhash64("text")).dropDuplicates(["fp", "toxic"])
-    sample = materialize(alone(told.join(F.broadcast(drawn), "doc_id")), "toxic-texts")  # SAMPLE rows
-    whole = materialize(alone(told.join(known, "doc_id")).select("text", "toxic"), "toxic-whole")
+    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # over LABELLED narrow rows
+    drawn = [alone.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED // 2).withColumn("weight", F.lit(max(1.0, totals[k] / half))) for k in (0, 1)]
+    drawn = materialize(drawn[0].unionByName(drawn[1]).withColumn("fit", F.row_number().over(first) <= half), "toxic-sample")
+    # ids and fingerprints meet the documents where those lie: no text is shuffled
+    whole = materialize(told.join(F.broadcast(drawn), ["doc_id", "fp"]).select("text", "toxic", "weight", "fit"), "toxic-texts")
+    sample = whole.filter("fit")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     pieces = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(
         F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.least(F.length(w), F.lit(10)))), lambda k: F.substring(w, 1, k)),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from spendmart.llm import language, licenses, permutation_index, toxicity
+from spendmart.llm import decontaminate, hosts, language, licenses, permutation_index, queries, toxicity
 
 rng = random.Random(11)
 
@@ -73,3 +73,38 @@ def test_language_mixtures_are_kept(spark):
     for n in range(1, 7):
         assert set(got[100 + n].shares) == set(list(letters)[:n]) and abs(got[100 + n].score - 1 / n) < 0.1
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {r[0] for r in rows} - {200, 201}
+
+
+def test_items_without_an_id_and_with_text_ids_hit(spark):
+    nobody, named = (" ".join(f"{kind}{k}" for k in range(30)) for kind in ("no", "na"))
+    docs = spark.createDataFrame([(1, nobody), (2, named), (3, f"{nobody} {named}")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, nobody), ("arc-7/b", named), ("arc-10", named)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.verdicts(decontaminate.benchmark_matches(docs, benchmark)).collect()}
+    assert [(got[k].n_hit, got[k].n_items, got[k]["items"]) for k in (1, 2, 3)] == [(30, 0, []), (30, 2, ["arc-10", "arc-7/b"]), (60, 2, ["arc-10", "arc-7/b"])]
+    assert all(r.contaminated for r in got.values())
+
+
+def test_half_known_labels_count(spark, tmp_path):
+    """A page whose document is toxic is bad, whether its quality is known or not."""
+    pages = [(k, f"https://{'bad' if k % 2 else 'good'}.net/en/{k}") for k in range(60)]
+    labels = [(k, None if k % 2 else 1, 1 if k % 2 else None) for k in range(60)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.host: r.verdict for r in queries.QUERIES["op3_host_reputation"](spark, str(tmp_path)).collect()}
+    assert got == {"bad.net": "block", "good.net": "allow"}
+
+
+def test_the_first_of_equally_long_rules_wins(spark):
+    rules = [hosts.Rule("block", "a.net/x"), hosts.Rule("allow", "a.net/x")]
+    pages = spark.createDataFrame([("a.net", "/xy")], "host string, path string")
+    assert pages.select(hosts.rule_for(pages.host, pages.path, rules).verdict.alias("v")).first().v == "block"
+
+
+def test_texts_that_share_an_id_are_not_lost(spark, tmp_path):
+    prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(120))
+    a, b = prose(), prose()
+    rows = [(1, a), (1, b), (2, b + " more"), (1, a), (3, prose()), (5, a), (None, a)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert len(kept) == 4 and ("None", a) in kept and ("1", a) in kept and ("3", rows[4][1]) in kept
+    assert len([t for _, t in kept if t in (b, b + " more")]) == 1

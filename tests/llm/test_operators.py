@@ -165,7 +165,7 @@ def test_decontamination(spark, docs, none, monkeypatch, block_words):
     got = [tuple(r) for r in found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     whole = found.filter("doc_id = 221").first()
-    assert {"item_id": 1, "start": 0, "length": len(words_of(PASSAGE))} in [m.asDict() for m in whole.matches]
+    assert {"item_id": "1", "start": 0, "length": len(words_of(PASSAGE))} in [m.asDict() for m in whole.matches]
     assert decontaminate.benchmark_matches(none, benchmark).count() == 0
     assert decontaminate.verdicts(decontaminate.benchmark_matches(docs, benchmark.limit(0))).filter("contaminated OR n_hit > 0").count() == 0
 
