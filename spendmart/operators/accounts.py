@@ -41,22 +41,37 @@ def account_marks(ledger: DataFrame) -> DataFrame:
     return marks.filter(F.col("ts").isNotNull())
 
 
-def account_periods(ledger: DataFrame) -> DataFrame:
-    """(session_id, from_ts, until_ts, account): the marks as periods that do not overlap; the last one has no end."""
-    following = W.partitionBy("session_id").orderBy("ts")
-    return account_marks(ledger).select(
-        "session_id", F.col("ts").alias("from_ts"), F.lead("ts").over(following).alias("until_ts"), "account"
-    )
+def account_cells(cells: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(session_id, _hour, from_ts, until_ts, account): what is in force in each of `cells` (session_id, _hour), from the hour's start on.
+
+    A session's marks meet its hours as one summary row per hour, so what is carried into an hour costs a window over
+    hours, however many events or entries they hold.
+    """
+    marks = account_marks(ledger).withColumn("_hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    last = F.max_by("account", "ts").alias("_last")
+    summary = marks.groupBy("session_id", "_hour").agg(last).withColumn("_asked", F.lit(False))
+    asked = cells.select("session_id", "_hour", F.lit(None).cast(summary.schema["_last"].dataType).alias("_last"), F.lit(True).alias("_asked"))
+    hours = summary.unionByName(asked).groupBy("session_id", "_hour").agg(F.first("_last", ignorenulls=True).alias("_last"), F.bool_or("_asked").alias("_asked"))
+    earlier = W.partitionBy("session_id").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
+    begun = hours.withColumn("account", F.last("_last", ignorenulls=True).over(earlier)).filter("_asked")
+    carried = begun.filter(F.col("account").isNotNull()).select("session_id", "_hour", F.col("_hour").alias("from_ts"), "account", F.lit(0).alias("_rank"))
+    inside = marks.join(begun.select("session_id", "_hour"), ["session_id", "_hour"], "left_semi")
+    pieces = carried.unionByName(inside.select("session_id", "_hour", F.col("ts").alias("from_ts"), "account", F.lit(1).alias("_rank")))
+    following = W.partitionBy("session_id", "_hour").orderBy("from_ts", "_rank")
+    return pieces.select("session_id", "_hour", "from_ts", F.lead("from_ts").over(following).alias("until_ts"), "account")
 
 
 def account_asof(events: DataFrame, ledger: DataFrame) -> DataFrame:
     """Adds account_uuid and org_uuid; NULL where the ledger says nothing trustworthy or the event has no instant.
 
-    One left join on the session and the period: an event meets at most one period, the events move at most once, and
-    broadcasting a short ledger or splitting a hot session is left to the optimiser.
+    One left join on session and hour: the periods of a session are first cut to the hours in which it has events, so a
+    session of many events and many entries spreads over as many tasks as it has hours, and an event meets at most one
+    period. `events` are read twice, the first time for sessions and hours only.
     """
     kept = [c for c in events.columns if c not in ("account_uuid", "org_uuid")]
-    periods = account_periods(ledger).toDF("_session", "_from", "_until", "_account")
+    timed = events.select(*kept).withColumn("_at", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    cells = timed.filter("session_id IS NOT NULL AND ts IS NOT NULL").select("session_id", F.col("_at").alias("_hour")).distinct()
+    periods = account_cells(cells, ledger).toDF("_session", "_hour", "_from", "_until", "_account")
     inside = (F.col("ts") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
-    joined = events.select(*kept).join(periods, (F.col("session_id") == F.col("_session")) & inside, "left")
+    joined = timed.join(periods, (F.col("session_id") == F.col("_session")) & (F.col("_at") == F.col("_hour")) & inside, "left")
     return joined.select(*kept, F.col("_account.account_uuid").alias("account_uuid"), F.col("_account.org_uuid").alias("org_uuid"))

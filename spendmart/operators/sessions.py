@@ -9,7 +9,7 @@ from spendmart.functions import bars, clock, money
 from spendmart.operators.filters import Instant, in_range
 from spendmart.operators.ordered import blocked_rank
 from spendmart.operators.pricing import carry_split
-from spendmart.operators.splits import dimension_value, labels_of_rows, merged_sums, spend_sums, spread_tags, with_repo_label
+from spendmart.operators.splits import dimension_value, labels_of_rows, merged_sums, repo_labels, spend_sums, spread_tags, with_repo_label
 from spendmart.schemas import MONEY, UNATTRIBUTED, Dimension, SessionSort
 from spendmart.session import materialize
 
@@ -79,6 +79,38 @@ def page_of(sessions: DataFrame, sort: SessionSort, page: int = 0, size: int = P
     return (ordered.offset(page * size) if page else ordered).limit(size)
 
 
+class SessionPages:
+    """Pages of one listing, read by position: rows dealt once to ranges of the page order, with the rows of each range.
+
+    The order breaks ties by session id, so ranges are even whatever the values. A page opens the ranges it overlaps and sorts
+    those alone. `ranges` numbers are held on the driver.
+    """
+
+    def __init__(self, sessions: DataFrame, sort: SessionSort, ranges: int | None = None) -> None:
+        spark = sessions.sparkSession
+        self.order = [F.desc(sort.value), F.asc("session_id")]
+        ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = sessions.repartitionByRange(ranges, *self.order).withColumn("_range", F.spark_partition_id())
+        self.rows = materialize(dealt, "pages", partition_by="_range")
+        counted = {r["_range"]: r["n"] for r in self.rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.sizes = sorted(counted.items())
+
+    def count(self) -> int:
+        return sum(n for _, n in self.sizes)
+
+    def page(self, number: int, size: int = PAGE_SIZE) -> DataFrame:
+        """The same rows as `page_of` for that page; none beyond the last."""
+        first, before, held, skipped = number * size, 0, [], 0
+        for part, n in self.sizes:
+            if before + n <= first:
+                skipped = before + n
+            elif before < first + size:
+                held.append(part)
+            before += n
+        chosen = self.rows.filter(F.col("_range").isin(held)) if held else self.rows.limit(0)
+        return chosen.drop("_range").orderBy(*self.order).offset(first - skipped).limit(size)
+
+
 def page_index(raw: str | None) -> int:
     """Zero-based page of a one-based request; anything unusable is the first page."""
     try:
@@ -113,10 +145,15 @@ def list_sessions(
     events: DataFrame, start: Instant, end: Instant, sort: SessionSort = SessionSort.COST, page: int = 0, size: int = PAGE_SIZE,
     totals: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of the window's sessions with their lifetime totals, kept ones where given."""
+    """One page of the window's sessions with their lifetime totals, kept ones where given. Many pages: `session_pages`."""
     return with_lifetime(page_of(group_sessions(in_range(events, start, end)), sort, page, size), events, totals)
 
 
+def session_pages(events: DataFrame, start: Instant, end: Instant, sort: SessionSort = SessionSort.COST, ranges: int | None = None) -> SessionPages:
+    """The window's sessions grouped and ranged once, for reading any of their pages."""
+    return SessionPages(group_sessions(in_range(events, start, end)), sort, ranges)
+
+
 def count_sessions(events: DataFrame, start: Instant, end: Instant) -> DataFrame:
     """One row: how many sessions the window holds."""
     return in_range(events, start, end).agg(F.count_distinct("session_id").alias("session_count"))
@@ -161,6 +198,8 @@ def sessions_of_value(
     if dimension in (Dimension.MACHINE, Dimension.MODEL):
         chosen = in_range(events, start, end).filter(dimension_value(dimension) == value)
         return group_sessions(chosen)
+    if dimension is Dimension.REPO and value != UNATTRIBUTED:
+        return group_sessions(_repo_events(in_range(events, start, end), value, repo_labels(events, start, end, tags), tags))
     return sessions_by_label(events, dimension, start, end, tags).filter(F.col("label") == value).drop("label")
 
 
@@ -180,6 +219,19 @@ def drill_down(
     return header_of(sessions), with_lifetime(page_of(sessions, sort, page, size), events)
 
 
+def _repo_events(window: DataFrame, value: str, labels: DataFrame, tags: DataFrame | None) -> DataFrame:
+    """Events that count under one repository's label: whole tagged sessions, and what untagged ones did in that repository.
+
+    The label is resolved to its key first, from sums alone; only the events behind it are grouped into sessions.
+    """
+    key = materialize(labels.filter(F.col("label") == value).select(F.col("repo_key").alias("_key")), "label-key")
+    own = window.join(key, F.col("repo_key") == F.col("_key"), "left_semi")
+    if tags is None:
+        return own
+    tagged = tags.join(key, F.col("repo_key") == F.col("_key"), "left_semi")
+    return window.join(tagged, "session_id", "left_semi").unionByName(own.join(tags, "session_id", "left_anti"))
+
+
 def _project_sessions(parts: DataFrame) -> DataFrame:
     rows = parts.filter(F.col("repo_key").isNotNull()).groupBy("slug", "repo_key").agg(*merged_sums(), F.max("repo_name").alias("repo_name"))
     labels = with_repo_label(rows).groupBy(F.col("repo_key").alias("_key")).agg(F.min("label").alias("_label"))

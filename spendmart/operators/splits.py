@@ -81,30 +81,22 @@ def project_rows(window: DataFrame, grain: list[str]) -> DataFrame:
 def with_repo_label(rows: DataFrame) -> DataFrame:
     """Adds `member` (repository, or folder where there is none) and its one `label` for the whole window.
 
-    A recorded main-checkout name beats any folder name; then most events, shortest, alphabetical.
-    The windows run over rows that are already aggregated; folders without a repository keep their
-    own partition key, so the many repository-less rows never meet in one task.
+    A recorded main-checkout name beats any folder name; then most events, shortest, alphabetical. Names are tallied by
+    aggregates that combine before the shuffle, so a repository met in very many folders fills no single task. `rows`
+    are already aggregated; they are written out because tallies and answer both read them.
     """
     member = F.when(F.col("repo_key").isNotNull(), F.concat(F.lit("repo:"), F.col("repo_key"))).otherwise(
         F.concat(F.lit("slug:"), F.col("slug"))
     )
-    keyed = rows.withColumn("member", member).repartition("member")
-    by_name = F.sum("event_count").over(W.partitionBy("member", "repo_name"))
-    by_slug = F.sum("event_count").over(W.partitionBy("member", "slug"))
-    ranked = keyed.withColumn(
-        "_named",
-        F.when(
-            F.col("repo_name").isNotNull(),
-            F.struct(F.lit(0).alias("tier"), (-by_name).alias("fewest"), F.length("repo_name").alias("size"), F.col("repo_name").alias("name")),
-        ),
-    ).withColumn(
-        "_slugged",
-        F.struct(F.lit(1).alias("tier"), (-by_slug).alias("fewest"), F.length("slug").alias("size"), F.col("slug").alias("name")),
-    )
-    best = F.min(F.least("_named", "_slugged")).over(W.partitionBy("member"))
-    return ranked.withColumn("label", F.when(F.col("repo_key").isNull(), F.col("slug")).otherwise(best["name"])).drop(
-        "_named", "_slugged"
+    keyed = materialize(rows.withColumn("member", member), "label-rows")
+    names = F.array(
+        F.struct(F.lit(0).alias("tier"), F.col("repo_name").alias("name")), F.struct(F.lit(1).alias("tier"), F.col("slug").alias("name"))
     )
+    named = keyed.filter(F.col("repo_key").isNotNull()).select("member", "event_count", F.inline(names))
+    tallies = named.filter("tier = 1 OR name IS NOT NULL").groupBy("member", "tier", "name").agg(F.sum("event_count").alias("n"))
+    best = tallies.groupBy("member").agg(F.min(F.struct("tier", (-F.col("n")).alias("fewest"), F.length("name").alias("size"), "name")).alias("_best"))
+    joined = keyed.join(best, "member", "left")
+    return joined.withColumn("label", F.when(F.col("repo_key").isNull(), F.col("slug")).otherwise(F.col("_best.name"))).drop("_best")
 
 
 def merge_projects(rows: DataFrame, grain: list[str]) -> DataFrame:

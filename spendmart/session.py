@@ -39,7 +39,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(rows: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def materialize(rows: DataFrame, name: str, compression: str | None = None, partition_by: str | None = None) -> DataFrame:
     """Cuts lineage: writes the rows to a table in the checkpoint folder, at once, and reads them back.
 
     For intermediates used several times. Unlike a cache it survives lost executors, and unlike a row
@@ -47,5 +47,5 @@ def materialize(rows: DataFrame, name: str, compression: str | None = None) -> D
     """
     spark = rows.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path, compression=compression)
+    rows.write.parquet(path, compression=compression, partitionBy=partition_by)
     return spark.read.schema(rows.schema).parquet(path)
