@@ -202,9 +202,15 @@ def distinct_machines(spark, sf):
 
 def ingest_metrics(spark, sf):
     runs = _batches(spark, sf).select(
-        F.substring("hour", 1, 10).alias("run_id"), F.col("machine_id").alias("file"), "events", "accepted"
+        F.substring("hour", 1, 10).alias("run_id"), F.col("machine_id").alias("file"), "events", "accepted",
+        F.lit(None).cast("string").alias("folder"), F.lit(False).alias("skipped"),
     )
-    return fold.ingest_metrics(runs)
+    none = F.lit(0).cast("bigint")
+    bare = A.raw_events(spark, sf).filter("project_slug IS NULL").select(
+        F.substring(F.col("ts").cast("string"), 1, 10).alias("run_id"), F.lit(None).cast("string").alias("file"), none.alias("events"), none.alias("accepted"),
+        F.col("session_id").alias("folder"), F.lit(True).alias("skipped"),
+    )
+    return fold.ingest_metrics(runs.unionByName(bare))
 
 
 def _ledger(spark, sf):
@@ -408,8 +414,12 @@ ORACLES = {
           coalesce(contact > TIMESTAMP '2024-01-30 12:05:00' OR contact <= TIMESTAMP '2024-01-30 00:00:00', false) AS stale
         FROM roster r LEFT JOIN state s ON r.machine_id = s.machine_id LEFT JOIN named n ON r.machine_id = n.machine_id""",
     "distinct_machines": RAW + " SELECT DISTINCT machine_id FROM raw",
-    "ingest_metrics": RAW + "," + BATCH_CTE + """ SELECT hour[1:10] AS run_id, count(DISTINCT machine_id) AS files, count(*) AS requests, cast(sum(accepted) AS BIGINT) AS events_sent,
-          cast(sum(events - accepted) AS BIGINT) AS events_rejected, count(*) FILTER (accepted = 0) AS failures FROM batches GROUP BY 1""",
+    "ingest_metrics": RAW + "," + BATCH_CTE + """, sent AS (SELECT hour[1:10] AS run_id, count(DISTINCT machine_id) AS files, count(*) AS requests, cast(sum(accepted) AS BIGINT) AS events_sent,
+          cast(sum(events - accepted) AS BIGINT) AS events_rejected, count(*) FILTER (accepted = 0) AS failures FROM batches GROUP BY 1),
+        bare AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(DISTINCT session_id) AS folders_skipped FROM raw WHERE project_slug IS NULL GROUP BY 1)
+        SELECT coalesce(s.run_id, b.run_id) AS run_id, coalesce(files, 0) AS files, coalesce(requests, 0) AS requests, coalesce(events_sent, 0) AS events_sent,
+          coalesce(events_rejected, 0) AS events_rejected, coalesce(failures, 0) AS failures, coalesce(folders_skipped, 0) AS folders_skipped
+        FROM sent s FULL JOIN bare b ON s.run_id = b.run_id""",
     "account_asof": RAW + "," + LEDGER_CTE + " SELECT request_id, coalesce(begun, guess) AS account_uuid, 'org-' || coalesce(begun, guess) AS org_uuid FROM found",
     "ledger_changes": RAW + """, seen AS (SELECT session_id, event_id, concat('acct-', event_id // 300 % 2) AS account_uuid, CASE WHEN event_id % 600 < 450 THEN 'org-1' END AS org_uuid FROM raw),
         before AS (SELECT *, lag(account_uuid) OVER w AS pa, lag(org_uuid) OVER w AS po, row_number() OVER w AS n FROM seen WINDOW w AS (PARTITION BY session_id ORDER BY event_id))

@@ -47,6 +47,14 @@ def session_list(sort, window, page):
     return build
 
 
+def session_pages(spark, sf):
+    """The first pages of a listing that was ranged once."""
+    pages = S.session_pages(A.usage_events(spark, sf), A.FROM, A.TO, SessionSort.COST, ranges=7)
+    third = [pages.page(n, 25).withColumn("page", F.lit(n).cast("bigint")) for n in range(3)]
+    rows = third[0].unionByName(third[1]).unionByName(third[2])
+    return _rows(rows, "page")
+
+
 def session_count(spark, sf):
     return S.count_sessions(A.usage_events(spark, sf), *WEEK)
 
@@ -149,6 +157,7 @@ QUERIES = {
     "session_list_cost": session_list(SessionSort.COST, (A.FROM, A.TO), 0),
     "session_list_recent": session_list(SessionSort.RECENT, WEEK, 1),
     "session_list_events": session_list(SessionSort.EVENTS, WEEK, 0),
+    "session_pages": session_pages,
     "session_count": session_count,
     "drill_machine": drill(Dimension.MACHINE, "machine-3"),
     "drill_model": drill(Dimension.MODEL, "claude-opus-5"),
@@ -256,6 +265,10 @@ ORACLES = {
     "session_list_cost": list_sql("micro", 0, "true"),
     "session_list_recent": list_sql("e_at", 25, IN_WEEK),
     "session_list_events": list_sql("event_count", 0, IN_WEEK),
+    "session_pages": query(
+        f"""SELECT (row_number() OVER (ORDER BY micro DESC, session_id) - 1) // 25 AS page, {LIST} FROM s ORDER BY micro DESC, session_id LIMIT 75""",
+        f"s AS ({grouped('usage')})",
+    ),
     "session_count": query(f"SELECT count(DISTINCT session_id) AS session_count FROM usage WHERE {IN_WEEK}"),
     "drill_machine": drill_sql(MACHINE, "machine-3"),
     "drill_model": drill_sql(MODEL, "claude-opus-5"),

@@ -71,11 +71,15 @@ def tags_as_map(tags: DataFrame) -> DataFrame:
 
 
 def ingest_metrics(batches: DataFrame) -> DataFrame:
-    """One row per run: files, requests, events sent and rejected, failed uploads, skipped folders."""
+    """One row per run: files, requests, events sent and rejected, failed uploads, skipped folders.
+
+    `batches`: run_id, file, events, accepted, folder, skipped; a skipped folder is a row of its own without events.
+    """
     return batches.groupBy("run_id").agg(
         F.count_distinct("file").alias("files"),
         F.count_if(F.col("events") > 0).alias("requests"),
         F.sum("accepted").alias("events_sent"),
         F.sum(F.col("events") - F.col("accepted")).alias("events_rejected"),
         F.count_if((F.col("events") > 0) & (F.col("accepted") == 0)).alias("failures"),
+        F.count_distinct(F.when(F.col("skipped"), F.col("folder"))).alias("folders_skipped"),
     )

@@ -24,9 +24,14 @@ class Ingested(NamedTuple):
     events: DataFrame
     tags: DataFrame
     torn: DataFrame
-    skipped: DataFrame
+    folders: DataFrame
     rejected: DataFrame
 
+    @property
+    def skipped(self) -> DataFrame:
+        """Folders without a fallback, of which nothing is stored."""
+        return self.folders.filter("skipped").select("machine_id", "project_dir")
+
 
 def unfit() -> Column:
     """Why a transcript's turn cannot be stored, by the rules of uploaded entries; empty when it can."""
@@ -56,11 +61,14 @@ def ingest(records: DataFrame, repos: DataFrame, ledger: DataFrame, prices: Data
     turns = dedupe_turns(readable).withColumn("block", F.col("ord.block"))
     attributed = attribute_turns(turns, repos, fallback)
     dated = attributed.withColumn("ts", clock.parse_instant(F.col("ts_text")))
-    titled = dated.join(titles, ["machine_id", "session_file"], "left")
+    # events, rejects and the hours to date are all read from it
+    titled = materialize(dated.join(titles, ["machine_id", "session_file"], "left"), "titled")
     checked = account_asof(titled, ledger).withColumn("reasons", unfit())
     events = map_events(checked.filter(F.size("reasons") == 0), prices)
     rejected = checked.filter(F.size("reasons") > 0).select("stream", "ord", "request_id", "message_id", "session_id", "reasons")
     sessions = turns.groupBy("stream").agg(F.min_by("session_id", "ord").alias("session_id"))
     folders = evidence_folders(readable).join(sessions, "stream").select("session_id", "machine_id", "folder").distinct()
-    skipped = readable.select("machine_id", "project_dir").distinct().join(fallback, ["machine_id", "project_dir"], "left_anti")
-    return Ingested(events, session_repo_tags(folders, repos), torn, skipped, rejected)
+    files = readable.groupBy("machine_id", "project_dir").agg(F.count_distinct("stream").alias("files"))
+    known = fallback.select("machine_id", "project_dir", F.lit(True).alias("_known"))
+    folders_seen = files.join(known, ["machine_id", "project_dir"], "left").withColumn("skipped", F.col("_known").isNull()).drop("_known")
+    return Ingested(events, session_repo_tags(folders, repos), torn, folders_seen, rejected)

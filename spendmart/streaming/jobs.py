@@ -5,16 +5,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendmart.operators.fold import fold_tags
-from spendmart.operators.machines import sync_state
-from spendmart.operators.validation import accepted_events, check_events, rejected_events
+from spendmart.operators.machines import merge_sync_state, sync_state
+from spendmart.operators.validation import accepted_events, batch_counts, check_events, rejected_events
 from spendmart.plans.ingest import ingest
 from spendmart.session import materialize
 from spendmart.sources.event_table import EventTable
+from spendmart.sources.growing import stream_growing
 from spendmart.sources.transcripts import stream_transcripts, with_order
 
 
@@ -38,6 +39,12 @@ def stored_tags(spark: SparkSession, table: EventTable) -> DataFrame:
     return fold_tags(kept.withColumn("seq", F.struct("batch", "job"))).drop("seq")
 
 
+def _counted(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """The rows, watched: `counts` are taken while they are written, without a scan of their own."""
+    seen = Observation()
+    return rows.observe(seen, *[c.alias(name) for name, c in counts.items()]), seen
+
+
 def run_transcripts(
     spark: SparkSession,
     root: str,
@@ -48,6 +55,7 @@ def run_transcripts(
     prices: DataFrame,
     checkpoint: str,
     files_per_trigger: int = 1000,
+    growing: bool = False,
 ) -> StreamingQuery:
     """Everything landed so far, then stop; call again to continue from the checkpoint.
 
@@ -58,43 +66,79 @@ def run_transcripts(
     project's first transcript shows. So landed records are kept next to the table, and every batch works out all
     records of the projects it touches anew; how files are dealt to batches does not matter. Repository tags, rejected
     turns, torn lines and projects still without a fallback are kept too, under the table's path with the suffixes
-    `.tags`, `.rejected`, `.torn` and `.skipped`.
+    `.tags`, `.rejected`, `.torn` and `.skipped`; `.metrics` counts each batch (`transcript_metrics` sums them up).
+
+    `growing`: files are still written to; each batch takes the lines completed since the last (all files in one batch).
     """
     job = hashlib.md5(checkpoint.encode()).hexdigest()
-    records = stream_transcripts(spark, root, machine_id, files_per_trigger)
+    records = stream_growing(spark, root, machine_id) if growing else stream_transcripts(spark, root, machine_id, files_per_trigger)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         landed = f"{table.path}.landed"
-        _keep(with_order(batch).withColumn("bucket", _bucket()), landed, job, batch_id, "bucket")
+        placed = batch if growing else with_order(batch)
+        _keep(placed.withColumn("bucket", _bucket()), landed, job, batch_id, "bucket")
         stored = spark.read.parquet(landed)
         mine = (F.col("job") == job) & (F.col("batch") == batch_id)
         touched = materialize(stored.filter(mine).select("machine_id", "project_dir", "bucket").distinct(), "touched")
         buckets = [row.bucket for row in touched.select("bucket").distinct().collect()]  # at most BUCKETS
         again = stored.filter(F.col("bucket").isin(buckets)).join(touched, ["machine_id", "project_dir", "bucket"], "left_semi")
         done = ingest(again.drop(*_MARKS, "bucket"), repos, ledger, prices)
-        table.merge(done.events, F.col("ord"), job, batch_id)
-        for name in ("tags", "rejected", "torn", "skipped"):
-            _keep(getattr(done, name), f"{table.path}.{name}", job, batch_id)
+        rows = F.count(F.lit(1))
+        events, sent = _counted(done.events, events_sent=rows)
+        merged = table.merge(events, F.col("ord"), job, batch_id)
+        rejected, refused = _counted(done.rejected, events_rejected=rows)
+        torn, broken = _counted(done.torn, lines_torn=rows)
+        folders, walked = _counted(done.folders, files=F.coalesce(F.sum("files"), F.lit(0)), folders=rows, folders_skipped=F.count_if("skipped"))
+        skipped = folders.filter("skipped").select("machine_id", "project_dir")
+        for name, kept in (("tags", done.tags), ("rejected", rejected), ("torn", torn), ("skipped", skipped)):
+            _keep(kept, f"{table.path}.{name}", job, batch_id)
+        # a batch that was merged before its first attempt broke off is counted by itself
+        counts = (sent.get if merged else {"events_sent": done.events.count()}) | refused.get | broken.get | walked.get
+        _keep(spark.range(1).select(*[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()]), f"{table.path}.metrics", job, batch_id)
 
     return (
         records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def transcript_metrics(spark: SparkSession, table: EventTable) -> DataFrame:
+    """One row per job and batch: files, folders, skipped folders, events sent and rejected, torn lines, of the projects it touched."""
+    return spark.read.parquet(f"{table.path}.metrics")
+
+
 def run_wire(
     uploads: DataFrame, table: EventTable, checkpoint: str, on_rejected: Callable[[DataFrame, int], None] | None = None
 ) -> StreamingQuery:
-    """Uploaded entries (machine_id, position, raw JSON) checked one by one and folded; rejects go to `on_rejected`."""
+    """Uploaded entries (machine_id, position, raw JSON; received_at and is_backfill where known) checked one by one and folded.
+
+    Rejects are kept with their reasons under the table's path with the suffix `.refused`, and go to `on_rejected` as well;
+    who made contact, and with how many entries, is kept under `.contacts`. A retried batch replaces its own rows.
+    """
+    job = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        if "received_at" not in batch.columns:
+            batch = batch.withColumn("received_at", F.current_timestamp().cast("timestamp_ntz"))
+        if "is_backfill" not in batch.columns:
+            batch = batch.withColumn("is_backfill", F.lit(False))
         checked = check_events(batch)
-        table.merge(accepted_events(checked, "machine_id", "position"), F.col("position"))
+        table.merge(accepted_events(checked, "machine_id", "position"), F.col("position"), job, batch_id)
+        rejected = rejected_events(checked)
+        _keep(rejected, f"{table.path}.refused", job, batch_id)
+        counted = batch_counts(checked, "machine_id", "received_at", F.coalesce("is_backfill", F.lit(False)).alias("is_backfill"))
+        _keep(counted.withColumn("events", F.col("accepted") + F.col("rejected")), f"{table.path}.contacts", job, batch_id)
         if on_rejected is not None:
-            on_rejected(rejected_events(checked), batch_id)
+            on_rejected(rejected, batch_id)
 
     return uploads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_sync_state(spark: SparkSession, table: EventTable, before: DataFrame | None = None) -> DataFrame:
+    """(machine_id, last_contact_at, last_accepted_at) from all stored contacts, and from an older state where there is one."""
+    fresh = sync_state(spark.read.parquet(f"{table.path}.contacts"))
+    return fresh if before is None else merge_sync_state(before, fresh)
+
+
 def sync_state_stream(batches: DataFrame) -> DataFrame:
     """Per-machine contact times over a stream of upload records, for `update` output: one small state row per machine."""
     return sync_state(batches)

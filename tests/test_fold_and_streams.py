@@ -12,7 +12,7 @@ from spendmart.operators.pricing import price_book
 from spendmart.schemas import EVENT_COLUMNS, USAGE_EVENTS
 from spendmart.sources.event_table import EventTable, duplicate_keys, write_events
 from spendmart.sources.transcripts import read_transcripts
-from spendmart.streaming.jobs import run_transcripts, run_wire
+from spendmart.streaming.jobs import run_transcripts, run_wire, stored_sync_state, transcript_metrics
 from spendmart.plans.ingest import ingest
 from test_ingest import assistant, corpus, dimensions, write
 
@@ -210,6 +210,16 @@ def test_streamed_uploads(spark, tmp_path):
     stream = spark.readStream.schema("machine_id string, position bigint, raw string").parquet(landed)
     run_wire(stream, table, str(tmp_path / "cp"), lambda bad, batch: rejected.extend(bad.collect())).awaitTermination()
     assert [(r["output_tokens"], r["machine_id"]) for r in table.events().collect()] == [(9, "box")] and len(rejected) == 1
+    assert [r["raw"] for r in spark.read.parquet(f"{table.path}.refused").collect()] == ["{}"]
+    (state,) = stored_sync_state(spark, table).collect()
+    assert state.machine_id == "box" and state.last_contact_at == state.last_accepted_at
+    older = spark.createDataFrame([("box", at("2000-01-01T00:00:00"), None), ("attic", at("2000-01-01T00:00:00"), None)], "machine_id string, last_contact_at timestamp_ntz, last_accepted_at timestamp_ntz")
+    merged = {r.machine_id: r for r in stored_sync_state(spark, table, older).collect()}
+    assert merged["box"] == state and merged["attic"].last_accepted_at is None
+    # a fresh checkpoint is a new job; the same one merges nothing twice
+    version = table.snapshot().version
+    run_wire(stream, table, str(tmp_path / "cp")).awaitTermination()
+    assert table.snapshot().version == version
 
 
 def test_streaming_gives_the_same_table_for_any_batching(spark, tmp_path):
@@ -228,6 +238,25 @@ def test_streaming_gives_the_same_table_for_any_batching(spark, tmp_path):
         assert duplicate_keys(table.events()).count() == 0
 
 
+def test_files_that_grow_between_runs_give_the_table_of_the_finished_files(spark, tmp_path):
+    root, whole = tmp_path / "in", tmp_path / "whole"
+    corpus(whole)
+    repo, ledger = dimensions(spark)
+    want = dicts(ingest(read_transcripts(spark, str(whole), "box"), repo, ledger, price_book(spark)).events.select(*EVENT_COLUMNS), "request_id")
+    files = {p.relative_to(whole): p.read_bytes() for p in whole.rglob("*.jsonl")}
+    table = EventTable(spark, str(tmp_path / "events"), buckets=2)
+    for share in (0.3, 0.31, 0.8, 1):  # cut inside lines
+        for name, text in files.items():
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_bytes(text[: int(len(text) * share)])
+        run_transcripts(spark, str(root), "box", table, repo, ledger, price_book(spark), str(tmp_path / "cp"), growing=True).awaitTermination()
+    assert dicts(table.events().select(*EVENT_COLUMNS), "request_id") == want
+    landed = spark.read.parquet(f"{table.path}.landed")
+    assert landed.count() == landed.select("stream", "ord").distinct().count() == read_transcripts(spark, str(whole), "box").count()
+    last = dicts(transcript_metrics(spark, table), "batch")[-1]
+    assert (last["folders"], last["folders_skipped"], last["events_sent"], last["lines_torn"]) == (2, 1, 3, 1)
+
+
 def test_a_second_job_or_fresh_checkpoint_comes_later(spark, tmp_path):
     table = EventTable(spark, str(tmp_path / "events"), buckets=2)
     table.merge(frame(spark, event(1, ts=at("2026-08-02T10:00:00"), project_slug="old")).withColumn("n", F.lit(5)), F.col("n"))

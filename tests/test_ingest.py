@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import random
 
@@ -249,3 +250,30 @@ def test_machines(spark):
     assert (got["a"]["display_name"], got["a"]["last_contact"], got["a"]["last_accepted"], got["a"]["stale"]) == ("Studio box", "2026-08-01 19:00:00", "2026-08-01 17:00:00", True)
     assert (got["c" * 12]["display_name"], got["c" * 12]["last_contact"], got["c" * 12]["stale"]) == ("c" * 8, "never", False)
     assert got["f"]["stale"] and got["f"]["name"] is None
+
+
+def test_one_long_session_is_dated_in_many_tasks(spark):
+    """A session of many entries: the brute-force answer, and a join with the hour among its keys."""
+    rng = random.Random(8)
+    start = at("2026-08-01T00:00:00")
+    moment = lambda: start + dt.timedelta(minutes=rng.randint(0, 60 * 24 * 20))
+    entries = [(s, n, moment(), f"acct{n}", "org") for s in ("s1", "s2") for n in range(120)]
+    seen = [(n, rng.choice(("s1", "s2", "s3", None)), moment() if n % 40 else None) for n in range(1500)]
+    book = spark.createDataFrame(entries, "session_id string, pos int, from_ts timestamp_ntz, account_uuid string, org_uuid string")
+    rows = spark.createDataFrame(seen, "id int, session_id string, ts timestamp_ntz")
+
+    def expected(session, ts):
+        mine = [e for e in entries if e[0] == session]
+        if not mine or ts is None:
+            return None
+        begun = [e for e in mine if e[2] <= ts]
+        if begun:
+            return max(begun, key=lambda e: e[1])[3]
+        return mine[0][3] if mine[0][2] - dt.timedelta(hours=24) <= ts else None
+
+    dated = accounts.account_asof(rows, book)
+    assert {r["id"]: r["account_uuid"] for r in dated.collect()} == {n: expected(s, ts) for n, s, ts in seen}
+    assert dated.count() == len(seen)
+    cells = rows.filter("session_id IS NOT NULL AND ts IS NOT NULL").select("session_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("_hour")).distinct()
+    held = accounts.account_cells(cells, book).groupBy("session_id", "_hour").count().collect()
+    assert len(held) > 300 and max(r["count"] for r in held) < 20

@@ -151,3 +151,27 @@ def test_opaque_keys_never_leave_a_split(spark):
     rows, tagged = repo_fixture(spark)
     for dimension in Dimension:
         assert splits.cost_per_day(rows, dimension, FROM, TO, tagged).columns == ["day", "label", "cost_micro", "unpriced_events", "event_count"]
+
+
+def test_pages_by_position_equal_the_sorted_list(spark):
+    rows = spark.range(1003).select(F.format_string("s%04d", "id").alias("session_id"), (F.col("id") % 3).cast("decimal(38,6)").alias("cost_micro"))
+    pages = sessions.SessionPages(rows, SessionSort.COST, ranges=9)
+    assert pages.count() == 1003 and max(n for _, n in pages.sizes) < 400  # a third of all share each value
+    for number in (0, 1, 20, 39, 40, 41):
+        want = [r["session_id"] for r in sessions.page_of(rows, SessionSort.COST, number).collect()]
+        assert [r["session_id"] for r in pages.page(number).collect()] == want, number
+    plan = pages.page(20)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_range" in plan or "_range#" in plan.split("PartitionFilters")[1]
+    assert sessions.SessionPages(rows.limit(0), SessionSort.COST).page(0).count() == 0
+
+
+def test_a_label_with_its_key_gives_the_sessions_of_the_whole_relation(spark):
+    keyed = lambda n, s, k, **more: event(n, session_id=s, repo_key=k, repo_name=f"team/{k}" if k else None, **more)
+    rows = frame(spark, keyed(1, "a", "k1"), keyed(2, "a", "k2"), keyed(3, "b", "k1"), keyed(4, "b", None), keyed(5, "c", None), keyed(6, "d", "k2"))
+    tags = spark.createDataFrame([("b", "k2", "team/k2"), ("c", "k1", "team/k1"), ("c", "k2", "team/k2")], "session_id string, repo_key string, name string")
+    window = ("2026-08-01 00:00:00", "2026-08-02 00:00:00")
+    for known in (tags, None):
+        every = dicts(sessions.sessions_by_label(rows, Dimension.REPO, *window, known), "label", "session_id")
+        for label in ("team/k1", "team/k2", "none", "(unattributed)"):
+            got = dicts(sessions.sessions_of_value(rows, Dimension.REPO, label, *window, known), "session_id")
+            assert [(r["session_id"], r["event_count"]) for r in got] == [(r["session_id"], r["event_count"]) for r in every if r["label"] == label], label
