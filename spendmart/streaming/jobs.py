@@ -68,7 +68,8 @@ def run_transcripts(
     turns, torn lines and projects still without a fallback are kept too, under the table's path with the suffixes
     `.tags`, `.rejected`, `.torn` and `.skipped`; `.metrics` counts each batch (`transcript_metrics` sums them up).
 
-    `growing`: files are still written to; each batch takes the lines completed since the last (all files in one batch).
+    `growing`: files are still written to; each batch takes the lines completed since the last (all files in one batch). A
+    message whose copies come in several batches keeps the instant of the first one stored, as any re-sent event does.
     """
     job = hashlib.md5(checkpoint.encode()).hexdigest()
     records = stream_growing(spark, root, machine_id) if growing else stream_transcripts(spark, root, machine_id, files_per_trigger)
