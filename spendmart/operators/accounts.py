@@ -42,23 +42,19 @@ def account_marks(ledger: DataFrame) -> DataFrame:
 
 
 def account_cells(cells: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(session_id, _hour, from_ts, until_ts, account): what is in force in each of `cells` (session_id, _hour), from the hour's start on.
+    """(session_id, _hour, from_ts, until_ts, account): what is in force from when to when, inside one hour of a session.
 
-    A session's marks meet its hours as one summary row per hour, so what is carried into an hour costs a window over
-    hours, however many events or entries they hold.
+    `cells` are the hours that matter, (session_id, _hour). Marks and cells of a session meet in one window, which holds no
+    event; a cell takes what was in force before its hour, and a mark holds to the next one or to the end of its hour.
     """
-    marks = account_marks(ledger).withColumn("_hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    last = F.max_by("account", "ts").alias("_last")
-    summary = marks.groupBy("session_id", "_hour").agg(last).withColumn("_asked", F.lit(False))
-    asked = cells.select("session_id", "_hour", F.lit(None).cast(summary.schema["_last"].dataType).alias("_last"), F.lit(True).alias("_asked"))
-    hours = summary.unionByName(asked).groupBy("session_id", "_hour").agg(F.first("_last", ignorenulls=True).alias("_last"), F.bool_or("_asked").alias("_asked"))
-    earlier = W.partitionBy("session_id").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
-    begun = hours.withColumn("account", F.last("_last", ignorenulls=True).over(earlier)).filter("_asked")
-    carried = begun.filter(F.col("account").isNotNull()).select("session_id", "_hour", F.col("_hour").alias("from_ts"), "account", F.lit(0).alias("_rank"))
-    inside = marks.join(begun.select("session_id", "_hour"), ["session_id", "_hour"], "left_semi")
-    pieces = carried.unionByName(inside.select("session_id", "_hour", F.col("ts").alias("from_ts"), "account", F.lit(1).alias("_rank")))
-    following = W.partitionBy("session_id", "_hour").orderBy("from_ts", "_rank")
-    return pieces.select("session_id", "_hour", "from_ts", F.lead("from_ts").over(following).alias("until_ts"), "account")
+    marks = account_marks(ledger).select("session_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("_hour"), F.col("ts").alias("from_ts"), F.lit(1).alias("_rank"), "account")
+    asked = cells.select("session_id", "_hour", F.col("_hour").alias("from_ts"), F.lit(0).alias("_rank"), F.lit(None).cast(marks.schema["account"].dataType).alias("account"))
+    along = W.partitionBy("session_id").orderBy("from_ts", "_rank")
+    following = F.lead(F.struct("_hour", "from_ts")).over(along)
+    carried = F.last("account", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
+    pieces = marks.unionByName(asked).select("session_id", "_hour", "from_ts", following.alias("_next"), carried.alias("account"))
+    until = F.when(F.col("_next._hour") == F.col("_hour"), F.col("_next.from_ts"))
+    return pieces.filter(F.col("account").isNotNull()).select("session_id", "_hour", "from_ts", until.alias("until_ts"), "account")
 
 
 def account_asof(events: DataFrame, ledger: DataFrame) -> DataFrame:

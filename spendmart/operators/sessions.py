@@ -225,11 +225,12 @@ def _repo_events(window: DataFrame, value: str, labels: DataFrame, tags: DataFra
     The label is resolved to its key first, from sums alone; only the events behind it are grouped into sessions.
     """
     key = materialize(labels.filter(F.col("label") == value).select(F.col("repo_key").alias("_key")), "label-key")
-    own = window.join(key, F.col("repo_key") == F.col("_key"), "left_semi")
     if tags is None:
-        return own
-    tagged = tags.join(key, F.col("repo_key") == F.col("_key"), "left_semi")
-    return window.join(tagged, "session_id", "left_semi").unionByName(own.join(tags, "session_id", "left_anti"))
+        return window.join(key, F.col("repo_key") == F.col("_key"), "left_semi")
+    tagged = tags.select(F.col("session_id").alias("_sid"), F.col("repo_key").alias("_tag")).join(key, F.col("_tag") == F.col("_key"), "left")
+    whole = tagged.groupBy("_sid").agg(F.bool_or(F.col("_key").isNotNull()).alias("_whole"))
+    placed = window.join(whole, F.col("session_id") == F.col("_sid"), "left").join(key, F.col("repo_key") == F.col("_key"), "left")
+    return placed.filter("coalesce(_whole, _key IS NOT NULL)").drop("_sid", "_whole", "_key")
 
 
 def _project_sessions(parts: DataFrame) -> DataFrame:
