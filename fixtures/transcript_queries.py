@@ -94,7 +94,7 @@ def transcript_torn(spark, sf):
 
 
 def transcript_fallback(spark, sf):
-    return attribution.project_fallback(_digested(spark, sf), _repos(spark)).select("project_dir", "project_slug", "repo_key", "repo_name")
+    return attribution.project_fallback(attribution.first_folders(_digested(spark, sf)), _repos(spark)).select("project_dir", "project_slug", "repo_key", "repo_name")
 
 
 QUERIES = {f.__name__: f for f in (transcript_turns, transcript_titles, transcript_folders, transcript_torn, transcript_fallback)}

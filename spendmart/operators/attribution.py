@@ -164,14 +164,18 @@ def attribute_turns(turns: DataFrame, repos: DataFrame, fallback: DataFrame) ->
     )
 
 
-def project_fallback(records: DataFrame, repos: DataFrame) -> DataFrame:
-    """(machine_id, project_dir, project_slug, repo_key, repo_name) from the first folder its own top-level transcripts record."""
-    first = (
-        records.filter(~F.col("is_nested_file") & F.col("cwd").isNotNull() & (F.col("cwd") != ""))
-        .groupBy("machine_id", "project_dir")
-        .agg(F.min(F.struct("stream", "ord", "cwd")).alias("_first"))
-        .select("machine_id", "project_dir", F.col("_first.cwd").alias("folder"))
-    )
+def first_folders(records: DataFrame) -> DataFrame:
+    """(machine_id, project_dir, first): where a project's own top-level transcripts first record a folder, NULL where none does.
+
+    Results for parts of the records combine by the smaller `first`.
+    """
+    own = ~F.col("is_nested_file") & F.col("cwd").isNotNull() & (F.col("cwd") != "")
+    return records.groupBy("machine_id", "project_dir").agg(F.min(F.when(own, F.struct("stream", "ord", "cwd"))).alias("first"))
+
+
+def project_fallback(firsts: DataFrame, repos: DataFrame) -> DataFrame:
+    """(machine_id, project_dir, project_slug, repo_key, repo_name) from the first folder of each project that has one."""
+    first = firsts.filter(F.col("first").isNotNull()).select("machine_id", "project_dir", F.col("first.cwd").alias("folder"))
     resolved = resolve_folders(first, repos).select(
         F.col("machine_id").alias("_m"), F.col("folder").alias("_f"), "root", "repo_key", "main_root"
     )

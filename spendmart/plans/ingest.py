@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendmart.functions import clock
 from spendmart.operators.accounts import account_asof
-from spendmart.operators.attribution import attribute_turns, project_fallback
+from spendmart.operators.attribution import attribute_turns, first_folders, project_fallback
 from spendmart.operators.pricing import is_priced, price_asof, turn_cost
 from spendmart.operators.report import SYNTHETIC
 from spendmart.operators.repos import session_repo_tags
@@ -53,10 +53,13 @@ def map_events(turns: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def ingest(records: DataFrame, repos: DataFrame, ledger: DataFrame, prices: DataFrame) -> Ingested:
-    """All of a batch of transcript records. `records` come from `read_transcripts`."""
+def ingest(records: DataFrame, repos: DataFrame, ledger: DataFrame, prices: DataFrame, firsts: DataFrame | None = None) -> Ingested:
+    """All of a batch of transcript records. `records` come from `read_transcripts` and hold their session files whole.
+
+    `firsts`: what `first_folders` says of whole projects, where `records` hold only some of their session files.
+    """
     readable, torn = split_torn(materialize(digest(records), "records"))
-    fallback = materialize(project_fallback(readable, repos), "fallback")
+    fallback = materialize(project_fallback(first_folders(readable) if firsts is None else firsts, repos), "fallback")
     titles = session_titles(readable)
     turns = dedupe_turns(readable).withColumn("block", F.col("ord.block"))
     attributed = attribute_turns(turns, repos, fallback)

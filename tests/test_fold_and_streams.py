@@ -260,6 +260,31 @@ def test_files_that_grow_between_runs_give_the_table_of_the_finished_files(spark
     assert (last["folders"], last["folders_skipped"], last["events_sent"], last["lines_torn"]) == (2, 1, 3, 1)
 
 
+def test_a_batch_works_out_its_own_session_files(spark, tmp_path):
+    """History is worked out again only where a batch can change it: a shared message, or a project that turns out to have run elsewhere."""
+    root, repo, ledger = tmp_path / "in", *dimensions(spark)
+    table = EventTable(spark, str(tmp_path / "events"), buckets=2)
+    turn = lambda n, **more: assistant(f"q{n}", f"m{n}", n, f"2026-08-01T10:{n:02}:00.000Z", more.pop("cwd", None), **more)
+    landings = [
+        ("-w/s5.jsonl", [{"type": "user", "cwd": "/w/lib"}, turn(1, cwd="/w/lib"), turn(2)], 1, 2),
+        ("-w/s6.jsonl", [turn(3), turn(4), {"type": "custom-title", "customTitle": "six"}], 1, 2),
+        # a copy of one of s6's messages: both files are worked out, and only the messages of the new one are sent
+        ("-w/s8.jsonl", [turn(3, cwd="/w/app"), turn(5)], 2, 3),
+        # sorts first: the project ran in another folder, so turns without evidence move
+        ("-w/s1.jsonl", [{"type": "user", "cwd": "/w/app"}, turn(7)], 4, 7),
+    ]
+    for name, lines, *_ in landings:
+        write(root, name, *lines)
+        run_transcripts(spark, str(root), "box", table, repo, ledger, price_book(spark), str(tmp_path / "cp")).awaitTermination()
+    want = ingest(read_transcripts(spark, str(root), "box"), repo, ledger, price_book(spark)).events
+    one = EventTable(spark, str(tmp_path / "one"), buckets=2)
+    one.merge(want, F.col("ord"))
+    rows = lambda t: dicts(t.events().select(*EVENT_COLUMNS), "request_id")
+    assert rows(table) == rows(one)
+    counted = dicts(transcript_metrics(spark, table), "batch")
+    assert [(r["files"], r["events_sent"]) for r in counted] == [(files, sent) for *_, files, sent in landings]
+
+
 def test_a_second_job_or_fresh_checkpoint_comes_later(spark, tmp_path):
     table = EventTable(spark, str(tmp_path / "events"), buckets=2)
     table.merge(frame(spark, event(1, ts=at("2026-08-02T10:00:00"), project_slug="old")).withColumn("n", F.lit(5)), F.col("n"))
