@@ -9,13 +9,15 @@ Steps, each a distributed job:
 2. A second pass orders each set by (heavy count, hash) and keeps a prefix: all but the needed overlap, plus a
    twentieth. Two linked sets share at least that twentieth of the smaller one within their prefixes. Equal sets are
    one class. Prefix tokens travel in arrays by hash slot, one posting per task and token; tokens held by one set only
-   vanish there, and so do sets left with too few shared tokens to link with anything.
+   vanish there, and so do sets left with too few shared tokens to link with anything. A token known to be shared (a
+   heavy one, or one that a task meets twice) needs no such meeting: its holders travel as rows, spread by document.
 3. Every remaining set picks a leader, the best-connected set among its tokens' holders. Groups are leaders with their
    followers, split in blocks of bounded size. A set is a query to every group whose union of prefix tokens holds enough
    of its own.
 4. A unit of work is one block against one block of queries. Inside, the matrix of tokens by small groups gives
-   the bound; groups that pass are opened and compared exactly. Sets linked to the leader are joined through it and
-   need no comparison with each other. A unit reports at most one link per set, enough for the components.
+   the bound; groups that pass are opened and compared exactly. In a group of several blocks every block meets the leader
+   first: sets linked to it are joined through it and need no comparison with each other, and only the others go on as
+   queries to all blocks. A unit reports at most one link per set, enough for the components.
 5. Components of the links, then of all documents through their class.
 
 No pair is ever emitted for a shared token alone, copies are never expanded, and no list of partners is capped.
@@ -101,7 +103,7 @@ def _prefixes(width: int, percent: int, slots: int, heavy):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             heads: dict[str, list] = {k: [] for k in ("doc", "n", "set1", "set2", "score")}
-            posted, holders = [], []
+            posted, holders, hot = [], [], []
             for chunk in tb.chunks(batch.column("text"), rows=_ROWS):
                 rows, found = _sets(chunk, width)
                 n_rows = chunk.last - chunk.first
@@ -123,19 +125,23 @@ def _prefixes(width: int, percent: int, slots: int, heavy):
                 prefix[(_needed(n, percent) == n) & (n * 100 // percent == n)] = 0
                 take = order[tb.ragged(first, prefix)]
                 posted.append(found[take])
+                hot.append(weight[take] > 0)
                 holders.append(np.repeat(np.arange(chunk.first, chunk.last), prefix))
                 for k, v in (("doc", ids[chunk.first : chunk.last]), ("n", n), ("set1", set1), ("set2", set2), ("score", score)):
                     heads[k].append(v)
             if not heads["doc"]:
                 continue
             doc, n, set1, set2, score = (np.concatenate(v) for v in heads.values())
-            yield _pass_rows(doc, n, set1, set2, score, np.concatenate(posted), np.concatenate(holders), slots)
+            yield _pass_rows(doc, n, set1, set2, score, np.concatenate(posted), np.concatenate(holders), np.concatenate(hot), slots)
 
     return run
 
 
-def _pass_rows(doc, n, set1, set2, score, token, holder, slots: int) -> pa.RecordBatch:
-    """Heads of all documents (kind 0), tokens already shared here (kind 2), one posting per token for each slot (kind 1)."""
+def _pass_rows(doc, n, set1, set2, score, token, holder, hot, slots: int) -> pa.RecordBatch:
+    """Heads of all documents (kind 0), tokens known to be shared (kind 2), one posting per other token for each slot (kind 1).
+
+    Rows of kinds 0 and 2 only pass through a slot, so they are dealt by document: no token gathers its holders in one.
+    """
     _, least, inverse = np.unique(np.stack([set1, set2]), axis=1, return_index=True, return_inverse=True)
     inverse = inverse.reshape(-1)
     best = np.lexsort((doc, inverse))
@@ -143,7 +149,8 @@ def _pass_rows(doc, n, set1, set2, score, token, holder, slots: int) -> pa.Recor
     once = np.zeros(len(doc), bool)
     once[lead] = True
     mine = once[holder]
-    token, holder = token[mine], holder[mine]
+    hot_token, hot_doc = token[mine & hot], doc[holder[mine & hot]]
+    token, holder = token[mine & ~hot], holder[mine & ~hot]
     slot = (tb.mix(token) % np.uint64(slots)).astype(np.int64)
     order = np.lexsort((token, slot))
     token, holder, slot = token[order], holder[order], slot[order]
@@ -153,17 +160,18 @@ def _pass_rows(doc, n, set1, set2, score, token, holder, slots: int) -> pa.Recor
     one_token, one_doc, one_slot = tb.signed(token[new]), doc[holder[new]], slot[new]
     edge = np.flatnonzero(np.concatenate([[True], one_slot[1:] != one_slot[:-1]])) if len(one_slot) else np.zeros(0, np.int64)
     stop = np.append(edge[1:], len(one_slot))
-    heads, twice, parts = len(doc), int(shared.sum()), len(edge)
+    sure_token, sure_doc = np.concatenate([hot_token, token[shared]]), np.concatenate([hot_doc, doc[holder[shared]]])
+    heads, twice, parts = len(doc), len(sure_doc), len(edge)
     none = lambda k: [None] * k
     seen = (size > 1).astype(np.uint8)  # out already, as rows of kind 2
     longs = lambda *v: pa.array(np.concatenate(v), pa.int64())
     filler = np.zeros(twice + parts, np.int64)
     return pa.RecordBatch.from_arrays([
         pa.array(np.repeat([0, 2, 1], [heads, twice, parts]).astype(np.int32)),
-        longs(np.abs(doc) % slots, slot[shared], one_slot[edge]),
-        longs(doc, doc[holder[shared]], filler[:parts]),
+        longs(np.abs(doc) % slots, np.abs(sure_doc) % slots, one_slot[edge]),
+        longs(doc, sure_doc, filler[:parts]),
         longs(n, filler),
-        longs(tb.signed(set1), tb.signed(token[shared]), filler[:parts]),
+        longs(tb.signed(set1), tb.signed(sure_token), filler[:parts]),
         longs(tb.signed(set2), filler),
         pa.array(np.concatenate([score, np.zeros(twice + parts)])),
         pa.array(none(heads + twice) + [one_token[a:b].tobytes() for a, b in zip(edge, stop, strict=True)], pa.binary()),
@@ -249,7 +257,7 @@ def _linked(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _compare(ids, sets, others, other_sets, links: _Links, percent: int, same: bool) -> None:
+def _compare(ids, sets, others, other_sets, links: _Links, percent: int) -> None:
     """Every set of `others` against the groups of `sets`."""
     if not ids or not others:
         return
@@ -289,28 +297,44 @@ def _compare(ids, sets, others, other_sets, links: _Links, percent: int, same: b
             hit = chosen[where[opened]]
             overlap = np.bincount(owner[opened[hit]], minlength=len(sets))[members[g]]
             for m in members[g][_linked(overlap, len(mine), sizes[members[g]], percent)]:
-                if not (same and ids[m] == q):
-                    links.link(q, ids[m])
+                links.link(q, ids[m])
         chosen[at] = False
 
 
+def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([a for a, _ in pairs], pa.int64()), "v": pa.array([b for _, b in pairs], pa.int64())})
+
+
 def _unit(percent: int):
+    """A block (role 1) against queries (role 2); chunk 0 is a block against itself."""
+
     def run(table: pa.Table) -> pa.Table:
         links = _Links()
-        sides: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], []), 2: ([], [])}
+        sides: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
         for role, doc, tokens in zip(table.column("role").to_pylist(), table.column("doc_id").to_pylist(), table.column("tokens").to_pylist(), strict=True):
             sides[role][0].append(doc)
             sides[role][1].append(np.frombuffer(tokens, np.uint64))
-        (lead_ids, lead_sets), (left, left_sets), (right, right_sets) = sides[0], sides[1], sides[2]
-        for doc, tokens in zip(left + right, left_sets + right_sets, strict=True):
-            for lead, lead_tokens in zip(lead_ids, lead_sets, strict=True):
-                if lead != doc and _linked(len(np.intersect1d(tokens, lead_tokens, assume_unique=True)), len(tokens), len(lead_tokens), percent):
-                    links.link(doc, lead)
-        inside = not right
-        others, other_sets = (left, left_sets) if inside else (right, right_sets)
-        if len(left) > 1 or not inside:
-            _compare(left, left_sets, others, other_sets, links, percent, inside)
-        return pa.table({"u": pa.array([a for a, _ in links.pairs], pa.int64()), "v": pa.array([b for _, b in links.pairs], pa.int64())})
+        inside = table.column("unit")[0].as_py()["c"] == 0
+        if not inside or len(sides[1][0]) > 1:
+            _compare(*sides[1], *sides[1 if inside else 2], links, percent)
+        return _pairs(links.pairs)
+
+    return run
+
+
+def _to_leader(percent: int):
+    """Links of one block's sets (role 1) with the leader of their group (role 0)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        role, doc = table.column("role").to_numpy(), table.column("doc_id").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        pairs = []
+        for lead in np.flatnonzero(role == 0):
+            for at in np.flatnonzero(role == 1):
+                overlap = len(np.intersect1d(sets[at], sets[lead], assume_unique=True))
+                if doc[at] != doc[lead] and _linked(overlap, len(sets[at]), len(sets[lead]), percent):
+                    pairs.append((doc[at], doc[lead]))
+        return _pairs(pairs)
 
     return run
 
@@ -328,8 +352,8 @@ def _enough(held: DataFrame, percent: int) -> DataFrame:
     return materialize(held.join(materialize(full, "full"), "doc_id"), "shared")
 
 
-def _grouped(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Units of work: (unit, role, doc_id, tokens); role 0 leader, 1 block, 2 the block or queries it meets."""
+def _group_links(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(u, v): enough links for the components, from groups around leaders."""
     tops = shared.groupBy("token").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("top"))
     tops = materialize(tops.select("token", "top"), "tops")
     leads = shared.join(tops, "token").groupBy("doc_id", "n").agg(F.max("top").alias("top"))
@@ -342,27 +366,35 @@ def _grouped(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     foreign = mixed.join(meets, "token").filter("leader < other").groupBy("doc_id", F.col("other").alias("leader")).agg(F.count(F.lit(1)).alias("k"))
     foreign = foreign.join(leads.select("doc_id", "n"), "doc_id").filter(F.col("k") >= _least_shared(percent)).select("doc_id", "leader", "n")
     foreign = materialize(foreign, "foreign")
-    blocks = leads.groupBy("leader").agg(F.sum("n").alias("own"))
-    asked = foreign.groupBy("leader").agg(F.sum("n").alias("asked"))
-    parts = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / BLOCK_TOKENS).cast("int")
-    sizes = blocks.join(asked, "leader", "left").select("leader", F.greatest(F.lit(1), parts(F.col("own"))).alias("blocks"), parts(F.col("asked")).alias("chunks"))
-    sizes = materialize(sizes, "group-sizes")
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_TOKENS)).cast("int")
     spread = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    unit = lambda i, j, c: F.struct("leader", i.cast("int").alias("i"), j.cast("int").alias("j"), c.cast("int").alias("c"))
-    zero = F.lit(0)
-    own = leads.join(sizes, "leader").withColumn("b", spread(F.col("blocks")))
-    row = lambda u, role: F.struct(u.alias("unit"), role.cast("int").alias("role"))
-    among = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda k: row(
-        unit(F.least(k, F.col("b")), F.greatest(k, F.col("b")), zero), F.when(k >= F.col("b"), 1).otherwise(2)))
-    against = F.transform(F.sequence(F.lit(1), F.col("chunks")), lambda c: row(unit(F.col("b"), F.col("b"), c), F.lit(1)))
-    placed = own.select("doc_id", F.explode(F.when(F.col("chunks") > 0, F.concat(among, against)).otherwise(among)).alias("at"))
+    blocks = materialize(leads.groupBy("leader").agg(parts(F.sum("n")).alias("blocks")), "group-sizes")
+    own = leads.join(blocks, "leader").withColumn("b", spread(F.col("blocks")))
+    links, large = [], blocks.filter("blocks > 1")
+    if not large.isEmpty():
+        mine = own.filter("blocks > 1").select("doc_id", F.struct("leader", "b").alias("unit"), F.lit(1).alias("role"))
+        led = large.select(F.col("leader").alias("doc_id"), F.explode(_numbers("blocks", lambda b: F.struct("leader", b.alias("b")))).alias("unit"), F.lit(0).alias("role"))
+        met = mine.unionByName(led).join(sets, "doc_id").groupBy("unit").applyInArrow(_to_leader(percent), "u long, v long")
+        met = materialize(met, "leader-links")
+        links.append(met)
+        joined = met.select(F.col("u").alias("doc_id"), F.col("v").alias("leader"))
+        rest = own.filter("blocks > 1 AND doc_id <> leader").join(joined, ["doc_id", "leader"], "left_anti")
+        foreign = materialize(foreign.unionByName(rest.select("doc_id", "leader", "n")), "queries")
+    asked = foreign.groupBy("leader").agg(parts(F.sum("n")).alias("chunks"))
+    sizes = materialize(blocks.join(asked, "leader", "left").select("leader", "blocks", F.coalesce("chunks", F.lit(0)).alias("chunks")), "unit-sizes")
+    unit = lambda b, c: F.struct("leader", b.alias("b"), c.alias("c"))
+    # chunk 0: the one block of a group against itself
+    first = F.when(F.col("blocks") == 1, 0).otherwise(1)
+    placed = own.drop("blocks").join(sizes, "leader").filter(F.col("chunks") >= first)
+    placed = placed.select("doc_id", F.explode(F.transform(F.sequence(first, F.col("chunks")), lambda c: unit(F.col("b"), c))).alias("unit"), F.lit(1).alias("role"))
     queries = foreign.join(sizes, "leader").withColumn("c", 1 + spread(F.col("chunks")))
-    queries = queries.select("doc_id", F.explode(F.transform(F.sequence(zero, F.col("blocks") - 1), lambda k: row(unit(k, k, F.col("c")), F.lit(2)))).alias("at"))
-    lone = sizes.filter("blocks > 1").withColumnRenamed("leader", "doc_id").withColumn("leader", F.col("doc_id"))
-    pairs = F.flatten(F.transform(F.sequence(zero, F.col("blocks") - 1), lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: row(unit(i, j, zero), zero))))
-    led = lone.select("doc_id", F.explode(pairs).alias("at"))
-    everything = placed.unionByName(queries).unionByName(led).select("doc_id", "at.*")
-    return everything.join(sets, "doc_id").select("unit", "role", "doc_id", "tokens")
+    queries = queries.select("doc_id", F.explode(_numbers("blocks", lambda b: unit(b, F.col("c")))).alias("unit"), F.lit(2).alias("role"))
+    links.append(placed.unionByName(queries).join(sets, "doc_id").groupBy("unit").applyInArrow(_unit(percent), "u long, v long"))
+    return links[0] if len(links) == 1 else links[0].unionByName(links[1])
+
+
+def _numbers(count: str, build):
+    return F.transform(F.sequence(F.lit(0), F.col(count) - 1), build)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -388,7 +420,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     needed = shared.select("doc_id").distinct()
     sets = known.filter("text IS NOT NULL").join(needed, "doc_id").withColumn("fp", F.xxhash64("text")).dropDuplicates(["doc_id", "fp"]).select("doc_id", "text").mapInArrow(_packed(width), "doc_id long, tokens binary")
     sets = materialize(sets, "sets")
-    links = _grouped(sets, shared, percent).groupBy("unit").applyInArrow(_unit(percent), "u long, v long")
+    links = _group_links(sets, shared, percent)
     # texts that share an id connect their classes
     many = materialize(heads.filter("n > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id"), "many")
     same = heads.join(many, "doc_id").join(classes.select("set1", "set2", "rep"), ["set1", "set2"])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from spendmart.llm import decontaminate, hosts, language, licenses, permutation_index, queries, toxicity
+from spendmart.llm import decontaminate, hosts, language, licenses, ngram_join, permutation_index, queries, toxicity
 
 rng = random.Random(11)
 
@@ -108,3 +108,38 @@ def test_texts_that_share_an_id_are_not_lost(spark, tmp_path):
     kept = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
     assert len(kept) == 4 and ("None", a) in kept and ("1", a) in kept and ("3", rows[4][1]) in kept
     assert len([t for _, t in kept if t in (b, b + " more")]) == 1
+
+
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """Over many blocks: copies near the leader, a chain that drifts away from it, and others that only that chain ties in."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(120)]
+    texts, drift = [], list(base)
+    for k in range(90):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{k}"
+        texts.append(words)
+    for k in range(30):
+        drift[4 * k] = f"y{k}"
+        texts.append(list(drift))
+        words = list(drift)
+        words[-1] = f"z{k}"
+        texts.append(words)
+    texts += [[f"far{i}" for i in range(120)], texts[5]]
+    rng.shuffle(texts)
+    sets = [{tuple(words[i : i + 3]) for i in range(118)} for words in texts]
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= 90 * len(s | sets[j]):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 1500)
+    got = dict(map(tuple, ngram_join.near_duplicates(docs, 3, 90).select("doc_id", "component_id").collect()))
+    assert got == {i: root(i) for i in range(len(sets))} and len(set(got.values())) == 2
