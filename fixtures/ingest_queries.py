@@ -58,7 +58,7 @@ def _stored(spark, sf):
     table = EventTable(spark, f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}", changes=True)
     early, middle, late = (rows.filter(x) for x in ("year(ts) < 1997", "year(ts) IN (1997, 1998)", "year(ts) > 1998"))
     for job, batch, part in (("a", 0, early), ("b", 0, middle), ("a", 0, early), ("a", 1, late), ("b", 0, middle)):
-        table.merge(part, F.col("at"), job, batch)
+        table.merge(part, F.col("at"), job, batch, costly=False)
     return table
 
 

@@ -17,20 +17,28 @@ RAISED = [*COUNTERS, "cost_micro"]
 LATEST = ["project_slug", "priced"]
 
 
+def _first(seq: Column, owner) -> Column:
+    return F.struct(seq.alias("seq"), *owner)
+
+
+def _latest(seq: Column, latest) -> Column:
+    return F.struct(seq.alias("seq"), *latest)
+
+
+def _given(seq: Column, name: str) -> Column:
+    return F.when(F.col(name).isNotNull(), F.struct(seq.alias("seq"), F.col(name).alias("value")))
+
+
 def to_state(events: DataFrame, seq: Column, owner=OWNER, raised=RAISED, latest=LATEST, optional=OPTIONAL_TEXT, key=KEY) -> DataFrame:
     """Each arriving row as a state of its own."""
-    stamped = events.withColumn("_seq", seq)
+    stamped, seq = events.withColumn("_seq", seq), F.col("_seq")
     return stamped.select(
-        *key,
-        F.struct(F.col("_seq").alias("seq"), *owner).alias("first"),
-        *raised,
-        F.struct(F.col("_seq").alias("seq"), *latest).alias("last"),
-        *[F.when(F.col(c).isNotNull(), F.struct(F.col("_seq").alias("seq"), F.col(c).alias("value"))).alias(c) for c in optional],
+        *key, _first(seq, owner).alias("first"), *raised, _latest(seq, latest).alias("last"), *[_given(seq, c).alias(c) for c in optional]
     )
 
 
-def fold(states: DataFrame, raised=RAISED, optional=OPTIONAL_TEXT, key=KEY) -> DataFrame:
-    """One state per key: first owner, highest counters, last setting, last value that was present.
+def fold(states: DataFrame, raised=RAISED, optional=OPTIONAL_TEXT, key=KEY, also=()) -> DataFrame:
+    """One state per key: first owner, highest counters, last setting, last value that was present; `also`: further aggregates.
 
     All min/max, so copies of one key are combined on the map side and no key is hot after it.
     """
@@ -39,9 +47,44 @@ def fold(states: DataFrame, raised=RAISED, optional=OPTIONAL_TEXT, key=KEY) -> D
         *[F.max(c).alias(c) for c in raised],
         F.max("last").alias("last"),
         *[F.max(c).alias(c) for c in optional],
+        *also,
+    )
+
+
+def fold_events(events: DataFrame, seq: Column, owner=OWNER, raised=RAISED, latest=LATEST, optional=OPTIONAL_TEXT, key=KEY) -> DataFrame:
+    """fold(to_state(events)), for rows that are already dealt by key: they are sorted as they are, not as states."""
+    return events.groupBy(*key).agg(
+        F.min(_first(seq, owner)).alias("first"),
+        *[F.max(c).alias(c) for c in raised],
+        F.max(_latest(seq, latest)).alias("last"),
+        *[F.max(_given(seq, c)).alias(c) for c in optional],
+    )
+
+
+def compact(states: DataFrame, owner=OWNER, raised=RAISED, latest=LATEST, optional=OPTIONAL_TEXT, key=KEY) -> DataFrame:
+    """States as they are stored and sent: a `seq` equal to that of `last` is left out. Most keys arrive once, with one seq."""
+    last = F.col("last.seq")
+    seq = lambda c: F.when(F.col(f"{c}.seq") != last, F.col(f"{c}.seq"))
+    short = lambda c: F.when(F.col(c).isNotNull(), F.struct(seq(c).alias("seq"), F.col(f"{c}.value").alias("value")))
+    return states.select(
+        *key, _first(seq("first"), [f"first.{c}" for c in owner]).alias("first"), *raised, "last", *[short(c).alias(c) for c in optional]
     )
 
 
+def whole(states: DataFrame, owner=OWNER, raised=RAISED, latest=LATEST, optional=OPTIONAL_TEXT, key=KEY) -> DataFrame:
+    """compact() undone; states that were never compact stay as they are."""
+    seq = lambda c: F.coalesce(f"{c}.seq", "last.seq")
+    full = lambda c: F.when(F.col(c).isNotNull(), F.struct(seq(c).alias("seq"), F.col(f"{c}.value").alias("value")))
+    return states.select(
+        *key, _first(seq("first"), [f"first.{c}" for c in owner]).alias("first"), *raised, "last", *[full(c).alias(c) for c in optional]
+    )
+
+
+def plain_column(name: str, owner=OWNER, latest=LATEST, optional=OPTIONAL_TEXT) -> Column:
+    """A column of the plain row, from a state."""
+    return F.col(f"first.{name}" if name in owner else f"last.{name}" if name in latest else f"{name}.value" if name in optional else name)
+
+
 def from_state(states: DataFrame, owner=OWNER, raised=RAISED, latest=LATEST, optional=OPTIONAL_TEXT, key=KEY) -> DataFrame:
     """State back to plain rows."""
     return states.select(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendmart.operators.fold import KEY, fold, from_state, to_state
+from spendmart.operators.fold import KEY, compact, fold, fold_events, from_state, plain_column, whole
 from spendmart.schemas import EVENT_COLUMNS
 from spendmart.session import materialize
 
@@ -19,7 +19,9 @@ UNIT_ROWS = 1_000_000  # rows of a data file, about
 RUN_ROWS = 1_000_000  # keys of an index file, about
 LEVEL_BITS = 3  # a level of the index has eight times the files of the one above
 LOOSE_FILES = 16  # files of the top level before they become one
+LEVEL_RUNS = 4  # runs of a lower level that wait for the next merge of the level
 UNIT = ["event_date", "depth", "slot"]
+VALUES = [c for c in EVENT_COLUMNS if c not in KEY]
 
 _MANIFEST = T.StructType(
     [
@@ -66,6 +68,7 @@ class EventTable:
     **Files.** A data file holds the keys of one UTC date (that of the key's first writer, which never moves) in one of
     2**depth slots of their hash. A file is written once and never changed; a merge writes new files for the units that
     hold its keys, and a unit of more than about UNIT_ROWS rows is split, so files keep their size as the table grows.
+    With `changes`, a row that a merge has changed holds what it was before in `was`, until it is written again.
 
     **Manifest.** A version of the table is one small file that names its data and index files. It appears under
     `manifest/version=N` by the one rename that ends its write: a reader sees the old state or the new one, a reader
@@ -76,8 +79,8 @@ class EventTable:
     **Ledger.** Merges are numbered in order of arrival. The manifest records which batch of which job had which
     number, so a batch that is retried after it was committed changes nothing, whatever came in between.
 
-    **Key index.** Where a key is stored is looked up in levels of sorted runs: new keys form small files on top; when a
-    level is full, it is merged with the next, which has eight times as many slots. A batch reads the slots of its own
+    **Key index.** Where a key is stored is looked up in levels of sorted runs: new keys form small files on top, those of
+    a large batch a run on the level of its size; when a level is full, it is merged with the next, which has eight times as many slots. A batch reads the slots of its own
     keys on every level, not the keys of the table.
     """
 
@@ -130,10 +133,10 @@ class EventTable:
         return self.spark.read.option("basePath", root).parquet(*paths).withColumn("slot", F.col("slot").cast("bigint"))
 
     def _written(self, kind: str, commit: str, rows: DataFrame) -> list[Row]:
-        """Writes new files, one per unit, and gives their manifest entries."""
+        """Writes new files, one per unit, and gives their manifest entries. The rows come dealt by unit, each unit in one task."""
         units = UNIT if kind == "data" else UNIT[1:]
         folder = f"{self.path}/{kind}/commit={commit}"
-        rows.repartition(*units).sortWithinPartitions(*units, *KEY).write.partitionBy(*units).parquet(folder)
+        rows.sortWithinPartitions(*units, *KEY).write.partitionBy(*units).parquet(folder, compression="zstd")
         counted = self.spark.read.parquet(folder).groupBy(*units).agg(F.count(F.lit(1)).alias("rows"))
         return [_entry(kind=kind, commit=commit, **r.asDict()) for r in counted.collect()]
 
@@ -150,9 +153,8 @@ class EventTable:
         runs = self._read("index", [e for e in entries if (e.depth, e.slot) in wanted])
         return None if runs is None else runs.select(*KEY, "home")
 
-    def _placed(self, snapshot: Snapshot, incoming: DataFrame) -> DataFrame:
-        """incoming with its unit (event_date, depth, slot) and whether the key is new."""
-        known = self._known(snapshot, incoming)
+    def _placed(self, snapshot: Snapshot, incoming: DataFrame, known: DataFrame | None) -> DataFrame:
+        """incoming with its unit (event_date, depth, slot) and whether the key is new; `known`: where stored keys are."""
         found = incoming.withColumn("home", F.lit(None).cast("date")) if known is None else incoming.join(known, KEY, "left")
         found = found.withColumn("fresh", F.col("home").isNull()).withColumn("event_date", F.coalesce("home", F.col("first.ts").cast("date"), F.lit("1970-01-01").cast("date")))
         found = found.drop("home")
@@ -177,7 +179,9 @@ class EventTable:
         entries = snapshot.of("index")
         if not n:
             return entries
-        below, target = n, 0
+        below, target, own = n, 0, 0
+        while n > self.run_rows << (LEVEL_BITS * own):
+            own += 1
         while True:
             below += sum(e.rows for e in entries if e.depth == LEVEL_BITS * target)
             if below <= self.run_rows << (LEVEL_BITS * target):
@@ -187,17 +191,20 @@ class EventTable:
         merged = [e for e in entries if e.depth <= depth]
         if target == 0 and len(merged) < LOOSE_FILES:
             merged = []  # one more loose file on top
+        elif own > 0 and len({e.commit for e in entries if e.depth == LEVEL_BITS * own}) < LEVEL_RUNS:
+            depth, merged = LEVEL_BITS * own, []  # a large batch is a run of its own: what is stored is not written again
         older = self._read("index", merged)
         rows = fresh if older is None else fresh.unionByName(older.select(*KEY, "home"))
-        rows = rows.withColumn("depth", F.lit(depth)).withColumn("slot", _slot(F.lit(depth)))
+        rows = rows.repartition(_slot(F.lit(depth))).withColumn("depth", F.lit(depth)).withColumn("slot", _slot(F.lit(depth)))
         return [e for e in entries if e not in merged] + self._written("index", commit, rows)
 
-    def merge(self, events: DataFrame, position: Column, job: str | None = None, batch: int | None = None) -> bool:
+    def merge(self, events: DataFrame, position: Column, job: str | None = None, batch: int | None = None, costly: bool = True) -> bool:
         """Folds a batch in; false when the ledger already has this batch of this job.
 
         `position` orders rows inside the batch: a number, or a struct of two numbers. A row without a whole key cannot
         be found again and is left out; callers set such rows aside before. A merge without a job and batch number is
         one more arrival each time. With `changes`, `changes/commit=...` records the touched rows as they were and are.
+        The keys of `events` are read before the rows: `costly` events are computed once and written out for that.
         """
         snapshot = self.snapshot()
         ledger = snapshot.of("ledger")
@@ -209,11 +216,16 @@ class EventTable:
         events = events.filter(F.forall(F.array(*KEY), lambda part: part.isNotNull()))
         kind = events.select(position.alias("p")).schema["p"].dataType
         parts = [position[name] for name in kind.fieldNames()] if isinstance(kind, T.StructType) else [position, F.lit(0)]
-        numbers = zip(("arrival", "position", "line"), [F.lit(arrival), *parts], strict=True)
-        seq = F.struct(*[part.cast("bigint").alias(name) for name, part in numbers])
-        incoming = materialize(fold(to_state(events, seq)), "incoming")
-        placed = materialize(self._placed(snapshot, incoming), "placed")
+        numbers = [part.cast("bigint").alias(name) for part, name in zip(parts, ("_position", "_line"), strict=True)]
+        arriving = events.select(*KEY, *VALUES, *numbers)
+        if costly and snapshot.of("index"):
+            arriving = materialize(arriving, "arriving", "zstd")
+        known = self._known(snapshot, arriving.select(*KEY))
+        # one shuffle, of plain rows: it serves the fold and the search for stored keys
+        seq = F.struct(F.lit(arrival).cast("bigint").alias("arrival"), F.col("_position").alias("position"), F.col("_line").alias("line"))
+        incoming = fold_events(arriving.repartition(*KEY), seq)
         state = [c for c in incoming.columns if c not in KEY]
+        placed = materialize(compact(self._placed(snapshot, incoming, known), key=[*KEY, *UNIT, "fresh"]), "placed", "zstd")
 
         entries = {(e.event_date, e.depth, e.slot): e for e in snapshot.of("data")}
         days = {day for day, _, _ in entries}
@@ -224,17 +236,21 @@ class EventTable:
             rows, n = t.fresh + (before.rows if before else 0), n + t.fresh
             grown.append((t.event_date, t.depth, t.slot, t.depth + max(0, math.ceil(math.log2(max(1, rows) / self.unit_rows)))))
             old_files += [before] if before else []
-        old = None
         if touched:
             key = [*KEY, *UNIT]
-            rows = placed.select(*key, *state)
+            rows = placed.select(*key, *state, F.lit(False).alias("stored"))
             old = self._read("data", old_files)
             if old is not None:
-                old = old.select(*key, *state)
-                rows = old.unionByName(rows)
+                rows = compact(whole(old, key=key), key=key).select(*key, *state, F.lit(True).alias("stored")).unionByName(rows)
             units = self.spark.createDataFrame(grown, "event_date date, depth int, slot bigint, grown int")
-            split = fold(rows, key=key).join(units, UNIT).withColumn("depth", F.col("grown")).withColumn("slot", _slot(F.col("grown"))).drop("grown")
-            for e in self._written("data", commit, split):
+            split = rows.join(units, UNIT).withColumn("depth", F.col("grown")).withColumn("slot", _slot(F.col("grown"))).drop("grown")
+            # a key's rows, at most one stored and one new, meet in the task that writes their file
+            met = whole(split.repartition(*UNIT), key=[*key, "stored"])
+            key, also = [*UNIT, *KEY], []
+            if self.changes:
+                was = F.max(F.when(F.col("stored"), F.struct(*[plain_column(c).alias(c) for c in VALUES])))
+                also = [F.when(~F.bool_and("stored"), was).alias("was")]
+            for e in self._written("data", commit, compact(fold(met, key=key, also=also), key=key + ["was"] * self.changes)):
                 entries[e.event_date, e.depth, e.slot] = e
             # every key of a known date has a slot: slots without a row are listed without a file
             slots = [(day, deeper, s) for day, depth, slot, deeper in grown for s in range(slot, 1 << deeper, 1 << depth)]
@@ -243,24 +259,27 @@ class EventTable:
             for unit in slots:
                 entries.setdefault(unit, _entry(kind="data", rows=0, **dict(zip(UNIT, unit, strict=True))))
         if self.changes:
-            self._record(commit, placed, old)
+            self._record(commit, arrival, placed)
         fresh = placed.filter("fresh").select(*KEY, F.col("event_date").alias("home"))
         index = self._indexed(snapshot, commit, fresh, n)
         ledger = [e for e in ledger if e.job is not None] + [_entry(kind="ledger", job=job, batch=batch, arrival=arrival)]
         self._publish(snapshot.version + 1, commit, [*entries.values(), *index, *ledger])
         return True
 
-    def _record(self, commit: str, placed: DataFrame, old: DataFrame | None) -> None:
-        """The touched rows before and after the merge, as plain events with a sign."""
+    def _record(self, commit: str, arrival: int, placed: DataFrame) -> None:
+        """The touched rows before and after the merge, as plain events with a sign, from the files it wrote.
+
+        A row that this merge touched has its arrival as the last; what it was before is beside it.
+        """
         try:
-            now = self.spark.read.parquet(f"{self.path}/data/commit={commit}")
+            written = self.spark.read.parquet(f"{self.path}/data/commit={commit}")
         except AnalysisException:
-            now = placed  # nothing arrived, nothing was written
-        rows = from_state(now.join(placed.select(*KEY), KEY, "left_semi")).select(*EVENT_COLUMNS, F.lit(1).alias("sign"))
-        if old is not None:
-            before = old.join(placed.filter("NOT fresh").select(*KEY), KEY, "left_semi")
-            rows = rows.unionByName(from_state(before).select(*EVENT_COLUMNS, F.lit(-1).alias("sign")))
-        rows.write.parquet(f"{self.path}/changes/commit={commit}")
+            written = placed  # nothing arrived, nothing was written
+        rows = from_state(written.filter(F.col("last.seq.arrival") == arrival)).select(*EVENT_COLUMNS, F.lit(1).alias("sign"))
+        if "was" in written.columns:
+            before = written.filter("was IS NOT NULL").select(*KEY, "was.*").select(*EVENT_COLUMNS, F.lit(-1).alias("sign"))
+            rows = rows.unionByName(before)
+        rows.write.parquet(f"{self.path}/changes/commit={commit}", compression="zstd")
 
     # ------------------------------------------------------------ reading
 

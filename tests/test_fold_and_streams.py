@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, dicts, event, frame
-from spendmart.operators.fold import fold, fold_tags, from_state, tags_as_map, to_state, upsert
+from spendmart.operators.fold import compact, fold, fold_tags, from_state, tags_as_map, to_state, upsert, whole
 from spendmart.operators.pricing import price_book
 from spendmart.schemas import EVENT_COLUMNS, USAGE_EVENTS
 from spendmart.sources.event_table import EventTable, duplicate_keys, write_events
@@ -293,3 +293,22 @@ def test_a_second_job_or_fresh_checkpoint_comes_later(spark, tmp_path):
     table.merge(later.withColumn("request_id", F.lit(None).cast("string")).withColumn("n", F.lit(0)), F.col("n"))
     (row,) = table.events().collect()
     assert (row.ts, row.project_slug) == (at("2026-08-02T10:00:00"), "new")
+
+
+def test_a_stored_key_keeps_one_seq_and_a_large_batch_leaves_the_index_alone(spark, tmp_path):
+    """What a merge shuffles and writes: no seq twice, no index run again, changes from the files alone."""
+    table = EventTable(spark, str(tmp_path / "events"), run_rows=10, changes=True)
+    for first in (0, 30):
+        table.merge(numbered(spark, [event(n, repo_key="k", output_tokens=n) for n in range(first, first + 40)]), F.col("n"))
+    stored = spark.read.parquet(*table.events().inputFiles())
+    once = stored.filter("output_tokens < 30 OR output_tokens >= 40")
+    assert once.count() == 60 and once.filter("first.seq IS NULL AND repo_key.seq IS NULL AND last.seq IS NOT NULL AND was IS NULL").count() == 60
+    again = stored.filter("output_tokens BETWEEN 30 AND 39")
+    assert again.filter("first.seq.arrival = 0 AND last.seq.arrival = 1 AND was.output_tokens = output_tokens").count() == 10
+    states = to_state(numbered(spark, writes(30, 5)), F.struct(F.lit(0).alias("arrival"), F.col("n").alias("position")))
+    folded = fold(states)
+    assert sorted(map(str, whole(compact(folded)).collect())) == sorted(map(str, folded.collect()))
+    runs = {e.commit for e in table.snapshot().of("index")}
+    assert len(runs) == 2 and {c for _, c in table.commits()} == runs
+    signed = spark.read.parquet(f"{table.path}/changes/commit={table.commits()[1][1]}")
+    assert signed.groupBy("sign").count().orderBy("sign").collect() == [(-1, 10), (1, 40)]
