@@ -302,7 +302,7 @@ def _turns(spark, sf):
 
 def attribute_turns(spark, sf):
     fallback = spark.createDataFrame([("m", "p", "home/base", None, None), ("n", "p", "other/base", None, None)], "machine_id string, project_dir string, project_slug string, repo_key string, repo_name string")
-    placed = attribution.attribute_turns(_turns(spark, sf), _repos(spark), fallback)
+    placed = attribution.attribute_turns(_turns(spark, sf), _repos(spark), fallback, evidence=False)
     return placed.select("l_orderkey", "l_linenumber", "project_slug", "repo_key", "repo_name")
 
 

@@ -25,8 +25,8 @@ def last_two_segments(path: Column) -> Column:
 
 def parent_folder(path: Column) -> Column:
     """The folder holding a path."""
-    trimmed = F.regexp_replace(path, "/+\\z", "")
-    head = F.regexp_replace(trimmed, "/[^/]*\\z", "")
+    trimmed = F.rtrim(path, F.lit("/"))
+    head = F.left(trimmed, F.length(trimmed) - F.length(F.substring_index(trimmed, "/", -1)) - 1)
     return (
         F.when(~trimmed.contains("/"), F.when(path.startswith("/"), "/").otherwise("."))
         .when(head == "", "/")

@@ -108,48 +108,60 @@ def carry_roots(turns: DataFrame) -> DataFrame:
 
 
 def turn_candidates(turns: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Adds here_root, tied_roots and first_root: the folder's repository, and those holding most of the turn's files."""
+    """Adds here_root, tied_roots and first_root: the folder's repository, and those holding most of the turn's files.
+
+    `turns` has `file_folders`, which is dropped. Sessions touch the same few lists of folders again and again, so a list is
+    worked out once per machine. A turn without stream or place is given no files' roots.
+    """
     found = resolved.select(F.col("machine_id").alias("_m"), F.col("folder").alias("_f"), F.col("root").alias("_root"))
     here = turns.join(found, (F.col("machine_id") == F.col("_m")) & (F.col("cwd") == F.col("_f")), "left")
     here = here.withColumnRenamed("_root", "here_root").drop("_m", "_f")
-    touched = turns.filter(F.size("file_paths") > 0).select(
-        "stream", "ord", "machine_id", F.posexplode("file_paths").alias("_at", "_path")
-    )
-    touched = touched.withColumn("_folder", parent_folder(F.col("_path")))
+    lists = turns.filter(F.size("file_folders") > 0).select("machine_id", "file_folders").distinct()
+    touched = lists.select("*", F.posexplode("file_folders").alias("_at", "_folder"))
     roots = touched.join(found, (F.col("machine_id") == F.col("_m")) & (F.col("_folder") == F.col("_f")))
-    counted = roots.groupBy("stream", "ord", "_root").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("at"))
-    # one row per turn again; its length is bounded by the files one message names
-    ranked = counted.groupBy("stream", "ord").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("fewest"), "at", F.col("_root").alias("root")))).alias("_c"))
+    # one row per list; its length is bounded by the files one message names
+    held = roots.groupBy("machine_id", "file_folders").agg(F.collect_list(F.struct("_at", F.col("_root").alias("root"))).alias("_h"))
+    names = F.array_distinct(F.transform("_h", lambda h: h["root"]))
+    of = lambda root: F.filter("_h", lambda h: h["root"] == root)
+    ranked = F.transform(names, lambda root: F.struct((-F.size(of(root))).alias("fewest"), F.array_min(F.transform(of(root), lambda h: h["_at"])).alias("at"), root.alias("root")))
+    ranked = held.select(F.col("machine_id").alias("_lm"), F.col("file_folders").alias("_l"), F.array_sort(ranked).alias("_c"))
     best = ranked.select(
-        F.col("stream").alias("_s"),
-        F.col("ord").alias("_o"),
+        "_lm",
+        "_l",
         F.transform(F.filter("_c", lambda c: c["fewest"] == F.col("_c")[0]["fewest"]), lambda c: c["root"]).alias("tied_roots"),
         F.col("_c")[0]["root"].alias("first_root"),
     )
-    joined = here.join(best, (F.col("stream") == F.col("_s")) & (F.col("ord") == F.col("_o")), "left").drop("_s", "_o")
+    best = materialize(best, "folder-lists")
+    placed = F.col("stream").isNotNull() & F.col("ord").isNotNull()
+    joined = here.join(best, (F.col("machine_id") == F.col("_lm")) & (F.col("file_folders") == F.col("_l")) & placed, "left").drop("_lm", "_l", "file_folders")
     return joined.withColumn("tied_roots", F.coalesce("tied_roots", F.array().cast("array<string>")))
 
 
 def turn_folders(turns: DataFrame) -> DataFrame:
-    """Distinct (machine_id, folder) that turns ran in or touched."""
-    folders = F.array_distinct(F.concat(F.transform("file_paths", parent_folder), F.array("cwd")))
+    """Distinct (machine_id, folder) that turns ran in or touched (`file_folders`)."""
+    folders = F.array_distinct(F.concat("file_folders", F.array("cwd")))
     return turns.select("machine_id", F.explode(F.filter(folders, lambda f: f.isNotNull())).alias("folder")).distinct()
 
 
-def attribute_turns(turns: DataFrame, repos: DataFrame, fallback: DataFrame) -> DataFrame:
+def attribute_turns(turns: DataFrame, repos: DataFrame, fallback: DataFrame, evidence: bool = True) -> DataFrame:
     """Adds project_slug, repo_key, repo_name to turns.
 
     `turns`: stream, block, ord, machine_id, project_dir, cwd, file_paths, ...; `fallback`: one row per
     machine_id and project_dir with project_slug, repo_key, repo_name, used until a stream has any evidence of
     its own: folders of one name on two machines are two projects. Turns of projects without a fallback are left
-    out. The turns are read several times, so they are written out once instead of being computed again.
+    out. The turns are read several times, so they are written out once instead of being computed again. Without
+    `evidence`, cwd and file_paths end where they have been used, and are not moved along the streams.
     """
-    turns = materialize(turns, "turns")
+    turns = materialize(turns.withColumn("file_folders", F.transform("file_paths", parent_folder)), "turns")
+    # both are written out so that their size is known: joined by machine and folder, all turns would meet in a few tasks
+    repos, fallback = materialize(repos, "repos"), materialize(fallback, "fallback")
     resolved = materialize(resolve_folders(turn_folders(turns), repos), "folders")
-    folded = carry_roots(turn_candidates(turns, resolved))
+    candidates = turn_candidates(turns, resolved)
+    folded = carry_roots(candidates if evidence else candidates.drop("cwd", "file_paths"))
     roots = repos.filter(F.col("repo_key").isNotNull()).select(
-        F.col("machine_id").alias("_m"), F.col("root").alias("_r"), F.col("repo_key").alias("_key"), "main_root"
-    )
+        F.col("machine_id").alias("_m"), F.col("root").alias("_r"), F.col("repo_key").alias("_key"),
+        last_two_segments(F.col("root")).alias("_place"), last_two_segments(F.col("main_root")).alias("_main"),
+    )
     joined = folded.join(roots, (F.col("machine_id") == F.col("_m")) & (F.col("root") == F.col("_r")), "left")
     kept = fallback.select(
         F.col("machine_id").alias("_fm"), F.col("project_dir").alias("_p"), F.col("project_slug").alias("_slug"), F.col("repo_key").alias("_fkey"), F.col("repo_name").alias("_fname")
@@ -158,9 +170,9 @@ def attribute_turns(turns: DataFrame, repos: DataFrame, fallback: DataFrame) ->
     own = F.col("root").isNotNull()
     return placed.select(
         *[folded[c] for c in folded.columns],
-        F.when(own, last_two_segments(F.col("root"))).otherwise(F.col("_slug")).alias("project_slug"),
+        F.when(own, F.coalesce("_place", last_two_segments(F.col("root")))).otherwise(F.col("_slug")).alias("project_slug"),
         F.when(own, F.col("_key")).otherwise(F.col("_fkey")).alias("repo_key"),
-        F.when(own, last_two_segments(F.col("main_root"))).otherwise(F.col("_fname")).alias("repo_name"),
+        F.when(own, F.col("_main")).otherwise(F.col("_fname")).alias("repo_name"),
     )
 
 

@@ -277,3 +277,19 @@ def test_one_long_session_is_dated_in_many_tasks(spark):
     cells = rows.filter("session_id IS NOT NULL AND ts IS NOT NULL").select("session_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("_hour")).distinct()
     held = accounts.account_cells(cells, book).groupBy("session_id", "_hour").count().collect()
     assert len(held) > 300 and max(r["count"] for r in held) < 20
+
+
+def test_a_turn_meets_its_fallback_and_its_folders_without_a_shuffle(spark):
+    """Two machines and one project are two groups: dealt by them, all turns would be the work of two tasks."""
+    turns = spark.createDataFrame(
+        [(f"{m}/p/s", 0, n, m, "p", "/w/a" if n == 1 else None, [f"/w/{x}//f" for x in files], n) for m in ("a", "b") for n, files in enumerate(["", "b", "aab", "ba", "c"])],
+        "stream string, block bigint, ord bigint, machine_id string, project_dir string, cwd string, file_paths array<string>, n int",
+    )
+    repo = spark.createDataFrame([("a", f"/w/{x}", f"k{x}", None) for x in "ab"], "machine_id string, root string, repo_key string, main_root string")
+    fallback = spark.createDataFrame([(m, "p", "x/y", None, None) for m in ("a", "b")], "machine_id string, project_dir string, project_slug string, repo_key string, repo_name string")
+    placed = attribution.attribute_turns(turns, repo, fallback, evidence=False)
+    assert "hashpartitioning(machine_id" not in placed._jdf.queryExecution().executedPlan().toString() and not {"cwd", "file_paths"} & set(placed.columns)
+    # the first of the turn's equally used repositories, unless the carried one is among them
+    want = [("a", n, slug) for n, slug in enumerate(["x/y", "w/a", "w/a", "w/a", "w/a"])] + [("b", n, "x/y") for n in range(5)]
+    assert sorted((r.machine_id, r.n, r.project_slug) for r in placed.collect()) == want
+    assert sorted((r.machine_id, r.n, r.project_slug) for r in attribution.attribute_turns(turns, repo, fallback).collect()) == want
