@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendmart.llm import bpe, decontaminate, language, ngram_join, substrings
-from spendmart.llm.shared import materialize, read
+from spendmart.llm.shared import materialize, read, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,22 +27,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A document is an id and its text: rows that repeat both are one, texts that share an id are several."""
     docs = docs.select(*COLUMNS)
-    # of texts that share an id each is a document: one keeps the id as its key, the others get keys from 2**62 on
     printed = docs.filter("doc_id IS NOT NULL").withColumn("_fp", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    with scratch(spark) as keep:
+        first = keep(_first_of_groups(printed.select("doc_id", "text", "_fp")), "first-of-group")
+    kept = printed.join(first, ["doc_id", "_fp"], "left_semi")
+    one = Window.partitionBy("doc_id", "_fp").orderBy("lang", "source", "n_chars")  # rows that repeat one document
+    kept = kept.withColumn("_place", F.row_number().over(one)).filter("_place = 1").select(*COLUMNS)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def _first_of_groups(printed: DataFrame) -> DataFrame:
+    """(doc_id, _fp) of the document that stays of each group of near copies; printed: doc_id, text, _fp."""
+    # of texts that share an id each is a document: one keeps the id as its key, the others get keys from 2**62 on
     shared = printed.groupBy("doc_id").agg(F.min("_fp").alias("_low"), F.max("_fp").alias("_high")).filter("_low < _high")
     other = F.shiftrightunsigned(F.xxhash64("doc_id", "_fp"), 2).bitwiseOR(F.lit(1 << 62))
     keyed = printed.join(shared.select("doc_id", "_low"), "doc_id", "left")
     keyed = keyed.withColumn("_key", F.when(F.col("_fp") > F.col("_low"), other).otherwise(F.col("doc_id")))
-    keyed = materialize(keyed.select(*COLUMNS, "_key"), "keyed")
+    keyed = materialize(keyed.select("_key", "doc_id", "text", "_fp"), "keyed")
     groups = ngram_join.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), width=5, percent=80)
     owners = keyed.filter(f"_key >= {1 << 62}").select("_key", F.col("doc_id").alias("_owner")).distinct()
     members = groups.select(F.col("doc_id").alias("_key"), "component_id").join(owners, "_key", "left")
     least = members.groupBy("component_id").agg(F.min(F.struct(F.coalesce("_owner", "_key"), "_key")).alias("_first"))
-    first = materialize(least.select("_first._key"), "first-of-group")
-    kept = keyed.join(first, "_key", "left_semi")
-    one = Window.partitionBy("_key").orderBy("lang", "source", "n_chars")  # rows that repeat one document
-    kept = kept.withColumn("_place", F.row_number().over(one)).filter("_place = 1").select(*COLUMNS)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    return keyed.select("_key", "doc_id", "_fp").join(least.select("_first._key"), "_key", "left_semi").select("doc_id", "_fp")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spendmart.llm import textbytes as tb
 from spendmart.llm.components import connected_components
-from spendmart.llm.shared import materialize
+from spendmart.llm.shared import materialize, scratch
 
 HEAVY_SHARE = 0.001
 HEAVY_LIMIT = 2_000_000  # entries; only the order of tokens depends on them, never a result
@@ -346,10 +346,11 @@ def _least_shared(percent: int):
 
 def _enough(held: DataFrame, percent: int) -> DataFrame:
     """(token, doc_id, n, score) without tokens of one holder, and without sets left with too few tokens."""
-    several = materialize(held.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "several")
-    held = materialize(held.join(several, "token"), "shared")
-    full = held.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= _least_shared(percent)).select("doc_id")
-    return materialize(held.join(materialize(full, "full"), "doc_id"), "shared")
+    with scratch(held.sparkSession) as keep:
+        several = materialize(held.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "several")
+        held = materialize(held.join(several, "token"), "shared")
+        full = held.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= _least_shared(percent)).select("doc_id")
+        return keep(held.join(materialize(full, "full"), "doc_id"), "shared")
 
 
 def _group_links(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
@@ -405,6 +406,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     100 * intersection >= percent * union; component_id is the smallest doc_id reachable. Rows that share an id
     are one node. A null id gets a null component.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs, width, percent), "near-duplicates")
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     volume = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0

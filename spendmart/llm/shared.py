@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendmart.session import materialize
+from spendmart.session import materialize, scratch
 
-__all__ = ["materialize", "read", "identified", "crc_fold"]
+__all__ = ["materialize", "scratch", "read", "identified", "crc_fold"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

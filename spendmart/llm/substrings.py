@@ -11,7 +11,8 @@ by shuffling one row per word would move many times the text, so windows travel
    hashed (two lanes) and counted, once per distinct run.
 
 All counts are min/max aggregates, combined before the shuffle, so a passage held by a third of all
-documents is one row per task. Nothing is collected; text is shuffled twice, by document.
+documents is one row per task. Nothing is collected; text is shuffled twice, by document. Runs, windows and
+their counts are deleted once the cuts are known, before the text is shuffled for the second time.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendmart.llm import textbytes as tb
-from spendmart.llm.shared import materialize
+from spendmart.llm.shared import materialize, scratch
 
 _RUNS = "doc_id long, fp long, anchor long, run long, start int, n int"
 _WINDOWS = "doc_id long, fp long, lane1 long, lane2 long, start int"
@@ -183,7 +184,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, keep: list[str] | None = No
     """
     extra = [c for c in keep or [] if c not in ("doc_id", "text")]
     docs = docs.select("doc_id", "text", *extra)
-    cuts = repeated_windows(docs.select("doc_id", "text"), width)
+    with scratch(docs.sparkSession) as keep_table:
+        cuts = keep_table(repeated_windows(docs.select("doc_id", "text"), width), "cuts")
     names = ["doc_id", "text", *extra]
     kept = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)

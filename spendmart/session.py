@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "spendmart") -> SparkSession:
     """A local session for tests and the bench. On a cluster, pass in the cluster's own session."""
@@ -45,7 +50,28 @@ def materialize(rows: DataFrame, name: str, compression: str | None = None, part
     For intermediates used several times. Unlike a cache it survives lost executors, and unlike a row
     checkpoint its readers still prune columns and know its size.
     """
-    spark = rows.sparkSession
-    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = _scratch.get() or checkpoint_folder(rows.sparkSession)
+    return _written(rows, f"{folder}/{name}-{uuid.uuid4().hex}", compression, partition_by)
+
+
+def _written(rows: DataFrame, path: str, compression: str | None = None, partition_by: str | None = None) -> DataFrame:
     rows.write.parquet(path, compression=compression, partitionBy=partition_by)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables materialized inside the block are deleted when it ends, so an operator leaves no more than its result.
+
+    Yields `keep(rows, name)`, which materializes rows that outlive the block; nothing else computed inside may be
+    read after it. Blocks nest: what an inner one keeps goes with the outer one.
+    """
+    outer = _scratch.get() or checkpoint_folder(spark)
+    folder = f"{outer}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield lambda rows, name: _written(rows, f"{outer}/{name}-{uuid.uuid4().hex}")
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
